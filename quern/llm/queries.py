@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, line_dedup, mixing, url_filter
+from quern.llm import decontam, jaccard_join, line_dedup, mixing, url_filter
 
 QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLES = {
     "op3_mix": mixing.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
 }
