@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, jaccard_join, line_dedup, mixing, url_filter
+from quern.llm import decontam, jaccard_join, line_dedup, mixing, suffix_dedup, url_filter
 
 QUERIES = {
     "op3_mix": mixing.op3_mix,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
