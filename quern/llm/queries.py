@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, jaccard_join, line_dedup, mixing, suffix_dedup, url_filter
+from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_quality": quality.op2_quality,
     "op3_mix": mixing.op3_mix,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_embed_dedup": embed_dedup.op6_embed_dedup,
+    "op7_langid": langid.op7_langid,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontam.op10_decontaminate,
@@ -16,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op3_mix": mixing.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op6_embed_dedup": embed_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
 }
