@@ -1,10 +1,595 @@
-"""Every registered query with its SQL."""
+"""Every registered query over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return QUERIES["bm25_topk"](spark, sf_dir)
+from quern.functions import text as t
+from quern.functions import urls as u
+from quern.operators import chunk, claims, extract, facts, fuse, graph, news, ops, planner, rank
+from quern.plans import sql as q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NOW = "2024-02-01 00:00:00"
+ASKED = [(1, "the thon of and this thing"), (2, "der einst ungen kommen"), (3, "que los ciones de la"), (4, "tionhe stand reading queries"), (5, "zzzz qqqq")]
+
+
+def query(oracle: str | None = None):
+    """Register a function as the query of its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+def values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else q.lit(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+# ---- text ----
+
+
+@query(f"SELECT doc_id, md5({q.normalize('text')}) AS normal FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.normalize(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query(f"SELECT doc_id, len({q.plain_tokens('text')}) AS n, md5(array_to_string({q.plain_tokens('text')}, ' ')) AS tokens FROM documents")
+def tokenize_counts(spark, sf_dir):
+    own = t.plain_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(own).cast("long").alias("n"), F.md5(F.array_join(own, " ").cast("binary")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS tokens FROM (SELECT doc_id, {q.rank_tokens('text')} AS w FROM documents)")
+def rank_token_counts(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", t.rank_tokens(F.col("text")).alias("w"))
+    return own.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("tokens"))
+
+
+WORDS = ["indekslerinden", "index", "indexes", "run", "running", "stop", "stopped", "address", "addresses", "status", "query", "queries", "queried", "library", "libraries", "database", "concurrently", "tuples"]
+
+
+@query(f"SELECT word, {q.stem('f')} AS stem FROM (SELECT word, {q.fold('word')} AS f FROM {values([(w,) for w in WORDS])} v(word))")
+def stem_table(spark, sf_dir):
+    return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", t.stem(F.col("word")).alias("stem"))
+
+
+@query(f"SELECT doc_id, len(s) AS n, len(list_filter(s, lambda x: {q.any_of('x', t.FACTUAL)})) AS factual FROM (SELECT doc_id, {q.sentences('text')} AS s FROM documents)")
+def factual_sentences(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", t.sentences(F.col("text")).alias("s"))
+    return own.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", t.is_factual)).cast("long").alias("factual"))
+
+
+QUESTIONS = ["How do I fix index bloat?", "Question: what is it", "Index bloat grows.", "Any idea why it fails", "neden böyle oldu?", "It is done. Is it?", "The answer is 42"]
+
+
+@query(f"SELECT s, {q.any_of('s', t.QUESTION)} AS question FROM {values([(x,) for x in QUESTIONS])} v(s)")
+def question_cases(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in QUESTIONS], "s string").select("s", t.is_question(F.col("s")).alias("question"))
+
+
+# ---- ranking ----
+
+_TOK = f"d AS (SELECT doc_id AS id, {q.rank_tokens('text')} AS w FROM documents), q AS (SELECT query_id, {q.rank_tokens('query')} AS w FROM {values(ASKED)} v(query_id, query)), qt AS (SELECT query_id, term, count(*) AS times, min(pos) AS first FROM (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM q) GROUP BY ALL), tf AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL)"
+_BM25 = f"""WITH {_TOK}, st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, tf.id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.w) / a))) AS score, array_to_string(list(term ORDER BY first), ',') AS matched
+      FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY query_id, tf.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score / max(score) OVER (PARTITION BY query_id), 4) AS relative FROM s)"""
+
+
+def _ranked(spark, sf_dir, k=10):
+    return rank.bm25(documents(spark, sf_dir), asked(spark), k)
+
+
+@query(_BM25 + " SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25 + " SELECT query_id, id, relative, matched FROM r WHERE rank <= 25")
+def bm25_matched_terms(spark, sf_dir):
+    return _ranked(spark, sf_dir, 25).select("query_id", "id", "relative", F.array_join("matched_terms", ",").alias("matched"))
+
+
+@query(f"WITH {_TOK} SELECT term, count(*) AS df FROM tf GROUP BY term")
+def doc_frequency(spark, sf_dir):
+    return rank.term_frequencies(documents(spark, sf_dir), rank.query_terms(asked(spark))).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"SELECT doc_id AS id, len({q.rank_tokens('text')})::DOUBLE + 2.5::DOUBLE * len({q.rank_tokens('source')}) AS length FROM documents")
+def weighted_doc_length(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return rank.weighted_length(docs, "source")
+
+
+@query(
+    _BM25
+    + rf""", top AS (SELECT query_id, id FROM r WHERE rank <= 5),
+sp AS (SELECT top.query_id, top.id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s, q.w AS terms
+       FROM top JOIN documents ON doc_id = id JOIN q ON q.query_id = top.query_id),
+one AS (SELECT query_id, id, s, terms, unnest(range(1, len(s) + 1)) AS i FROM sp),
+st2 AS (SELECT query_id, id, i, s[i] AS x, terms FROM one),
+hit AS (SELECT query_id, id, i, x, length(x) + 1 AS n, list_intersect(list_distinct({q.rank_tokens('x')}), terms) AS h FROM st2),
+win AS (SELECT a.query_id, a.id, a.i AS i, b.i AS j, (SELECT sum(n) FROM hit c WHERE c.query_id = a.query_id AND c.id = a.id AND c.i BETWEEN a.i AND b.i) AS n,
+        len(list_distinct(flatten((SELECT list(h) FROM hit c WHERE c.query_id = a.query_id AND c.id = a.id AND c.i BETWEEN a.i AND b.i)))) AS hits
+        FROM hit a JOIN hit b ON a.query_id = b.query_id AND a.id = b.id AND b.i >= a.i AND b.i - a.i < 200),
+best AS (SELECT query_id, id, arg_max(struct_pack(i := i, j := j, hits := hits), struct_pack(a := hits, b := -n, c := -i)) AS b FROM win WHERE n <= 320 OR i = j GROUP BY query_id, id)
+SELECT sp.query_id, sp.id, nullif(left(CASE WHEN coalesce(b.hits, 0) <= 0 THEN array_to_string(s[1:2], ' ') ELSE array_to_string(s[b.i:b.j], ' ') END, 320), '') AS best_passage FROM sp LEFT JOIN best USING (query_id, id)"""
+)
+def best_passage(spark, sf_dir):
+    return rank.passages(_ranked(spark, sf_dir, 5), documents(spark, sf_dir), asked(spark)).select("query_id", "id", "best_passage")
+
+
+@query()
+def mmr_topk(spark, sf_dir):
+    return rank.mmr(documents(spark, sf_dir), asked(spark), 10, 0.5)
+
+
+# ---- addresses ----
+
+
+@query(f"SELECT page_id, {q.url_key('url')} AS url_key, {q.host('url')} AS host FROM pages")
+def url_canonicalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.url_key(F.col("url")).alias("url_key"), u.host(F.col("url")).alias("host"))
+
+
+@query(f"SELECT {q.url_key('url')} AS url_key, min(page_id) AS page_id FROM pages GROUP BY 1")
+def url_dedupe_keep_first(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(u.url_key(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("page_id"))
+
+
+@query(f"SELECT {q.host('url')} AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(u.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id FROM pages WHERE ends_with({q.host('url')}, '.example.com') OR {q.host('url')} = 'example.com' OR ends_with({q.host('url')}, '.example.org')")
+def domain_filter_include(spark, sf_dir):
+    wanted = F.array(F.lit("example.com"), F.lit("*.example.org"))
+    return table(spark, sf_dir, "pages").where(F.exists(wanted, lambda p: u.host_matches(u.host(F.col("url")), p))).select("page_id")
+
+
+@query(f"SELECT page_id FROM pages WHERE NOT (ends_with({q.host('url')}, '.example.net') OR {q.host('url')} = 'example.net')")
+def domain_filter_exclude(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(~u.host_matches(u.host(F.col("url")), F.lit("example.net"))).select("page_id")
+
+
+POLICY = [
+    ("https://[::ffff:127.0.0.1]/", False), ("https://[::ffff:7f00:1]/", False), ("http://localhost./x", False), ("https://[fe90::1]/", False), ("https://[ff02::1]/", False), ("http://2130706433/", False), ("https://example.com./", True),
+    ("ftp://example.com/", False), ("https://user:pw@example.com/", False), ("http://10.1.2.3/", False), ("http://172.20.0.1/", False), ("http://172.32.0.1/", True), ("http://169.254.1.1/", False), ("http://100.64.0.1/", False), ("http://8.8.8.8/", True), ("http://a.internal/", False), ("https://bad.example.org/", False),
+]
+
+
+@query("SELECT * FROM " + values([(a, "TRUE" if b else "FALSE") for a, b in POLICY]).replace("'TRUE'", "TRUE").replace("'FALSE'", "FALSE") + " v(url, allowed)")
+def url_policy_check(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in POLICY], "url string").select("url", u.is_url_allowed(F.col("url"), blocked=["bad.example.org"]).alias("allowed"))
+
+
+# ---- plans ----
+
+PLANS = [
+    (1, "please what is postgres index bloat?"), (2, "breaking news about nepal floods today"), (3, "bitcoin price 2024"), (4, "best laptop vs. tablet and cheapest phone"), (5, "arxiv paper on graph neural networks"),
+    (6, "python install error"), (7, "son dakika"), (8, "vektör veritabanı nedir"), (9, "can you explain the moon landing"), (10, "haberler bu hafta"), (11, "envoy proxy circuit breaking"), (12, "stock market latest headlines inflation"),
+]
+
+
+@query(f"SELECT query_id, i AS intent, {q.freshness('query', 'i')} AS freshness_hours FROM (SELECT query_id, query, {q.intent('query')} AS i FROM {values(PLANS)} v(query_id, query))")
+def query_plan_intent_freshness(spark, sf_dir):
+    return planner.plan(spark.createDataFrame(PLANS, "query_id int, query string")).select("query_id", "intent", "freshness_hours")
+
+
+@query()
+def query_plan_full(spark, sf_dir):
+    return planner.plan(spark.createDataFrame(PLANS, "query_id int, query string"), 4).select("query_id", "optimized", "language", "urls", "urls_only", "sub_queries")
+
+
+# ---- ranked lists ----
+
+_LISTS = f"""l AS (SELECT (page_id % 7)::INT AS query_id, 'p' || (page_id % 3) AS provider, (page_id % 3)::INT AS list_ord, row_number() OVER (PARTITION BY page_id % 7, page_id % 3 ORDER BY page_id) - 1 AS rank, {q.url_key('url')} AS k, url, page_id FROM pages
+UNION ALL SELECT ((page_id // 2) % 7)::INT, 'q', 3, row_number() OVER (PARTITION BY (page_id // 2) % 7 ORDER BY page_id DESC) - 1, {q.url_key('url')}, url, page_id FROM pages)"""
+
+
+def lists(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select("page_id", "url", extract.title(F.col("html"), F.col("url")).alias("title"), F.lit("").alias("snippet"), F.lit(None).cast("timestamp").alias("published_at"))
+    a = own.withColumn("query_id", (F.col("page_id") % 7).cast("int")).withColumn("list_ord", (F.col("page_id") % 3).cast("int")).withColumn("provider", F.concat(F.lit("p"), F.col("list_ord")))
+    a = a.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "list_ord").orderBy("page_id")) - 1)
+    b = own.withColumn("query_id", (F.floor(F.col("page_id") / 2) % 7).cast("int")).withColumn("list_ord", F.lit(3)).withColumn("provider", F.lit("q"))
+    b = b.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("page_id"))) - 1)
+    return a.unionByName(b)
+
+
+@query(
+    f"""WITH {_LISTS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_ord, k ORDER BY rank) AS n FROM l),
+g AS (SELECT query_id, k AS url_key, sum(1.0::DOUBLE / (61 + rank)) AS score, count(DISTINCT provider) AS providers, min(list_ord * 1000000 + rank) AS first FROM o WHERE n = 1 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, providers DESC, first) AS rank FROM g)
+SELECT query_id, url_key, round(score, 9) AS score, providers FROM r WHERE rank <= 20"""
+)
+def rrf_fusion(spark, sf_dir):
+    own = fuse.fuse(lists(spark, sf_dir), 20)
+    return own.select("query_id", "url_key", F.round("score", 9).alias("score"), "providers")
+
+
+@query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), p AS (SELECT source, doc_id, row_number() OVER (ORDER BY n, source) AS place FROM r) SELECT place, source, doc_id FROM p WHERE place <= 200")
+def interleave_sources(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("source", "doc_id")
+    own = own.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("n <= 200")
+    return fuse.interleave(own.withColumn("g", F.lit(1)), 200, ["g"], "source", "n").select(F.col("place").cast("long").alias("place"), "source", "doc_id")
+
+
+@query(
+    f"""WITH r AS (SELECT (page_id % 5)::INT AS query_id, page_id, coalesce({q.host('url')}, '') AS h FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY page_id) AS n FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (n > 2 AND h <> '')::INT, page_id) AS place FROM n) SELECT query_id, page_id, place FROM p WHERE place <= 30"""
+)
+def host_diversify(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).cast("int").alias("query_id"), "page_id", F.col("page_id").alias("pos"), "url")
+    return fuse.cap_hosts(own, 30).select("query_id", "page_id", F.col("place").cast("long").alias("place"))
+
+
+_GATE = "list_transform(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) >= 4), lambda x: left(x, greatest(4, length(x) - 2)))"
+
+
+@query(f"SELECT query_id, doc_id FROM documents, (SELECT query_id, {_GATE} AS t FROM {values(ASKED[:4])} v(query_id, query)) WHERE len(t) = 0 OR len(list_filter(t, lambda x: contains(lower(left(text, 300)), x))) > 0")
+def relevance_gate(spark, sf_dir):
+    own = spark.createDataFrame(ASKED[:4], "query_id int, query string").select("query_id", t.gate_tokens(F.col("query")).alias("terms"))
+    return table(spark, sf_dir, "documents").join(F.broadcast(own), fuse.gate(F.col("terms"), F.left("text", F.lit(300)))).select("query_id", "doc_id")
+
+
+_PRE = "list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) >= 3)"
+
+
+@query(
+    f"""WITH s AS (SELECT query_id, page_id, CASE WHEN len(t) = 0 THEN 0.5::DOUBLE ELSE coalesce(list_sum(list_transform(t, lambda x: CASE WHEN contains(ti, x) THEN 0.6::DOUBLE / len(t) WHEN contains(sn, x) THEN 0.4::DOUBLE / len(t) ELSE 0 END)), 0) + CASE WHEN contains(ti, lower(query)) THEN 0.3 ELSE 0 END END AS score
+FROM (SELECT query_id, query, {_PRE} AS t FROM {values(ASKED[:4])} v(query_id, query)), (SELECT page_id, lower(url) AS ti, lower(left(html, 500)) AS sn FROM pages)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM s) SELECT query_id, page_id, rank, round(score, 9) AS score FROM r WHERE rank <= 11"""
+)
+def prescore_topn(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select("page_id", "url", F.left("html", F.lit(500)).alias("s")).join(F.broadcast(spark.createDataFrame(ASKED[:4], "query_id int, query string")))
+    own = own.withColumn("score", F.round(fuse.pre_score(F.col("query"), F.col("url"), F.col("s")), 9))
+    return own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "page_id")).cast("long")).where("rank <= 11").select("query_id", "page_id", "rank", "score")
+
+
+# ---- scores ----
+
+_REL_NORM = {k: q.normalize(v) for k, v in (("ti", "source"), ("sn", "left(text, 200)"), ("bo", "substr(text, 1, 4000)"))}
+
+
+@query(
+    f"""SELECT query_id, doc_id, round(CASE WHEN len(t) = 0 THEN 0.5 ELSE least(1.0, len(list_filter(t, lambda x: contains(ti, x))) / len(t)::DOUBLE * 0.5 + len(list_filter(t, lambda x: contains(sn, x))) / len(t)::DOUBLE * 0.3 + len(list_filter(t, lambda x: contains(bo, x))) / len(t)::DOUBLE * 0.2
++ CASE WHEN length(p) > 8 AND (contains(ti, p) OR contains(bo, p)) THEN 0.15 ELSE 0 END) END, 6) AS relevance
+FROM (SELECT query_id, {q.plain_tokens('query')} AS t, {q.normalize('query')} AS p FROM {values(ASKED[:3])} v(query_id, query)), (SELECT doc_id, {_REL_NORM['ti']} AS ti, {_REL_NORM['sn']} AS sn, {_REL_NORM['bo']} AS bo FROM documents)"""
+)
+def relevance_score(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").join(F.broadcast(spark.createDataFrame(ASKED[:3], "query_id int, query string")))
+    return own.select("query_id", "doc_id", F.round(fuse.relevance(F.col("query"), F.col("source"), F.left("text", F.lit(200)), F.col("text")), 6).alias("relevance"))
+
+
+HOSTS = ["https://www.gov.uk/x", "https://arxiv.org/abs/1", "http://en.wikipedia.org/wiki/X", "https://www.bbc.co.uk/news", "https://docs.rust-lang.org/", "https://github.com/a/b", "https://me.blogspot.com/", "not an address", "https://pubmed.ncbi.nlm.nih.gov/1", "https://example.com/"]
+_CRED = "CASE " + " ".join(f"WHEN regexp_matches(h, {q.lit('|'.join(p))}) THEN {s}" for _, s, p in u.HOST_CLASSES) + " ELSE 0.45 END"
+_CRED = f"CASE WHEN h IS NULL THEN 0.2 ELSE greatest(0, least(1, CASE WHEN regexp_matches(h, {q.lit('|'.join(u.LOW_TRUST))}) THEN least(0.35, {_CRED}) ELSE {_CRED} END - CASE WHEN starts_with(url, 'http://') THEN 0.08 ELSE 0 END + CASE WHEN n > 1200 THEN 0.05 WHEN n < 200 THEN -0.08 ELSE 0 END)) END"
+
+
+@query(f"SELECT url, round(({_CRED})::DOUBLE, 6) AS credibility FROM (SELECT url, {q.host('url')} AS h, length(html) AS n FROM pages UNION ALL SELECT url, {q.host('url')}, 100 FROM {values([(x,) for x in HOSTS])} v(url))")
+def credibility_class(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select("url", F.length("html").alias("n")).unionByName(spark.createDataFrame([(x, 100) for x in HOSTS], "url string, n int"))
+    return own.select("url", F.round(fuse.credibility(F.col("url"), F.col("n")), 6).alias("credibility"))
+
+
+_KINDS = ["news", "finance", "product", "technical", "academic", "general"]
+
+
+@query(
+    f"""SELECT event_id, kind, CASE WHEN ts IS NULL THEN 0.5 ELSE round(pow(0.5, greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9::DOUBLE) / hl), 3) END::DOUBLE AS freshness
+FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS ts, ({q.q(_KINDS)})[event_id % 6 + 1] AS kind FROM events) JOIN {values([(a, b) for a, b, *_ in fuse.INTENTS])} v(k, hl) ON k = kind"""
+)
+def freshness_decay(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("ts"), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 6 + 1).cast("int")).alias("kind"))
+    dim = spark.createDataFrame(fuse.INTENTS, "k string, hl double, r double, c double, f double, ttl int")
+    own = own.join(F.broadcast(dim), F.col("kind") == F.col("k"))
+    return own.select("event_id", "kind", fuse.freshness(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"), F.col("hl")).alias("freshness"))
+
+
+@query(
+    f"""SELECT doc_id, round(round((rel * 0.45 + cred * 0.4 + fresh * 0.15) * least(1, rel / 0.5), 6), 3) AS overall FROM (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS rel, least(1, c + CASE WHEN n > 1 THEN least(0.1, 0.03 * n) ELSE 0 END)::DOUBLE AS cred, 0.5::DOUBLE AS fresh
+FROM (SELECT doc_id, 0.45::DOUBLE AS c, doc_id % 5 AS n FROM documents))"""
+)
+def overall_score(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", ((F.col("doc_id") % 101) / 100.0).alias("rel"), fuse.corroborated(F.lit(0.45), F.col("doc_id") % 5).alias("cred"))
+    raw = (F.col("rel") * 0.45 + F.col("cred") * 0.4 + F.lit(0.5) * 0.15) * F.least(F.lit(1.0), F.col("rel") / 0.5)
+    return own.select("doc_id", F.round(F.round(raw, 6), 3).alias("overall"))
+
+
+# ---- pages ----
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract.title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(extract.blocks(F.col("html"))).alias("pos", "block"))
+
+
+@query()
+def html_readable(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract.readable(F.col("html")).alias("content"))
+
+
+@query()
+def html_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(extract.links(F.col("html"), F.col("url"))).alias("x")).select("page_id", "x.text", "x.url")
+
+
+# ---- claims, chunks, news ----
+
+
+def _results(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).cast("int").alias("query_id"), F.lit("the thon and that").alias("query"), F.col("doc_id").alias("ord"), F.col("source").alias("host"), "text", ((F.col("doc_id") % 10) / 10.0).alias("credibility"))
+    return own
+
+
+@query()
+def claim_groups(spark, sf_dir):
+    return claims.group_sentences(claims.candidates(_results(spark, sf_dir), None)).select("query_id", "group", "ord", "pos", "host")
+
+
+@query()
+def claim_confidence(spark, sf_dir):
+    return claims.verify(_results(spark, sf_dir), min_overlap=0.0)
+
+
+@query()
+def answers(spark, sf_dir):
+    return claims.answer(claims.verify(_results(spark, sf_dir), min_overlap=0.0))
+
+
+@query("SELECT n, c, round(least(1, greatest(0, (1 - pow(0.55, n)) * (0.55 + 0.45 * c) * CASE WHEN k > 0 THEN greatest(0.35, 1 - 0.25 * k) ELSE 1 END)), 3)::DOUBLE AS confidence FROM (VALUES (1, 0.5, 0), (2, 0.5, 0), (3, 0.8, 0), (3, 0.8, 1), (3, 0.8, 3)) v(n, c0, k), LATERAL (SELECT c0::DOUBLE AS c)")
+def confidence_table(spark, sf_dir):
+    own = spark.createDataFrame([(1, 0.5, 0), (2, 0.5, 0), (3, 0.8, 0), (3, 0.8, 1), (3, 0.8, 3)], "n int, c double, k int")
+    return own.select("n", "c", claims.confidence(F.col("n"), F.col("c"), F.col("k")).alias("confidence"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return chunk.chunk(table(spark, sf_dir, "documents")).drop("headings")
+
+
+@query()
+def chunk_totals(spark, sf_dir):
+    return chunk.chunk(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("estimated_tokens").alias("tokens"))
+
+
+_NEWS = f"SELECT doc_id AS id, left(text, 120) AS title, substr(text, 121, 300) AS snippet, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR * (doc_id % 500) AS p FROM documents"
+_TERMS = f"list_filter(list_transform(list_transform(regexp_split_to_array(query, '\\s+'), lambda x: lower(translate(x, 'Iİ', 'ıi'))), lambda x: CASE WHEN length(x) <= 4 THEN x ELSE regexp_replace(x, '(?:{'|'.join(news.SUFFIXES)})$', '') END), lambda x: length(x) >= 3)"
+
+
+def items(spark, sf_dir):
+    hours = F.expr("make_dt_interval(0, cast(doc_id % 500 as int))")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(120)).alias("title"), F.substring("text", 121, 300).alias("snippet"), (F.lit("2024-01-31 00:00:00").cast("timestamp") - hours).alias("published_at"))
+
+
+@query(
+    f"""WITH i AS (SELECT id, lower(translate(title, 'Iİ', 'ıi')) AS t, lower(translate(snippet, 'Iİ', 'ıi')) AS b, p FROM ({_NEWS})), q AS (SELECT query_id, {_TERMS} AS w FROM {values(ASKED)} v(query_id, query)),
+s AS (SELECT query_id, id, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN contains(t, x) THEN 1.0::DOUBLE WHEN contains(b, x) THEN 0.4::DOUBLE ELSE 0 END)), 0) + greatest(0, 1 - ((epoch_us(TIMESTAMP '{NOW}') - epoch_us(p)) / 3.6e9::DOUBLE) / 168) * 0.5 AS score FROM i, q
+      WHERE len(w) = 0 OR len(list_filter(w, lambda x: contains(t, x) OR contains(b, x))) >= least(len(w), greatest(2, ceil(len(w) * 0.6)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score FROM r WHERE rank <= 20"""
+)
+def news_match(spark, sf_dir):
+    return news.match(items(spark, sf_dir), asked(spark), 20, F.lit(NOW).cast("timestamp")).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id FROM ({_NEWS}) ORDER BY p DESC, id LIMIT 50")
+def news_headlines(spark, sf_dir):
+    return news.headlines(items(spark, sf_dir), 50).select("id")
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3')")
+def news_topic_join(spark, sf_dir):
+    feeds = spark.createDataFrame([("src1", ["world", "tech"]), ("src2", ["sport"]), ("src3", ["tech"])], "source string, topics array<string>")
+    return news.with_topics(table(spark, sf_dir, "documents"), feeds, ["tech", "science"]).select("doc_id")
+
+
+# ---- facts ----
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN p IS NULL THEN NULL ELSE round(round(o_totalprice - p, 6), 2) END AS change FROM (SELECT o_orderkey, o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)")
+def price_change_lag(spark, sf_dir):
+    own = facts.changes(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+    return own.select("o_orderkey", "o_custkey", F.round(F.round(F.col("o_totalprice") - F.col("previous"), 6), 2).alias("change"))
+
+
+@query("SELECT o_custkey, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS latest FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey")
+def latest_observation(spark, sf_dir):
+    return facts.latest(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+
+
+@query("SELECT event_id, ts, value FROM events WHERE coalesce(value, 0) >= 50 AND ts >= TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id LIMIT 50")
+def quakes_topk(spark, sf_dir):
+    return facts.strongest(table(spark, sf_dir, "events"), 50.0, F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id", "ts", "value")
+
+
+ASKS = ["turkiye", "FR", "germany", "unit", "nowhere"]
+
+
+@query(
+    f"""WITH a AS (SELECT ask, lower(trim(ask)) AS k FROM {values([(x,) for x in ASKS])} v(ask)), r AS (SELECT CAST(n_nationkey AS VARCHAR) AS code, lower(left(n_name, 2)) AS short, lower(n_name) AS name, n_nationkey AS ord FROM nation),
+m AS (SELECT ask, '99' AS code, 1 AS tier, 0 AS ord FROM a WHERE k = 'turkiye' UNION ALL SELECT ask, code, 2, ord FROM a JOIN r ON k = short UNION ALL SELECT ask, code, 3, ord FROM a JOIN r ON k = name UNION ALL SELECT ask, code, 4, ord FROM a JOIN r ON length(k) >= 4 AND contains(name, k)),
+b AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY tier, ord, code) AS n FROM m) SELECT a.ask, code, tier FROM a LEFT JOIN b ON a.ask = b.ask AND n = 1"""
+)
+def lookup_priority(spark, sf_dir):
+    register = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.left("n_name", F.lit(2)).alias("short"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"))
+    aliases = spark.createDataFrame([("turkiye", "99")], "alias string, code string")
+    register = register.withColumn("ord", F.col("ord").cast("int"))
+    return facts.lookup(spark.createDataFrame([(x,) for x in ASKS], "ask string"), register, aliases)
+
+
+# ---- operations ----
+
+_USE = "SELECT event_type AS op, value AS ms, event_type <> 'error' AND event_id % 17 <> 0 AS ok, event_id % 3 = 0 AS cached, event_id, user_id, ts FROM events"
+
+
+def calls(spark, sf_dir):
+    ok = (F.col("event_type") != "error") & (F.col("event_id") % 17 != 0)
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.col("value").alias("ms"), ok.alias("ok"), (F.col("event_id") % 3 == 0).alias("cached"), "event_id", "user_id", "ts")
+
+
+@query(f"SELECT op, count(*) AS requests, round(avg(ms), 6) AS avg_ms, round(avg((NOT ok)::INT), 9) AS error_rate, round(avg(cached::INT), 9) AS cache_rate FROM ({_USE}) GROUP BY op")
+def usage_summary(spark, sf_dir):
+    return ops.usage(calls(spark, sf_dir)).select("op", "requests", F.round("avg_ms", 6).alias("avg_ms"), F.round("error_rate", 9).alias("error_rate"), F.round("cache_rate", 9).alias("cache_rate"))
+
+
+@query(f"SELECT op, l[least(len(l), floor(0.5 * len(l))::INT + 1)] AS p50, l[least(len(l), floor(0.95 * len(l))::INT + 1)] AS p95 FROM (SELECT op, list(ms ORDER BY ms) AS l FROM ({_USE}) WHERE ms IS NOT NULL GROUP BY op)")
+def usage_percentiles(spark, sf_dir):
+    return ops.nearest_rank(calls(spark, sf_dir).where("ms is not null"), ["op"], "ms", {"p50": 0.5, "p95": 0.95})
+
+
+@query(f"SELECT op, event_id FROM (SELECT op, event_id, row_number() OVER (PARTITION BY op ORDER BY ts DESC, event_id DESC) AS n FROM ({_USE})) WHERE n <= 500")
+def last_500_samples(spark, sf_dir):
+    return ops.last_samples(calls(spark, sf_dir), ["op"], [F.desc("ts"), F.desc("event_id")]).select("op", "event_id")
+
+
+@query(f"SELECT provider, count(*) AS calls, round(avg(ok::INT), 9) AS success_rate FROM (SELECT unnest(string_split(op || '+u' || (user_id % 3), '+')) AS provider, ok FROM ({_USE})) GROUP BY provider")
+def provider_success_rate(spark, sf_dir):
+    own = calls(spark, sf_dir).withColumn("provider", F.concat("op", F.lit("+u"), (F.col("user_id") % 3).cast("string")))
+    return ops.provider_success(own).select("provider", "calls", F.round("success_rate", 9).alias("success_rate"))
+
+
+@query(f"SELECT event_id, CAST(sum((NOT ok)::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS BIGINT) AS streak FROM (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM ({_USE}))")
+def failure_streaks(spark, sf_dir):
+    return ops.failure_streaks(calls(spark, sf_dir), "user_id", ["ts", "event_id"]).select("event_id", "streak")
+
+
+@query()
+def ema_latency(spark, sf_dir):
+    return ops.smoothed(calls(spark, sf_dir), "user_id", ["ts", "event_id"], "ms")
+
+
+@query()
+def breaker_state(spark, sf_dir):
+    own = calls(spark, sf_dir).select(F.col("op").alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"), "ok")
+    return ops.breaker(own)
+
+
+@query()
+def rate_limit_fixed_window(spark, sf_dir):
+    own = calls(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"))
+    return ops.fixed_window(own, "user_id", 30, 60_000)
+
+
+@query("SELECT f, CAST(least(600000, 30000 * pow(2, greatest(0, f - 4))) AS BIGINT) AS pause FROM range(0, 12) t(f)")
+def cooldown_table(spark, sf_dir):
+    return spark.range(12).select(F.col("id").alias("f"), ops.cooldown_ms(F.col("id")).alias("pause"))
+
+
+@query("SELECT event_id, sha256(length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id || '1:-') AS key FROM events")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", ops.cache_key(F.col("event_type"), F.col("user_id").cast("string"), F.lit("-")).alias("key"))
+
+
+@query("SELECT k AS intent, fh, CASE WHEN fh IS NULL THEN ttl ELSE least(ttl, fh * 3600, 21600) END::DOUBLE AS ttl FROM " + values([(x[0], x[-1]) for x in fuse.INTENTS]) + " v(k, ttl), (VALUES (NULL::DOUBLE), (0.001), (1), (24)) f(fh)")
+def ttl_table(spark, sf_dir):
+    dim = spark.createDataFrame([(x[0], x[-1]) for x in fuse.INTENTS], "intent string, t int")
+    hours = spark.createDataFrame([(None,), (0.001,), (1.0,), (24.0,)], "fh double")
+    return dim.join(F.broadcast(hours)).select("intent", "fh", ops.ttl_seconds(F.col("t"), F.col("fh")).cast("double").alias("ttl"))
+
+
+@query(
+    """WITH e AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_id % 4 = 0), p AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_id % 4 = 1)
+SELECT p.event_id AS probe_id, coalesce(max(e.ts) + INTERVAL 6 HOUR > any_value(p.ts), FALSE) AS hit FROM p LEFT JOIN e ON e.k = p.k AND e.ts <= p.ts GROUP BY p.event_id"""
+)
+def cache_asof_hits(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    entries = events.where("event_id % 4 = 0").select(F.col("user_id").alias("k"), F.col("ts").alias("stored_at"), (F.col("ts") + F.expr("interval 6 hours")).alias("expires_at"), F.col("event_id").cast("string").alias("payload"))
+    probes = events.where("event_id % 4 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("probe_id"), F.col("ts").alias("at"))
+    return ops.as_of(probes, entries, "k").select("probe_id", "hit")
+
+
+@query("SELECT user_id, max(ts) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, user_id LIMIT 100")
+def lru_keep(spark, sf_dir):
+    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"))
+    return ops.least_recent(own, 100).select(F.col("key").alias("user_id"), "last_access")
+
+
+# ---- streams, as batches ----
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    from quern.streaming import events as stream
+
+    own = stream.tumbling(table(spark, sf_dir, "events"))
+    return own.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM g GROUP BY user_id, g"""
+)
+def events_session(spark, sf_dir):
+    from quern.streaming import events as stream
+
+    own = stream.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return own.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("finish").cast("timestamp_ntz").alias("finish"), "n")
+
+
+# ---- joins and graphs ----
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_requested(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_section(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id")
+
+
+@query("SELECT source AS url, array_to_string(list(lang ORDER BY o), ',') AS sections FROM (SELECT source, lang, min(doc_id) AS o FROM documents GROUP BY ALL) GROUP BY source")
+def used_for_map(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("ord")).select(F.col("lang").alias("section"), "ord", F.array("source").alias("urls"))
+    return graph.used_for(own).select("url", F.array_join("sections", ",").alias("sections"))
+
+
+_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000, l_partkey + 1 FROM lineitem"
+
+
+@query(
+    f"""WITH e AS ({_EDGES}), d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src = 1), d2 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d1)),
+a AS (SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2) SELECT node, min(depth) AS depth FROM a GROUP BY node"""
+)
+def link_graph_bfs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"))
+    edges = li.select(F.col("p").alias("src"), (F.col("s") + 1000000).alias("dst")).union(li.select(F.col("s") + 1000000, F.col("p") + 1)).distinct()
+    return graph.walk(edges, spark.range(1, 2).select(F.col("id").alias("node")), 2)
+
+
+@query("SELECT s AS source, o AS kept FROM (SELECT source AS s, min(doc_id) AS o FROM documents GROUP BY source) UNION ALL SELECT source, doc_id FROM documents WHERE FALSE")
+def first_of_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("kept"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_topk(spark, sf_dir)
