@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,6 @@ def chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP, headings:
 
 def chunk(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP, headings: bool = False) -> DataFrame:
     """One row per chunk: id_col, index, text, headings, chars, estimated_tokens, start, end."""
-    import pandas as pd
-
     @F.pandas_udf(SCHEMA)
     def cut(x: pd.Series) -> pd.Series:
         return x.map(lambda y: chunks(y, size, overlap, headings))

@@ -105,7 +105,7 @@ def credibility(url: Column, n_chars: Column) -> Column:
 def freshness(published: Column, now: Column, half_life: Column) -> Column:
     """Half of it every half-life; .5 where no date is known."""
     hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(published.cast("timestamp"))) / F.lit(3.6e9)
-    return F.coalesce(F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), hours) / half_life), 3), F.lit(0.5))
+    return F.when(published.isNull(), F.lit(0.5)).otherwise(F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), hours) / half_life), 3))
 
 
 def corroborated(score: Column, n: Column) -> Column:

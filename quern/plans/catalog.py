@@ -310,13 +310,13 @@ def freshness_decay(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, round(round((rel * 0.45 + cred * 0.4 + fresh * 0.15) * least(1, rel / 0.5), 6), 3) AS overall FROM (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS rel, least(1, c + CASE WHEN n > 1 THEN least(0.1, 0.03 * n) ELSE 0 END)::DOUBLE AS cred, 0.5::DOUBLE AS fresh
+    f"""SELECT doc_id, round((rel * 0.45::DOUBLE + cred * 0.4::DOUBLE + fresh * 0.15::DOUBLE) * least(1, rel / 0.5::DOUBLE), 6) AS overall FROM (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS rel, least(1, c + CASE WHEN n > 1 THEN least(0.1, 0.03 * n) ELSE 0 END)::DOUBLE AS cred, 0.5::DOUBLE AS fresh
 FROM (SELECT doc_id, 0.45::DOUBLE AS c, doc_id % 5 AS n FROM documents))"""
 )
 def overall_score(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", ((F.col("doc_id") % 101) / 100.0).alias("rel"), fuse.corroborated(F.lit(0.45), F.col("doc_id") % 5).alias("cred"))
     raw = (F.col("rel") * 0.45 + F.col("cred") * 0.4 + F.lit(0.5) * 0.15) * F.least(F.lit(1.0), F.col("rel") / 0.5)
-    return own.select("doc_id", F.round(F.round(raw, 6), 3).alias("overall"))
+    return own.select("doc_id", F.round(raw, 6).alias("overall"))
 
 
 # ---- pages ----
