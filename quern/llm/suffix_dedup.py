@@ -159,7 +159,7 @@ def repeated(parts: list[bytes], length: int) -> np.ndarray:
     flags = np.zeros(len(t), dtype=bool)
     if len(t) <= length:
         return flags
-    sa = suffix_array(t, depth=length)
+    sa = suffix_array(t)  # to the end: Kasai leans on the exact order
     lcp = kasai(t, sa, length)
     hit = lcp >= length
     hit[:-1] |= lcp[1:] >= length

@@ -1,0 +1,271 @@
+"""Training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import common as c
+from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, suffix_dedup, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+rng = random.Random(5)
+VOCAB = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri", "so", "ta") for b in ("n", "rt", "s", "la", "mo", "vi", "x", "z")]
+
+
+def prose(n: int) -> str:
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def edited(text: str, k: int) -> str:
+    w = text.split(" ")
+    for i in rng.sample(range(len(w)), k):
+        w[i] = "edit" + str(rng.random())[2:8]
+    return " ".join(w)
+
+
+BASE, PASSAGE = prose(200), prose(60)
+DOCS = (
+    [(1, BASE), (2, BASE), (3, edited(BASE, 2)), (4, edited(BASE, 60)), (5, None), (6, ""), (7, "one two"), (8, "one two"), (9, "   "), (10, prose(3000)), (11, prose(50) + " " + PASSAGE), (12, PASSAGE + " " + prose(40)), (13, "x"), (13, "x"), (14, "aXa " * 200)]
+    + [(20 + i, edited(BASE, 3)) for i in range(12)]
+    + [(40 + i, prose(rng.randint(1, 80))) for i in range(20)]
+)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    own = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in DOCS], SCHEMA).withColumns({x: F.lit("clash") for x in ("r", "k1", "row", "d", "size", "rule", "node", "score")})
+    return own.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def words(text, pattern):
+    return re.findall(pattern, "".join(x.lower() if "A" <= x <= "Z" else x for x in text or ""))
+
+
+def test_grams_and_sliding_minimum():
+    h = np.arange(20, dtype=np.uint64)
+    for k in (1, 2, 3, 5, 7, 10):
+        g = c.grams(h, k)
+        assert len(g) == 20 - k + 1 and len(set(g.tolist())) == len(g) and c.grams(h[3 : 3 + k], k)[0] == g[3]
+    x = np.array([5, 3, 8, 1, 9, 2, 7], dtype=np.uint64)
+    assert c.sliding_min(x, 3).tolist() == [3, 1, 1, 1, 2] and len(c.sliding_min(x, 9)) == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
+    got = {r["node"]: r["root"] for r in c.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert c.components(edges.limit(0)).count() == 0
+
+
+# ---- 1 ----
+
+
+def test_licenses(spark, docs, none):
+    mit = dict(license_scan.TEXTS)["MIT"]
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit), (2, "Copyright 2001 X\n" + mit.upper().replace(". ", ".   ")), (3, "Some text.\nLicenced under the  Apache Licence, v. 2.0!\nMore."), (4, mit[:-20]), (5, None), (6, "")]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known(spark)).collect()}
+    assert out[2]["license"] == "MIT" and out[4]["license"] is None and out[3]["line_licenses"] == ["Apache-2.0"] and out[5]["digest"] is None and out[6]["digest"] is None
+    assert license_scan.scan(docs, license_scan.known(spark)).count() == len(DOCS) and license_scan.scan(none, license_scan.known(spark)).count() == 0
+
+
+# ---- 2 ----
+
+
+def test_weak_labels_agree():
+    r = np.random.default_rng(1)
+    truth = r.random(4000) < 0.7
+    rates = r.uniform(0.7, 0.95, len(quality.LABELLERS))
+    seen: dict[str, list] = {}
+    for x in truth:
+        p = "".join("-" if r.random() < 0.2 else str(int(x if r.random() < a else not x)) for a in rates)
+        seen.setdefault(p, []).append(x)
+    prior, _, post = quality.agree([(p, len(v)) for p, v in sorted(seen.items())])
+    assert abs(prior - 0.7) < 0.06 and np.mean([(post[p] > 0.5) == x for p, v in seen.items() for x in v]) > 0.9
+
+
+def test_quality_rows(spark, docs, none):
+    junk = [(900 + i, " ".join([rng.choice(VOCAB)] * 60)) for i in range(8)] + [(950 + i, "".join(f"{w}### " for w in prose(60).split())) for i in range(8)]
+    good = [(1000 + i, ". ".join(prose(9).capitalize() for _ in range(12)) + ".") for i in range(60)]
+    out = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(junk + good, "doc_id long, text string")).collect()}
+    assert np.mean([out[i]["keep"] for i, _ in good]) > 0.95 and np.mean([out[i]["keep"] for i, _ in junk]) < 0.2
+    assert quality.classify(docs).count() == len(DOCS) and quality.classify(none).count() == 0
+
+
+# ---- 3 ----
+
+
+def test_mix(spark, none):
+    rows = [(i, prose(rng.randint(0, 30)) if i % 9 else None, f"s{i % 4}" if i % 5 else None) for i in range(400)] + [(1, "a b", "tiny")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cell=16).collect()
+    sizes: dict = {}
+    for _, x, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words(x, r"[^\x20\x09-\x0D]+"))
+    names = sorted((x for x in sizes if x is not None)) + [None]
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, held = sum(sizes.values()), set()
+    while True:
+        level = (total - 3 * sum(sizes[s] for s in held)) / sum(w[s] for s in names if s not in held)
+        more = {s for s in names if s not in held and w[s] * level >= 3 * sizes[s]}
+        if not more:
+            break
+        held |= more
+    taken: dict = {}
+    for r in out:
+        want = 3.0 * sizes[r["source"]] if r["source"] in held else w[r["source"]] * level
+        assert abs(r["target"] - want) < 1e-6 and r["source_size"] == sizes[r["source"]] and r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert len(out) == len(rows) and all(abs(taken[s] - (3.0 * sizes[s] if s in held else w[s] * level)) <= 30 for s in names)
+    assert mixing.mix(none).count() == 0
+
+
+def test_mix_prefers_good_documents(spark):
+    rows = [(i, "a b c d", "s") for i in range(2000)] + [(5000 + i, "a b", "t") for i in range(6000)]
+    weights = spark.createDataFrame([(i, 8.0 if i % 2 else 1.0) for i in range(2000)], "id long, weight double")
+    out = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), quality=weights, weights=(1, 8)).collect() if r["source"] == "s"]
+    odd = sum(r["copies"] for r in out if r["doc_id"] % 2)
+    assert odd > 1.5 * sum(r["copies"] for r in out if not r["doc_id"] % 2)
+
+
+# ---- 4 ----
+
+
+def test_suffix_array_and_prefixes():
+    for _ in range(30):
+        t = np.frombuffer(bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 200))), np.uint8)
+        sa = suffix_dedup.suffix_array(t)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
+        lcp = suffix_dedup.kasai(t, sa, 1000, lane=7)
+        for i in range(1, len(t)):
+            x, y = t[sa[i - 1] :].tobytes(), t[sa[i] :].tobytes()
+            assert lcp[i] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_repeated_strings(docs, none, crowd):
+    out = suffix_dedup.remove_repeats(docs, crowd=crowd).collect()
+    got = sorted((r["doc_id"], r["n_bytes"], sum(e - s for s, e in zip(r["starts"], r["ends"], strict=True)), len(r["starts"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out)
+    want = sorted((i, *x) for (i, _), x in zip(DOCS, suffix_dedup.brute_force([x for _, x in DOCS], 200), strict=True))
+    assert got == want and any(x[2] for x in want)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+# ---- 5 ----
+
+
+def test_url_rules(spark):
+    urls = ["https://a.COM/en/7", "http://example.com/en/7", "http://example.com/en/70", "http://x.example.com/en/8", "http://net/de/1", "http://a.example.net/de/8?x", "http://org/es", "http://org/es/", "no scheme", None, "https://example.com:80/en/", "x://a.com/en/?q://b.org/es/", "https://notcom/en/"]
+    out = {r["url"]: r for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string").withColumn("rule", F.lit(1)), spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")).collect()}
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        h, p = m[1].lower(), m[2]
+        fits = [(len(a + b), a + b, v) for v, a, b in url_filter.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        best = max(fits, default=(0, None, "allow"))
+        assert (out[u]["host"], out[u]["path"], out[u]["rule"], out[u]["verdict"]) == (h, p, best[1], best[2])
+
+
+# ---- 6 ----
+
+
+@pytest.mark.parametrize("shard", [8192, 40])
+def test_near_vectors(spark, shard):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(60, 16))
+    v = np.concatenate([base, base[:20] + 0.02 * r.normal(size=(20, 16)), np.repeat(base[:1], 30, axis=0), base[5:6] * 7, 0.03 * r.normal(size=(40, 16)) + base[9]]).astype(np.float32)
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)] + [(500, None, 0), (501, [0.0] * 16, 0), (502, [float("nan")] * 16, 0), (503, [None] * 16, 0), (504, v[0].tolist(), None), (505, [], 0), (506, [1.0], 0)]
+    out = {x["vec_id"]: x for x in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=shard).collect()}
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None, :] % 2) & ~np.eye(len(x), dtype=bool)
+    assert [out[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
+    assert [out[i]["component_id"] for i in range(len(x))] == root and all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(500, 507))
+
+
+# ---- 7 ----
+
+
+def test_language(spark, docs, none):
+    a, b = "abcdefgh", "mnopqrst"
+    text = lambda x, n: " ".join("".join(rng.choice(x) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(a if i % 2 else b, rng.randint(5, 60)), "aa" if i % 2 else "bb") for i in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), window=64, epochs=6)
+    test = [(i, text(a if i % 2 else b, 40)) for i in range(40)] + [(100, None), (101, "123 !"), (102, text(a, 5000))]
+    out = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert np.mean([out[i]["lang_pred"] == ("aa" if i % 2 else "bb") for i in range(40)]) > 0.95
+    assert (out[100]["lang_pred"], out[101]["score"], out[102]["lang_pred"]) == ("und", 0.0, "aa")
+    assert langid.learn(none) is None and {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+# ---- 8 ----
+
+
+def brute_jaccard():
+    sets = []
+    for _, x in DOCS:
+        w = words(x, r"[^\x20\x09-\x0D]+")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(DOCS)))
+    for _ in range(len(DOCS)):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for i, (d, _) in enumerate(DOCS):
+        least[root[i]] = min(least.get(root[i], d), d)
+    return sorted((d, len(sets[i]), least[root[i]]) for i, (d, _) in enumerate(DOCS))
+
+
+def test_jaccard(docs, none):
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == brute_jaccard() and jaccard_join.jaccard_join(none).count() == 0
+
+
+# ---- 9 ----
+
+
+def test_lines(spark, none):
+    line = prose(40)
+    rows = [(1, "Head\n" + line + "\n\nTail one here"), (2, line), (3, edited(line, 1) + "\n" + prose(30)), (4, None), (5, ""), (6, "\n\n"), (7, "  HEAD\t\nother words in this line"), (8, edited(line, 25)), (9, "a\n" * 300 + "b")]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))).collect()}
+    kept = [x for r in out.values() for x in (r["text"] or "").split("\n") if x.strip()]
+    alike = [x for x in kept if len(set(x.split()) & set(line.split())) > 0.9 * len(set(line.split()))]
+    assert len(alike) == 1 and len([x for x in kept if x.strip().lower() == "head"]) == 1 and out[4]["text"] is None and out[5]["text"] == "" and out[6]["text"] == "\n\n"
+    assert out[9]["text"] == "a\nb" and out[8]["text"] == rows[7][1] and [out[i]["n_lines"] for i in (4, 6, 9)] == [0, 3, 301]
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+# ---- 10 ----
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_CHARS, 300])
+def test_benchmark(spark, docs, none, block):
+    own = PASSAGE.split(" ")
+    items = [(1, " ".join(own[5:30])), (2, prose(25)), (3, "One two"), (4, None), (5, ""), (6, " ".join(own[40:49])), (1, " ".join(own[5:30])), (None, "axa AXA")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], tuple(r["item_ids"])) for r in decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=block).collect())
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    want = []
+    for d, x in DOCS:
+        w, hit, seen = words(x, pattern), set(), set()
+        for i, y in items:
+            v = words(y, pattern)
+            n = min(10, len(v))
+            grams = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1):
+                if n and tuple(w[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+                    seen.add(i)
+        want.append((d, len(w), len(hit), len(seen), tuple(sorted(str(i) for i in seen if i is not None))))
+    assert got == sorted(want) and any(x[2] for x in want)
+    assert decontam.decontaminate(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0 and not any(r["contaminated"] for r in decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).collect())
