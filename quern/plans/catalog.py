@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.functions import urls as u
-from quern.operators import chunk, claims, extract, facts, fuse, graph, news, ops, planner, rank
+from quern.operators import chunk, claims, extract, facts, fuse, graph, news, ops, planner, rank, sinks
 from quern.plans import sql as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -591,5 +591,32 @@ def first_of_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("kept"))
 
 
+# ---- sinks and batches ----
+
+
+@query(_BM25 + " SELECT query_id, array_to_string(list(rank || '. d' || r.id || chr(10) || 'doc:' || r.id || chr(10) || left(trim(regexp_replace(left(text, 900), '\\s+', ' ', 'g')), 700) ORDER BY rank), chr(10) || chr(10)) AS text FROM r JOIN documents ON doc_id = r.id WHERE rank <= 3 GROUP BY query_id")
+def render_results(spark, sf_dir):
+    own = _ranked(spark, sf_dir, 3).join(documents(spark, sf_dir), "id")
+    name = F.col("id").cast("string")
+    return sinks.render(own.select("query_id", "rank", F.concat(F.lit("d"), name).alias("title"), F.concat(F.lit("doc:"), name).alias("url"), F.left("text", F.lit(900)).alias("snippet")))
+
+
+@query("SELECT user_id % 50 AS batch, count(*) AS queries, sum((event_type <> 'error')::INT)::BIGINT AS succeeded, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS providers, bool_and(event_id % 3 = 0) AS all_cached FROM events GROUP BY 1")
+def batch_summary(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("batch"), F.col("event_id").alias("query_id"), (F.col("event_type") != "error").alias("ok"), F.array("event_type").alias("providers"), (F.col("event_id") % 3 == 0).alias("cached"))
+    return sinks.batch_summary(own).withColumn("providers", F.array_join("providers", ","))
+
+
+@query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def repeated_texts(spark, sf_dir):
+    return sinks.repeated_ids(table(spark, sf_dir, "documents"), F.md5(F.col("text").cast("binary")).alias("key"))
+
+
+@query("SELECT doc_id AS query_id, min(doc_id) OVER (PARTITION BY text) AS runs_as FROM documents")
+def identical_requests(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return sinks.identical_once(own, F.md5(F.col("text").cast("binary")))[1]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_topk(spark, sf_dir)
