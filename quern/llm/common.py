@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,16 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors cost nothing that stands before this point.
 
-    The shuffle files behind df are given back at once: they would otherwise stay until the driver happens to collect garbage.
+    The shuffle files behind df are removed once it is written; they would otherwise stay until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> None:
