@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good, bad or nothing on each whole text. Vo
 number of labellers, however many documents); expectation-maximisation over the patterns estimates the prior and each
 labeller's rates of right and wrong votes, no labels being given. The posterior of a pattern is its documents' label. These posterior
 labels train a linear scorer over hashed byte trigrams, word shapes and repetitions, by logistic regression on a sample of about
-`sample` documents by hash; that bound is the only one. Scores are computed for all documents from whole texts.
+`sample` different texts by hash; that bound is the only one. Scores are computed for all documents from whole texts.
 
 A null or blank text gets no votes, the prior as posterior and a score of 0. Repeated rows are rows of their own. Empty tables give no rows.
 """
@@ -133,7 +133,7 @@ def classify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample
     rows = sum(n for _, n in patterns)
     prior, _, posterior = agree([(p, n) for p, n in patterns if set(p) != {"-"}])
     u = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = base.where("text is not null").where(u < F.lit(sample / max(rows, 1))).select("text")
+    drawn = base.where("text is not null").where(u < F.lit(sample / max(rows, 1))).select("text").dropDuplicates()  # a hash picks all copies of a text or none: one of them is enough, and the bound holds
     kind = "pattern string, x array<float>"
 
     def learn(batches):
