@@ -246,6 +246,24 @@ def test_lines(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_sketches_lose_nothing(spark):
+    draw = random.Random(11)
+    rows = []
+    for _ in range(400):
+        n = draw.choice([1, 3, 12, 60, 300])
+        x = [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
+        y = x[draw.randint(0, max(1, n // 4)) :] + [draw.getrandbits(64) - (1 << 63) for _ in range(draw.randint(0, max(1, n // 6)))]
+        rows.append((x, y, 100 * len({*x} & {*y}) >= 80 * len({*x, *y})))
+    rows.append(([], [], False))
+    both = spark.createDataFrame(rows, "x array<long>, y array<long>, linked boolean")
+    for side in "xy":
+        s0, s1 = line_dedup.parity(F.col(side))
+        both = both.withColumns({f"{side}n": F.size(side), f"{side}s0": s0, f"{side}s1": s1})
+    fields = [{k: F.col(side + k) for k in ("n", "s0", "s1")} for side in "xy"]
+    out = both.select("linked", line_dedup.may_link(*fields, 80).alias("may")).collect()
+    assert all(r["may"] for r in out if r["linked"]) and sum(r["linked"] for r in out) > 50 and not all(r["may"] for r in out)
+
+
 # ---- 10 ----
 
 
