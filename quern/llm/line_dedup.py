@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 A line is lower-cased and trimmed; blank lines are never compared. Its shingles are the strings of `width` characters
-that start where a word starts (the last ones shorter), so a line of n words has at most n. Equal lines meet first and
+at every position, so that each character lies in one; a shorter line is one shingle. Equal lines meet first and
 travel on once. Signatures: one 64-bit hash a shingle, and its least value under each of rows * bands exclusive-or masks, each a
 permutation. Lines that agree on all rows of a band are candidates; exact Jaccard similarity of the shingle sets decides.
 
@@ -22,8 +22,8 @@ from quern.llm import common as c
 
 
 def shingles(line: Column, width: int) -> Column:
-    """The strings of up to `width` characters that start where a word starts."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{width - 1}}}))\S+"), F.lit(1))
+    """The strings of `width` characters at every position; of a shorter line the line itself."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}|^.{{1,{width - 1}}}\z))."), F.lit(1))
 
 
 def masks(n: int) -> list[int]:
@@ -115,7 +115,7 @@ def line_components(lines: DataFrame, occ: DataFrame, width: int, percent: int,
     return c.cut(c.components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "line-roots")
 
 
-def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 16, bands: int = 7, rows: int = 3, percent: int = 80, stars: int = 2, pivots: int = 4) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, bands: int = 7, rows: int = 3, percent: int = 80, stars: int = 2, pivots: int = 4) -> DataFrame:
     """(k1, k2, words): the lines of each document that go, as bits in 64-bit words; documents that keep all aren't in it."""
     occ = occurrences(docs, text, id_col)
     lines = c.cut(signatures(occ, width, bands, rows), "line-signatures")

@@ -246,6 +246,16 @@ def test_lines(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_long_tokens(spark):
+    """Different addresses of one host and lines without spaces agree in a prefix only: all of them stay."""
+    lines = ["https://www.example.com/articles/1", "https://www.example.com/about-us", "see https://example.com/reports/2019", "see https://example.com/accounts/7", "今日は天気がとても良いので散歩に行きましょう皆で公園へ", "今日は天気がとても良いので散歩に行くのはやめて家で本を読む"]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10, "ab"), (11, "abc"), (12, lines[0].upper())]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == 0 for i in (1, 2, 3, 4, 5, 10, 11)) and out[0] + out[12] == 1
+    got = spark.createDataFrame([("abcdefg",), ("abc",), ("a😀cde f",)], "x string").select(line_dedup.shingles(F.col("x"), 5).alias("s")).collect()
+    assert [r["s"] for r in got] == [["abcde", "bcdef", "cdefg"], ["abc"], ["a😀cde", "😀cde ", "cde f"]]
+
+
 def test_line_sketches_lose_nothing(spark):
     draw = random.Random(11)
     rows = []
