@@ -55,11 +55,16 @@ def signatures(occ: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return sig.select("d", "lo", "hi", F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{i * rows + j}") for j in range(rows)]) for i in range(bands)]).alias("bands"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have 100 * intersection >= percent * union."""
-    x = sets.select(F.col("d").alias("a"), F.col("members").alias("x"))
-    y = sets.select(F.col("d").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
+def shingle_set(line: Column, width: int) -> Column:
+    return F.array_distinct(F.transform(shingles(line, width), lambda x: F.xxhash64(x)))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have 100 * intersection >= percent * union. Lines travel as text, an eighth of their sets' bytes."""
+    x = sets.select(F.col("d").alias("a"), F.col("norm").alias("x"))
+    y = sets.select(F.col("d").alias("b"), F.col("norm").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", shingle_set(F.col("x"), width).alias("x"), shingle_set(F.col("y"), width).alias("y"))
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
@@ -82,9 +87,10 @@ def line_components(lines: DataFrame, occ: DataFrame, width: int, percent: int,
     members = c.cut(table.join(several, F.col("band") == F.col("b2"), "left_semi").select("band", "d"), "line-buckets")
     want = lines.select(F.col("d").alias("d2"), F.col("lo").alias("o2")).join(members.select(F.col("d").alias("d3")).distinct(), F.col("d2") == F.col("d3"), "left_semi")
     own = occ.select("d", "o", "norm").join(want.hint("shuffle_hash"), (F.col("d") == F.col("d2")) & (F.col("o") == F.col("o2")))
-    sets = c.cut(own.select("d", F.array_distinct(F.transform(shingles(F.col("norm"), width), lambda x: F.xxhash64(x))).alias("members")), "line-shingles")
+    own = own.select("d", "norm", shingle_set(F.col("norm"), width).alias("members"))
+    sets = c.cut(own.select("d", "norm", F.size("members").alias("n"), *parity(F.col("members"))), "line-shingles")
     # A pair can be similar only if its sets' sizes and parities are: most lines that share a band by chance part here, before any shuffle.
-    sized = sets.select(F.col("d").alias("d2"), F.size("members").alias("n"), *parity(F.col("members")))
+    sized = sets.select(F.col("d").alias("d2"), "n", "s0", "s1")
     own = ("d", "n", "s0", "s1")
     members = members.join(sized, F.col("d") == F.col("d2")).select("band", *own)
     fields = lambda prefix: {x: F.col(f"{prefix}{x}") for x in own}
@@ -100,7 +106,7 @@ def line_components(lines: DataFrame, occ: DataFrame, width: int, percent: int,
         pairs = held.select("d", F.explode(F.transform(near, lambda p: p["d"])).alias("p"))
         pairs = known(known(pairs, "d", "rd"), "p", "rp")
         pairs = (pairs if roots is None else pairs.where("rd <> rp")).select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct()
-        links = c.cut(verified(pairs, sets, percent), "line-links")
+        links = c.cut(verified(pairs, sets, width, percent), "line-links")
         roots = c.cut(c.components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "line-roots")
         # All pairs with a pivot are settled: pivots leave. Buckets whose other members are in one component are done.
         rest = c.cut(known(held.where(~F.array_contains("ps.d", F.col("d"))).select("band", *own), "d", "root"), "line-rest")
@@ -111,7 +117,7 @@ def line_components(lines: DataFrame, occ: DataFrame, width: int, percent: int,
     last = known(members, "d", "rd")
     x, y = last.alias("x"), last.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.rd") != F.col("y.rd")) & may_link(fields("x."), fields("y."), percent))
-    links = c.cut(verified(pairs.select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct(), sets, percent), "line-links")
+    links = c.cut(verified(pairs.select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct(), sets, width, percent), "line-links")
     return c.cut(c.components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "line-roots")
 
 

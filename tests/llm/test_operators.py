@@ -256,6 +256,14 @@ def test_lines_of_long_tokens(spark):
     assert [r["s"] for r in got] == [["abcde", "bcdef", "cdefg"], ["abc"], ["a😀cde", "😀cde ", "cde f"]]
 
 
+def test_short_lines_with_a_changed_letter(spark):
+    """One letter less in a line of nine words: 5-character shingles have a similarity of 0.84, which must link."""
+    pairs = [("subscribe to our newsletter for weekly updates and offers", "subscribe to our newsletter for weekly update and offers"), ("all rights reserved by the example publishing company 2019", "all rights reserved by the example publishing company 2020")]
+    rows = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)] + [(9, "subscribe to their magazine for monthly news and prizes")]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] + out[1] == 1 and out[2] + out[3] == 1 and out[9] == 0
+
+
 def test_line_sketches_lose_nothing(spark):
     draw = random.Random(11)
     rows = []
