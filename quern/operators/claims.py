@@ -19,18 +19,39 @@ def candidates(results: DataFrame, min_overlap: float | None = 0.2) -> DataFrame
     return own.drop("query")
 
 
-def group_sentences(found: DataFrame, most: int = 200) -> DataFrame:
+def _fold(table):
+    """The sentences of one query with the number of their group's first sentence; a sentence meets only those that share a token."""
+    import pyarrow as pa
+
+    table = table.sort_by("n")
+    sizes, first, at, group = [], [], {}, []
+    for n, tokens in zip(table.column("n").to_pylist(), table.column("tokens").to_pylist(), strict=True):
+        shared = {}
+        for x in tokens:
+            for h in at.get(x, ()):
+                shared[h] = shared.get(h, 0) + 1
+        h = min((h for h, k in shared.items() if k / min(sizes[h], len(tokens)) >= SAME), default=None)
+        if h is None:
+            h = len(sizes)
+            sizes.append(len(tokens))
+            first.append(n)
+            for x in tokens:
+                at.setdefault(x, []).append(h)
+        group.append(first[h])
+    return table.drop_columns(["n", "tokens"]).append_column("group", pa.array(group, pa.int32()))
+
+
+def group_sentences(found: DataFrame) -> DataFrame:
     """(query_id, group, ord, pos, sentence, host, credibility): each sentence joins the first group whose first sentence is alike.
 
-    Groups are formed in order, which is a fold over the at most `most` first sentences of a query (what one request can hold).
+    Groups are formed in order, which is a fold over all sentences of a query; a task holds one query's at a time.
     """
     place = F.row_number().over(W.partitionBy("query_id").orderBy("ord", "pos"))
-    own = found.withColumn("n", place).where(F.col("n") <= most).withColumn("tokens", F.array_distinct(t.plain_tokens(F.col("sentence"))))
-    rows = own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "ord", "pos", "sentence", "host", "credibility", "tokens"))).alias("rows"))
-    alike = "(size(h.tokens) > 0 and size(x.tokens) > 0 and size(array_intersect(h.tokens, x.tokens)) / least(size(h.tokens), size(x.tokens)) >= {})".format(SAME)
-    heads = f"aggregate(rows, cast(array() as array<struct<n:int,tokens:array<string>>>), (acc, x) -> if(exists(acc, h -> {alike}), acc, array_append(acc, named_struct('n', x.n, 'tokens', x.tokens))))"
-    out = rows.withColumn("heads", F.expr(heads)).select("query_id", "heads", F.explode("rows").alias("x"))
-    return out.withColumn("group", F.expr(f"element_at(filter(heads, h -> {alike} or h.n = x.n), 1).n")).select("query_id", "group", "x.ord", "x.pos", "x.sentence", "x.host", "x.credibility")
+    columns = ["query_id", "ord", "pos", "sentence", "host", "credibility"]
+    own = found.select(*columns, place.alias("n"), F.array_distinct(t.plain_tokens(F.col("sentence"))).alias("tokens"))
+    kinds = dict(own.dtypes)
+    out = own.groupBy("query_id").applyInArrow(_fold, ", ".join(f"`{x}` {kinds[x]}" for x in columns) + ", `group` int")
+    return out.select("query_id", "group", *columns[1:])
 
 
 def confidence(sources: Column, credibility: Column, conflicts: Column) -> Column:
@@ -42,10 +63,19 @@ def confidence(sources: Column, credibility: Column, conflicts: Column) -> Colum
 
 def contradicts(a: Column, b: Column) -> Column:
     """Alike sentences without a common figure, or of which one denies."""
-    near = t.overlap(t.plain_tokens(a), t.plain_tokens(b))
-    x, y = t.numbers(a), t.numbers(b)
+    return _against(_sides(a), _sides(b))
+
+
+def _sides(x: Column) -> dict[str, Column]:
+    """What a contradiction looks at."""
+    return {"tokens": F.array_distinct(t.plain_tokens(x)), "figures": t.numbers(x), "denies": t.negates(x)}
+
+
+def _against(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    near = t.overlap(a["tokens"], b["tokens"])
+    x, y = a["figures"], b["figures"]
     figures = (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
-    return (near >= CONFLICT) & (figures | ((t.negates(a) != t.negates(b)) & (near > OPPOSED)))
+    return (near >= CONFLICT) & (figures | ((a["denies"] != b["denies"]) & (near > OPPOSED)))
 
 
 def verify(results: DataFrame, max_claims: int = 12, min_overlap: float = 0.2) -> DataFrame:
@@ -60,8 +90,10 @@ def verify(results: DataFrame, max_claims: int = 12, min_overlap: float = 0.2) -
     cited = groups.withColumn("n", best).where("n = 1").groupBy("query_id", "group").agg(F.avg("credibility").alias("credibility"), F.collect_set("host").alias("hosts"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sources"), F.desc("members"), "first"))
     claims = head.join(cited, ["query_id", "group"]).withColumn("claim", place).where(F.col("claim") <= max_claims)
-    other = groups.select(F.col("query_id").alias("q2"), F.col("host").alias("other_host"), F.col("sentence").alias("other"))
-    against = claims.join(other, (F.col("query_id") == F.col("q2")) & ~F.array_contains("hosts", F.col("other_host")) & contradicts(F.col("text"), F.col("other"))).groupBy("query_id", "claim").agg(F.countDistinct("other_host").alias("conflicts"))
+    other = groups.select(F.col("query_id").alias("q2"), F.col("host").alias("other_host"), *[v.alias(f"o_{k}") for k, v in _sides(F.col("sentence")).items()])
+    told = claims.select("query_id", "claim", "hosts", *[v.alias(f"c_{k}") for k, v in _sides(F.col("text")).items()])
+    fields = lambda prefix: {k: F.col(f"{prefix}_{k}") for k in ("tokens", "figures", "denies")}
+    against = told.join(other, (F.col("query_id") == F.col("q2")) & ~F.array_contains("hosts", F.col("other_host")) & _against(fields("c"), fields("o"))).groupBy("query_id", "claim").agg(F.countDistinct("other_host").alias("conflicts"))
     out = claims.join(against, ["query_id", "claim"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
     return out.select("query_id", "claim", "text", "sources", "members", "credibility", "conflicts", confidence(F.col("sources"), F.col("credibility"), F.col("conflicts")).alias("confidence"))
 

@@ -346,7 +346,8 @@ def html_links(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).cast("int").alias("query_id"), F.lit("the thon and that").alias("query"), F.col("doc_id").alias("ord"), F.col("source").alias("host"), "text", ((F.col("doc_id") % 10) / 10.0).alias("credibility"))
+    # Twenty documents a query: their number grows with the input, not what one query holds.
+    own = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("query_id"), F.lit("the thon and that").alias("query"), F.col("doc_id").alias("ord"), F.col("source").alias("host"), "text", ((F.col("doc_id") % 10) / 10.0).alias("credibility"))
     return own
 
 

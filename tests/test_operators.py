@@ -101,6 +101,27 @@ def test_contradiction(spark):
     assert row["a"] and not row["b"]
 
 
+def test_groups_hold_all_sentences(spark):
+    """Brute force over more sentences than the 200 that once were the most."""
+    import random
+
+    draw = random.Random(3)
+    words = [a + b for a in ("kan", "lor", "mis", "nut", "per", "rit") for b in ("tel", "mor", "vas", "zin", "dup")]
+    rows = [(q, i, 0, " ".join(draw.choice(words) for _ in range(draw.randint(1, 6))) if i % 50 else "a of", f"h{i % 7}", 0.5) for q in (1, None) for i in range(450)]
+    found = spark.createDataFrame(rows, "query_id int, ord long, pos int, sentence string, host string, credibility double").repartition(3)
+    got = {(r["query_id"], r["ord"]): r["group"] for r in claims.group_sentences(found).collect()}
+    want = {}
+    for q in (1, None):
+        heads = []
+        for n, (_, i, _, x, _, _) in enumerate((r for r in rows if r[0] == q), 1):
+            own = {w for w in x.split() if len(w) >= 3}
+            own_head = next((k for k, h in heads if own and h and len(own & h) / min(len(own), len(h)) >= claims.SAME), None)
+            if own_head is None:
+                heads.append((n, own))
+            want[q, i] = own_head or n
+    assert got == want and len({g for g in got.values() if g > 200}) > 0
+
+
 def test_feed_items(spark):
     body = "<rss><item><title>A &amp; B</title><link>https://x.example/a?utm_source=f&amp;id=1</link><pubDate>Sun, 06 Sep 2026 00:00:00 GMT</pubDate><description><![CDATA[<p>Text</p>]]></description></item><item><title>C</title><link>https://x.example/c</link></item></rss>"
     own = spark.createDataFrame([("f", "en", 200, body), ("g", "en", 503, body)], "feed string, lang string, status int, body string")
