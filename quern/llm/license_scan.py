@@ -47,20 +47,31 @@ TEXTS = [
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
 ]
+#: Lines that stand above a whole text as its title. Fixed values.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+#: What may follow "copyright" in a sentence; a line that goes on otherwise names an owner.
+NOT_OWNERS = "notices?|holders?|owners?|laws?|licen[cs]e[sd]?|statements?|interests?|protect\\w*|acts?|and|or|in|to|is|are|was|of|for|on|as|at|from|with|under|grants?|infring\\w*|claims?|works?|treat\\w*|rights?|years?|below|above|may|shall|must|can|will|disclaimers?|terms?|permissions?|messages?|information|material|status|issues?|law's|violations?|policy|agents?|office|reserved|this|that|it"
 #: Known texts up to this number are sent to all executors; more are joined by shuffling.
 BROADCAST_ROWS = 100_000
 
 
 def known(spark: SparkSession) -> DataFrame:
     """(license, text) of whole licence texts, notices, and identifier lines."""
-    rows = list(TEXTS) + [(i, n.format(name)) for name, i in NAMES.items() for n in NOTICES] + [(i, f"SPDX-License-Identifier: {i}") for i in sorted({*NAMES.values(), "0BSD"})]
+    rows = list(TEXTS) + [(i, f"{title}\n{x}") for i, x in TEXTS for title in TITLES[i]] + [(i, n.format(name)) for name, i in NAMES.items() for n in NOTICES] + [(i, f"SPDX-License-Identifier: {i}") for i in sorted({*NAMES.values(), "0BSD"})]
     return spark.createDataFrame(rows, "license string, text string")
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical text with its line breaks."""
     out = F.lower(F.translate(text, "\r‘’“”–— ", "\n''\"\"-- "))
-    out = F.regexp_replace(out, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?:ed)?\b[^\p{L}\p{N}\n]*(?:\(c\)|\d|©|by\b).*|\(c\)[^\p{L}\n]*\d.*|©.*|all rights reserved\W*)$", "")
+    out = F.regexp_replace(out, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?:ed)?\b[^\p{L}\p{N}\n]*(?:\(c\)|\d|©|by\b).*|copyright[ \t:,]+(?!(?:" + NOT_OWNERS + r")\b)(?:[^\n]*\b(?:19|20)\d\d\b[^\n]*|[^\s]+(?:[ \t]+[^\s]+){0,5}[ \t]*)|\(c\)[^\p{L}\n]*\d.*|©.*|all rights reserved\W*)$", "")
     # Most texts have none of the other spellings: one look spares them the replacements.
     found = "|".join(_quote(a) for a, _ in sorted(SPELLINGS, key=lambda x: -len(x[0])))
     changed = out

@@ -77,6 +77,17 @@ def test_licenses(spark, docs, none):
     assert license_scan.scan(docs, license_scan.known(spark)).count() == len(DOCS) and license_scan.scan(none, license_scan.known(spark)).count() == 0
 
 
+def test_titled_licenses(spark):
+    known = license_scan.known(spark)
+    own = dict(license_scan.TEXTS)
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + own["MIT"]), (2, "Copyright The Go Authors. All rights reserved.\n" + own["BSD-3-Clause"]), (3, "Copyright Acme Corp. 2019\n\n" + own["ISC"])]
+    # Sentences that only begin with the word stay: without them the text is another one.
+    rows += [(4, "Copyright notices must stay.\n" + own["MIT"]), (5, own["BSD-2-Clause"].replace("the above copyright", "the above\ncopyright")), (6, own["BSD-2-Clause"].replace("THE COPYRIGHT HOLDERS AND", "THE\nCOPYRIGHT HOLDERS AND"))]
+    rows += [(100 + k, f"{title}\nCopyright 2001 X\n{x}") for k, (i, x) in enumerate(own.items()) for title in license_scan.TITLES[i][:1]]
+    out = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [out[i] for i in range(1, 7)] == ["MIT", "BSD-3-Clause", "ISC", None, "BSD-2-Clause", "BSD-2-Clause"] and [out[100 + k] for k in range(len(own))] == list(own)
+
+
 # ---- 2 ----
 
 
