@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import common as c
@@ -31,16 +32,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _shape(out.withColumnsRenamed({f"_in_{x}": x for x in ("n_lines", "n_removed")}), docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: 128 bits of id and text, which no null and no repeated id leaves open; only equal rows share one."""
+    k1, k2 = line_dedup.row_key("text", "doc_id")
+    return docs.select("*", F.concat_ws(":", k1.cast("string"), k2.cast("string")).alias("_key"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the document of the least id stays."""
-    out = jaccard_join.jaccard_join(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """N-gram Jaccard join: of each component the document of the least id stays (nulls last), once; texts without a word all stay."""
+    keyed = _keyed(docs)
+    out = jaccard_join.jaccard_join(keyed, id_col="_key").distinct()
+    ids = keyed.select(F.col("_key").alias("_k"), "doc_id").distinct()
+    own = out.join(ids, F.col("_key") == F.col("_k")).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "n_shingles")).alias("x"))
+    own = own.select(F.col("x._key").alias("_kept"), (F.col("x.n_shingles") == 0).alias("_blank"))
+    rows = keyed.join(own, F.col("_key") == F.col("_kept")).withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns]))))
+    return rows.where("_n = 1 or _blank").select(*[f"`{x}`" for x in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of an item go."""
-    hit = decontam.decontaminate(docs, c.read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    keyed = _keyed(docs)
+    hit = decontam.decontaminate(keyed, c.read(spark, sf_dir, "benchmark"), id_col="_key").where("contaminated").select(F.col("_key").alias("_hit")).distinct()
+    return keyed.join(hit, F.col("_key") == F.col("_hit"), "left_anti").drop("_key")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import common as c
-from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, suffix_dedup, url_filter
+from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, pipeline, quality, suffix_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -243,6 +243,27 @@ def test_jaccard(docs, none):
     assert got == brute_jaccard() and jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_links_null_ids(spark):
+    other = prose(120)
+    rows = [(None, BASE), (None, edited(BASE, 1)), (None, other), (7, other), (8, prose(90))]
+    out = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in out) == [(0, 0), (0, 0), (0, 7), (7, 7), (8, 8)]
+    # A class of null ids joins with one that has an id.
+    out = jaccard_join.jaccard_join(spark.createDataFrame([(None, BASE), (3, edited(BASE, 1))], "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in out] == [3, 3]
+
+
+def test_pipeline_stages_of_null_and_repeated_ids(spark, tmp_path):
+    near, own, far = edited(BASE, 1), prose(80), prose(70)
+    rows = [(None, BASE), (None, near), (None, own), (5, far), (5, far), (6, edited(far, 1)), (7, BASE + " x"), (7, prose(60)), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], SCHEMA)
+    got = pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(None, own), (5, far), (7, BASE + " x"), rows[7], (None, None), (None, None)], key=repr)
+    spark.createDataFrame([(1, " ".join(own.split(" ")[5:30])), (2, " ".join(rows[7][1].split(" ")[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.benchmark(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted((x for k, x in enumerate(rows) if k not in (2, 7)), key=repr)
+
+
 # ---- 9 ----
 
 
