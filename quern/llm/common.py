@@ -17,34 +17,46 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary one, on a local master alone: no other executor would see it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", d)
     return f"{d.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors cost nothing that stands before this point.
 
-    The shuffle files behind df are removed once it is written; they would otherwise stay until the driver collects garbage.
+    by: a column to bucket by, so that aggregates and joins on it need no shuffle of this table afterwards.
+    The shuffle files behind a query are removed once it is done, from the first cut of a session on; they would otherwise stay until the driver collects garbage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove the tables that this application has cut so far."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    name = f"{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}"
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")
+    writer = df.write.option("compression", "zstd")
+    if by is None:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        table = "quern_" + name.replace("-", "_")
+        writer.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+    out._quern_cut = (path, by and table)
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Empty the tables behind these cuts, which nothing may read any more."""
+    for df in cuts:
+        path, table = df._quern_cut
+        df.sparkSession.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path)
+        if table:
+            df.sparkSession.sql(f"drop table {table}")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

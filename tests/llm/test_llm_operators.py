@@ -284,8 +284,8 @@ def test_lines_of_long_tokens(spark):
     rows = [(i, x) for i, x in enumerate(lines)] + [(10, "ab"), (11, "abc"), (12, lines[0].upper())]
     out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == 0 for i in (1, 2, 3, 4, 5, 10, 11)) and out[0] + out[12] == 1
-    got = spark.createDataFrame([("abcdefg",), ("abc",), ("a😀cde f",)], "x string").select(line_dedup.shingles(F.col("x"), 5).alias("s")).collect()
-    assert [r["s"] for r in got] == [["abcde", "bcdef", "cdefg"], ["abc"], ["a😀cde", "😀cde ", "cde f"]]
+    got = line_dedup.shingles(spark.createDataFrame([(1, "abcdefg"), (2, "abc"), (3, "a😀cde f"), (4, "x" * 70000)], "d long, norm string"), 5, "d").groupBy("d").agg(F.count("*").alias("n"), F.count_distinct("h").alias("m")).orderBy("d").collect()
+    assert [(r["n"], r["m"]) for r in got] == [(3, 3), (1, 1), (4, 4), (69996, 1)]
 
 
 def test_short_lines_with_a_changed_letter(spark):
@@ -296,25 +296,64 @@ def test_short_lines_with_a_changed_letter(spark):
     assert out[0] + out[1] == 1 and out[2] + out[3] == 1 and out[9] == 0
 
 
-def test_line_sketches_lose_nothing(spark):
-    draw = random.Random(11)
-    rows = []
-    for _ in range(400):
-        n = draw.choice([1, 3, 12, 60, 300])
-        x = [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
-        y = x[draw.randint(0, max(1, n // 4)) :] + [draw.getrandbits(64) - (1 << 63) for _ in range(draw.randint(0, max(1, n // 6)))]
-        rows.append((x, y, 100 * len({*x} & {*y}) >= 80 * len({*x, *y})))
-    rows.append(([], [], False))
-    both = spark.createDataFrame(rows, "x array<long>, y array<long>, linked boolean")
-    for side in "xy":
-        s0, s1 = line_dedup.parity(F.col(side))
-        both = both.withColumns({f"{side}n": F.size(side), f"{side}s0": s0, f"{side}s1": s1})
-    fields = [{k: F.col(side + k) for k in ("n", "s0", "s1")} for side in "xy"]
-    out = both.select("linked", line_dedup.may_link(*fields, 80).alias("may")).collect()
-    assert all(r["may"] for r in out if r["linked"]) and sum(r["linked"] for r in out) > 50 and not all(r["may"] for r in out)
-
-
-# ---- 10 ----
+def grams_of(line: str) -> set[str]:
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def jaccard(x: str, y: str) -> float:
+    a, b = grams_of(x), grams_of(y)
+    return len(a & b) / len(a | b)
+
+
+def changed(line: str, k: int) -> str:
+    out = list(line)
+    for i in rng.sample(range(len(out)), min(k, len(out))):
+        out[i] = rng.choice("abcdefghij")
+    return "".join(out)
+
+
+def brute_lines(lines: list[str]) -> list[int]:
+    """The least index of each line's component under links of similarity 0.8."""
+    root = list(range(len(lines)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if jaccard(x, lines[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(lines))]
+
+
+def test_lines_against_brute_force(spark):
+    """Lines of words, addresses, characters without spaces and single characters, edited a little or much, and a dense family: the same components as all pairs give."""
+    seeds = [prose(rng.randint(6, 60)) for _ in range(25)] + [f"https://www.example.com/{prose(3).replace(' ', '/')}/{i}" for i in range(15)] + ["".join(chr(0x4E00 + rng.randrange(400)) for _ in range(rng.randint(12, 60))) for _ in range(15)] + list("abcde")
+    lines = seeds + [changed(x, rng.choice((1, 1, 2, 4, 12))) for x in seeds for _ in range(3)] + [changed(seeds[0], rng.randint(1, 8)) for _ in range(60)]
+    lines = list(dict.fromkeys(x for x in lines if x.strip() == x))
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 0").count()
+    assert abs(out - len(set(brute_lines(lines)))) <= 1
+    assert line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)) * 2, "doc_id long, text string")).where("n_removed = 0").count() == 2 * out  # repeated rows decide alike
+
+
+def test_recall_of_bands_and_sketches(spark):
+    """Of pairs of similarity 0.8 to 0.85 at least 0.985 agree in a band, and of these all but one in 200 pass both sketches."""
+    pairs = []
+    while len(pairs) < 600:
+        x = prose(rng.randint(8, 120))
+        y = changed(x, max(1, len(x) // 42))
+        if 0.8 <= jaccard(x, y) < 0.86:
+            pairs.append((x, y))
+    lines = spark.createDataFrame([(2 * i + k, pair[k]) for i, pair in enumerate(pairs) for k in (0, 1)], "d long, norm string").repartition("d").cache()
+    sigs, long_ = line_dedup.signatures(lines, 5, 4, 6), line_dedup.long_sketches(lines, 5)
+    own = sigs.join(long_, "d").withColumn("pair", F.expr("d div 2")).cache()
+    x, y = own.where("d % 2 = 0").alias("x"), own.where("d % 2 = 1").alias("y")
+    out = x.join(y, F.col("x.pair") == F.col("y.pair")).select(F.expr("size(array_intersect(x.bands, y.bands)) > 0").alias("band"), line_dedup.near("x.q", "y.q").alias("near"), line_dedup.alike("x", "y", 80).alias("alike")).collect()
+    met = [r for r in out if r["band"]]
+    assert len(out) == 600 and len(met) >= 0.985 * 600 and sum(r["near"] and r["alike"] for r in met) >= 0.995 * len(met)
 
 
 @pytest.mark.parametrize("block", [decontam.BLOCK_CHARS, 300])
