@@ -87,9 +87,9 @@ def near(a: str, b: str) -> Column:
 def long_sketches(lines: DataFrame, width: int) -> DataFrame:
     """(d, w0.., c): of each of 32 * WORDS hash buckets two bits of its least shingle hash, and how many buckets hold any."""
     bins = 32 * WORDS
-    least = shingles(lines, width, "d").groupBy("d", F.expr(f"h & {bins - 1}").cast("int").alias("k")).agg(F.min("h").alias("h"))
-    word = lambda w: F.bit_or(F.expr(f"case when k div 32 = {w} then shiftleft((h >> 40) & 3, 2 * (k % 32)) else 0L end")).alias(f"w{w}")
-    return least.groupBy("d").agg(F.count("k").alias("c"), *[word(w) for w in range(WORDS)])
+    least = shingles(lines, width, "d").groupBy("d", F.expr(f"cast(h & {bins - 1} as int)").alias("k")).agg(F.min("h").alias("h"))
+    each = least.groupBy("d", F.expr("k div 32").alias("w")).agg(F.count("*").alias("c"), F.bit_or(F.expr("shiftleft((h >> 40) & 3, 2 * (k % 32))")).alias("bits"))
+    return each.groupBy("d").agg(F.sum("c").alias("c"), *[F.max(F.when(F.col("w") == w, F.col("bits"))).alias(f"v{w}") for w in range(WORDS)]).select("d", "c", *[F.coalesce(f"v{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
 
 
 def alike(x: str, y: str, percent: int) -> Column:
@@ -108,11 +108,11 @@ def alike(x: str, y: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose shingle sets have 100 * intersection >= percent * union. Sets are rows, not arrays: each pair's rows stay in the partition of its join."""
-    x = texts.select(F.col("d").alias("a"), _units("norm").alias("ux"))
-    y = texts.select(F.col("d").alias("b"), _units("norm").alias("uy"))
+    x = texts.select(F.col("d").alias("a"), F.col("norm").alias("x"))
+    y = texts.select(F.col("d").alias("b"), F.col("norm").alias("y"))
     size = lambda u: F.expr(f"greatest(int(length({u}) / 2) - {width - 1}, 1)")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "ux", "uy", size("ux").alias("nx"), size("uy").alias("ny"))
-    at = both.select("a", "b", "ux", "uy", "nx", F.explode(F.expr("sequence(0, nx + ny - 1)")).alias("i"))
+    both = pairs.hint("shuffle_hash").join(x, "a").join(y, "b").select("a", "b", _units("x").alias("ux"), _units("y").alias("uy"))
+    at = both.select("a", "b", "ux", "uy", size("ux").alias("nx"), F.explode(F.sequence(F.lit(0), size("ux") + size("uy") - 1)).alias("i"))
     each = at.select("a", "b", F.expr("if(i < nx, 1, 2)").alias("side"), F.xxhash64(F.expr(f"if(i < nx, substring(ux, 2 * i + 1, {2 * width}), substring(uy, 2 * (i - nx) + 1, {2 * width}))")).alias("h"))
     sets = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
     return sets.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("i")).where(F.col("i") * 100 >= F.col("n") * percent).select("a", "b")
@@ -123,7 +123,7 @@ def line_components(lines: DataFrame, sigs: DataFrame, width: int, percent: int,
     table = sigs.select("d", "q", F.explode("bands").alias("band"))
     several = table.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b2"))
     members = c.cut(table.join(several.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi"), "line-buckets")
-    texts = c.cut(lines.select("d", "norm").join(members.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash"), F.col("d") == F.col("d2"), "left_semi"), "line-texts")
+    texts = c.cut(lines.select("d", "norm").join(members.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash"), F.col("d") == F.col("d2"), "left_semi"), "line_texts", by="d")
     roots = None
 
     def known(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -163,7 +163,7 @@ def line_components(lines: DataFrame, sigs: DataFrame, width: int, percent: int,
     x, y = open_.alias("x"), open_.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near("x.q", "y.q")
     live = c.cut(x.join(y, across, "left_semi"), "line-live")
-    sketches = c.cut(long_sketches(texts.join(live.select(F.col("d").alias("d2")).distinct(), F.col("d") == F.col("d2"), "left_semi"), width), "line-sketches")
+    sketches = c.cut(long_sketches(texts.join(live.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash"), F.col("d") == F.col("d2"), "left_semi"), width), "line-sketches")
     own = sketches.join(sigs.select(F.col("d").alias("d2"), "bands"), F.col("d") == F.col("d2")).drop("d2").withColumnRenamed("d", "d3")
     last = c.cut(live.join(own, F.col("d") == F.col("d3")).drop("d3"), "line-last")
     first = F.expr("get(array_intersect(x.bands, y.bands), 0) = x.band")  # each pair once; a pivot has left the bands where it was one, and its pairs there are settled
