@@ -26,8 +26,8 @@ from quern.llm import common as c
 
 #: Fields of a short sketch, of three bits each, and how many of them two lines may differ in.
 FIELDS, APART = 21, 8
-#: Words of a long sketch: 32 buckets each.
-WORDS = 32
+#: Words of a long sketch: 64 hash buckets each.
+WORDS = 64
 
 
 def masks(n: int) -> list[int]:
@@ -85,25 +85,22 @@ def near(a: str, b: str) -> Column:
 
 
 def long_sketches(lines: DataFrame, width: int) -> DataFrame:
-    """(d, w0.., c): of each of 32 * WORDS hash buckets two bits of its least shingle hash, and how many buckets hold any."""
-    bins = 32 * WORDS
-    least = shingles(lines, width, "d").groupBy("d", F.expr(f"cast(h & {bins - 1} as int)").alias("k")).agg(F.min("h").alias("h"))
-    each = least.groupBy("d", F.expr("k div 32").alias("w")).agg(F.count("*").alias("c"), F.bit_or(F.expr("shiftleft((h >> 40) & 3, 2 * (k % 32))")).alias("bits"))
-    return each.groupBy("d").agg(F.sum("c").alias("c"), *[F.max(F.when(F.col("w") == w, F.col("bits"))).alias(f"v{w}") for w in range(WORDS)]).select("d", "c", *[F.coalesce(f"v{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
+    """(d, w0.., c): which of 64 * WORDS hash buckets hold a shingle of the line, and how many."""
+    each = shingles(lines, width, "d").groupBy("d", F.expr(f"cast((h >> 6) & {WORDS - 1} as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    return each.groupBy("d").agg(F.sum(F.bit_count("bits")).alias("c"), *[F.max(F.when(F.col("w") == w, F.col("bits"))).alias(f"v{w}") for w in range(WORDS)]).select("d", "c", *[F.coalesce(f"v{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
 
 
 def alike(x: str, y: str, percent: int) -> Column:
     """Whether two long sketches differ in no more buckets than sets of that similarity do on average, and 3.3 standard deviations.
 
-    Of the buckets that either set fills, those differ whose least member only one set has; three in four of them show it.
+    n members fill n' = B (1 - exp(-n / B)) of B buckets; of sets a and b of similarity s the union has (a + b) / (1 + s) members.
     """
-    bins, near_ = 32 * WORDS, percent / 100
-    apart = " + ".join(f"bit_count((({x}.w{w} ^ {y}.w{w}) | ({x}.w{w} ^ {y}.w{w}) >> 1) & 6148914691236517205L)" for w in range(WORDS))
-    empty = f"pow(1 - least(greatest({x}.c, {y}.c), {bins - 1}) / {bins}, {2 / (1 + near_)})"
-    full = f"({bins} * (1 - {empty}))"
-    hidden = f"(1 + (1 - {empty}) / ln({empty}))"  # the share of members that are not the least of their bucket
-    variance = f"({full} * ({0.5625 * near_ * (1 - near_)} * {hidden} + {0.1875 * (1 - near_)}))"
-    return F.expr(f"{apart} <= {0.75 * (1 - near_)} * {full} + 3.3 * sqrt({variance}) + 1")
+    bins, union = 64 * WORDS, 1 + percent / 100
+    size = lambda z: f"ln(1 - least({z}.c, {bins - 1}) / {bins}D)"  # noqa: E731  minus members by buckets
+    empty = f"exp(({size(x)} + {size(y)}) / {union})"
+    mean = f"({2 * bins} * (1 - {empty}) - {x}.c - {y}.c)"
+    apart = " + ".join(f"bit_count({x}.w{w} ^ {y}.w{w})" for w in range(WORDS))
+    return F.expr(f"{apart} <= {mean} + 3.3 * sqrt(greatest({mean}, 0) * (1 - {empty}) + 1) + 1")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -118,17 +115,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return sets.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("i")).where(F.col("i") * 100 >= F.col("n") * percent).select("a", "b")
 
 
-def line_components(lines: DataFrame, sigs: DataFrame, width: int, percent: int, turns: tuple[int, ...]) -> DataFrame:
-    """(node, root) of the lines that have a similar one. turns: how many pivots a bucket gets in each turn."""
-    table = sigs.select("d", "q", F.explode("bands").alias("band"))
+def buckets(sigs: DataFrame, first: int, n: int) -> DataFrame:
+    """(band, d, q) of the lines that share one of n bands with another line."""
+    table = sigs.select("d", "q", F.explode(F.slice("bands", first + 1, n)).alias("band"))
     several = table.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b2"))
-    members = c.cut(table.join(several.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi"), "line-buckets")
-    texts = c.cut(lines.select("d", "norm").join(members.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash"), F.col("d") == F.col("d2"), "left_semi"), "line_texts", by="d")
+    return table.join(several.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi")
+
+
+def line_components(lines: DataFrame, sigs: DataFrame, width: int, groups: int, percent: int, pivots: int) -> DataFrame:
+    """(node, root) of the lines that have a similar one."""
+    halves = [c.cut(buckets(sigs, k * groups, groups), "line-buckets") for k in range(2)]  # one after the other, for their shuffles' disk
+    members = halves[0].union(halves[1])
+    ids = lambda df: df.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash")
+    texts = c.cut(lines.select("d", "norm").join(ids(members), F.col("d") == F.col("d2"), "left_semi"), "line_texts", by="d")
     roots = None
 
-    def known(df: DataFrame, col: str, name: str) -> DataFrame:
-        if roots is None:
-            return df.withColumn(name, F.col(col))
+    def known(df: DataFrame, col: str = "d", name: str = "root") -> DataFrame:
         own = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         return df.join(own, F.col(col) == F.col("n2"), "left").withColumn(name, F.coalesce("r2", F.col(col))).drop("n2", "r2")
 
@@ -138,48 +140,46 @@ def line_components(lines: DataFrame, sigs: DataFrame, width: int, percent: int,
         c.release(links, *([] if roots is None else [roots]))
         return out
 
-    for turn, pivots in enumerate(turns):
-        # The least line of each class of a hash that differs from turn to turn: several pivots, so that a line far from one meets a nearer one.
-        part = F.expr(f"pmod(xxhash64({turn}, d), {pivots})")
-        chosen = members.groupBy("band").agg(*[x for k in range(pivots) for x in (F.min(F.when(part == k, F.col("d"))).alias(f"p{k}"), F.min_by("q", F.when(part == k, F.col("d"))).alias(f"q{k}"))])
-        held = members.join(chosen.withColumnRenamed("band", "b2"), F.col("band") == F.col("b2")).drop("b2")
-        meets = [F.when((F.col(f"p{k}") != F.col("d")) & near("q", f"q{k}"), F.col(f"p{k}")) for k in range(pivots)]
-        pairs = held.select("d", F.explode(F.array_compact(F.array(*meets))).alias("p")).distinct()
-        if roots is not None:
-            pairs = known(known(pairs, "d", "rd"), "p", "rp").where("rd <> rp")
-        roots = joined(pairs)
-        # All pairs with a pivot are settled: pivots leave. Buckets whose other members are in one component are done.
-        is_pivot = F.coalesce(F.expr(" or ".join(f"d <=> p{k}" for k in range(pivots))), F.lit(False))
-        rest = c.cut(known(held.where(~is_pivot).select("band", "d", "q"), "d", "root"), "line-rest")
-        more = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("b2"))
-        left = c.cut(rest.join(more, F.col("band") == F.col("b2"), "left_semi").select("band", "d", "q"), "line-buckets")
-        c.release(members, rest)
-        members = left
-        if members.isEmpty():
-            c.release(members, texts)
-            return roots
+    # The least line of a bucket meets all others; then it leaves, as all its pairs there are settled.
+    chosen = members.groupBy(F.col("band").alias("b2")).agg(F.min("d").alias("p"), F.min_by("q", "d").alias("qp"))
+    held = members.join(chosen, F.col("band") == F.col("b2")).where("d <> p").drop("b2")
+    roots = joined(held.where(near("q", "qp")).select("d", "p"))
+    rest = c.cut(known(held.select("band", "d", "q")), "line-rest")
+    c.release(*halves)
+    more = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("b2"))
+    open_ = c.cut(rest.join(more.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi"), "line-open")
     # What is left are mostly strangers that share a band by chance: only lines with a partner across components and near by sketch go on.
-    open_ = c.cut(known(members, "d", "root"), "line-open")
     x, y = open_.alias("x"), open_.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near("x.q", "y.q")
     live = c.cut(x.join(y, across, "left_semi"), "line-live")
-    sketches = c.cut(long_sketches(texts.join(live.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash"), F.col("d") == F.col("d2"), "left_semi"), width), "line-sketches")
+    c.release(rest, open_)
+    if live.isEmpty():
+        c.release(live, texts)
+        return roots
+    sketches = long_sketches(texts.join(ids(live), F.col("d") == F.col("d2"), "left_semi"), width)
     own = sketches.join(sigs.select(F.col("d").alias("d2"), "bands"), F.col("d") == F.col("d2")).drop("d2").withColumnRenamed("d", "d3")
     last = c.cut(live.join(own, F.col("d") == F.col("d3")).drop("d3"), "line-last")
-    first = F.expr("get(array_intersect(x.bands, y.bands), 0) = x.band")  # each pair once; a pivot has left the bands where it was one, and its pairs there are settled
-    x, y = last.alias("x"), last.alias("y")
-    pairs = x.join(y, across & (F.col("x.d") < F.col("y.d")) & alike("x", "y", percent) & first)
-    roots = joined(pairs.select(F.col("x.d").alias("d"), F.col("y.d").alias("p")))
-    c.release(members, texts, open_, live, sketches, last)
+    c.release(live)
+    # Some pivots a bucket join what is dense; then come all pairs across components, each in its first common band
+    # only: the first pivot has left that band, but then its pairs there are settled.
+    part = F.expr(f"pmod(xxhash64(1, d), {pivots})")
+    chosen = last.groupBy(F.col("band").alias("b2"), part.alias("k")).agg(F.min("d").alias("p"))
+    x, y = last.alias("x"), last.join(chosen.drop("k"), (F.col("band") == F.col("b2")) & (F.col("d") == F.col("p")), "left_semi").alias("y")
+    roots = joined(x.join(y, across & alike("x", "y", percent)).select(F.col("x.d").alias("d"), F.col("y.d").alias("p")))
+    ends = c.cut(known(last.drop("root")), "line-ends")
+    x, y = ends.alias("x"), ends.alias("y")
+    once = F.expr("x.d < y.d and get(array_intersect(x.bands, y.bands), 0) = x.band")
+    roots = joined(x.join(y, across & alike("x", "y", percent) & once).select(F.col("x.d").alias("d"), F.col("y.d").alias("p")))
+    c.release(texts, last, ends)
     return roots
 
 
-def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, rows: int = 4, groups: int = 6, percent: int = 80, turns: tuple[int, ...] = (1, 4)) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, rows: int = 4, groups: int = 6, percent: int = 80, pivots: int = 4) -> DataFrame:
     """(k1, k2, words): the lines of each document that go, as bits in 64-bit words; documents that keep all aren't in it."""
     occ = occurrences(docs, text, id_col)
     lines = c.cut(occ.groupBy("d").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.first("norm").alias("norm")), "lines", by="d")
     sigs = c.cut(signatures(lines, width, rows, groups), "line-signatures")
-    roots = line_components(lines, sigs, width, percent, turns)
+    roots = line_components(lines, sigs, width, groups, percent, pivots)
     own = lines.select("d", "lo", "hi").join(roots, F.col("d") == F.col("node"), "left").where("lo <> hi or root is not null").withColumn("root", F.coalesce("root", "d"))
     keep = own.groupBy("root").agg(F.min("lo").alias("stay")).withColumnRenamed("root", "r2")
     decide = c.cut(own.select("d", "root").join(keep, F.col("root") == F.col("r2")).select(F.col("d").alias("d2"), "stay"), "line-stay")
