@@ -4,8 +4,8 @@ Texts are cut into windows of `window` bytes, all of them, the last one padded.
 and 4 bytes (a filter is a sum of one learned vector a byte and offset, so two offsets fold into one table look-up at
 prediction), a rectifier, the greatest value of each filter, and a softmax; a text's scores are the mean over its windows.
 
-Training learns only from the text and label of the rows given: at most `per_class` rows of each label (those of the least hash, about) and one
-window of each. That bound is the only one: prediction reads whole texts. A null text, or one without a letter, is
+Training learns only from the text and label of the rows given: at most `per_class` different texts of each label, cut to
+4096 characters, and one window of each an epoch. That bound is the only one: prediction reads whole texts. A null text, or one without a letter, is
 `und` with score 0. Without any training rows every text is `und`. Ties go to the first label in order. Repeated rows are rows of their own.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import common as c
@@ -125,12 +126,28 @@ def predict(model: Model, folded, texts: list[bytes], block: int = 64) -> np.nda
     return total / np.bincount(of, minlength=len(texts))[:, None]
 
 
-def learn(rows: DataFrame, text: str = "text", label: str = "lang", per_class: int = 1000, **how) -> Model | None:
-    """A model of the labels of rows, from a bounded sample of each."""
-    base = rows.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).where("t is not null and y is not null and t rlike '\\\\p{L}'")
-    counts = base.groupBy("y").agg(F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64("t", "y"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = base.join(counts.withColumnRenamed("y", "y2"), F.col("y") == F.col("y2")).where(u < F.lit(per_class) / F.col("n")).select("t", "y").orderBy(F.xxhash64("t", "y"), "t", "y").collect()
+def sampled(rows: DataFrame, text: str = "text", label: str = "lang", per_class: int = 1000, most_labels: int = 1024, chars: int = 4096) -> DataFrame:
+    """(t, y): at most per_class different texts of each label, drawn by their hash, each cut to `chars` characters from a drawn place on.
+
+    The bound is per_class * most_labels * chars characters; of more labels the most frequent are learned. Copies of a
+    text count and are drawn once. Labels are counted first, so the draw is a filter of the scan and only drawn rows are shuffled.
+    """
+    base = rows.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).where(F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    counts = base.groupBy("y").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).orderBy(F.desc("n"), "y").limit(most_labels).collect()
+    if not counts:
+        return base.where("false")
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, per_class / max(1, r["n"])))])
+    h = F.xxhash64("t", "y")
+    drawn = base.where(F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40)) < share[F.col("y")])
+    start = F.pmod(F.xxhash64(F.lit(1), "t"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1
+    drawn = drawn.select("y", h.alias("h"), F.substring("t", start, F.lit(chars)).alias("t")).dropDuplicates(["y", "h"])
+    return drawn.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h"))).where(F.col("k") <= per_class).select("t", "y", "h")
+
+
+def learn(rows: DataFrame, text: str = "text", label: str = "lang", **how) -> Model | None:
+    """A model of the labels of rows, from a bounded sample of each (see sampled)."""
+    bounds = {k: how.pop(k) for k in ("per_class", "most_labels", "chars") if k in how}
+    sample = sorted(sampled(rows, text, label, **bounds).collect(), key=lambda x: (x["h"], x["y"]))
     if not sample:
         return None
     return train([x["t"].encode() for x in sample], [x["y"] for x in sample], **how)

@@ -11,7 +11,7 @@ members still lie in several components go on, and only pairs across components
 Of each component one line stays: that of the least hash of document and place, so which one depends on nothing else.
 
 Recall by calculation, for the defaults (24 values, 12 bands of 4): 0.990 at a similarity of 0.8, 0.9998 at 0.9, of one
-pair on its own. The sketches lose less than one pair in a thousand at 0.8.
+pair on its own. The sketches lose less than one pair in two hundred at 0.8.
 
 A line is known by a 64-bit hash of its text; a document by 128 bits of its id and text, so repeated rows keep the same lines.
 Null texts have no lines and stay null. Empty tables give no rows. All other columns stay as they are.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm import common as c
 
 #: Fields of a short sketch, of three bits each, and how many of them two lines may differ in.
-FIELDS, APART = 21, 8
+FIELDS, APART = 21, 9
 #: Words of a long sketch: 64 hash buckets each.
 WORDS = 64
 

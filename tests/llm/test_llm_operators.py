@@ -218,6 +218,28 @@ def test_language(spark, docs, none):
     assert langid.learn(none) is None and {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """20 000 copies of one text and 500 others: copies are drawn once, rows and characters stay within the bounds."""
+    rows = spark.range(20_000).select(F.lit("hot copy " * 900).alias("text"), F.lit("aa").alias("lang")).union(spark.range(500).select(F.concat(F.lit("own text "), F.col("id").cast("string")), F.lit("bb")))
+    own = langid.sampled(rows, per_class=100).collect()
+    by = {y: [r["t"] for r in own if r["y"] == y] for y in ("aa", "bb")}
+    assert len(by["aa"]) == 1 and 60 <= len(by["bb"]) <= 100 and max(len(r["t"]) for r in own) == 4096
+
+
+def test_language_forward_pass():
+    """Scores against a plain loop over windows, filters and positions."""
+    rng_ = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], 16, [rng_.normal(size=(w, 256, 4)) for w in langid.WIDTHS], rng_.normal(size=12), rng_.normal(size=(12, 3)), rng_.normal(size=3))
+    text = bytes(rng_.integers(32, 127, 40).tolist())
+    each = []
+    for k in range(0, 40, 16):
+        x = text[k : k + 16].ljust(16, b"\0")
+        hidden = [max(0.0, max(sum(t[o][x[i + o]][f] for o in range(w)) for i in range(16 - w + 1)) + model.bias[4 * n + f]) for n, (t, w) in enumerate(zip(model.tables, langid.WIDTHS, strict=True)) for f in range(4)]
+        logit = [sum(h * model.out[j][q] for j, h in enumerate(hidden)) + model.out_bias[q] for q in range(3)]
+        each.append(np.exp(logit) / np.exp(logit).sum())
+    assert np.allclose(langid.predict(model, model.fold(), [text])[0], np.mean(each, axis=0), atol=1e-5)
+
+
 # ---- 8 ----
 
 
