@@ -27,14 +27,18 @@ def strongest(events: DataFrame, least: float, since: Column, most: int = 50) ->
 def lookup(asked: DataFrame, register: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ask, code, tier): an alias, a code, the exact name, or a name that holds the words (of four letters or more) decides, in this order.
 
-    asked: (ask); register: (code, short, name, ord), a small dimension; aliases: (alias, code).
+    asked: (ask); register: (code, short, name, ord), of any size; aliases: (alias, code).
     """
     want = asked.withColumn("k", F.lower(F.trim("ask")))
+    names = register.select(F.lower("name").alias("n"), "code", "ord")
+    # A name that holds the words holds their first four letters: only such names are looked at.
+    grams = names.where("length(n) >= 4").select("*", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(n) - 3), i -> substring(n, i, 4))"))).alias("g"))
+    parts = want.where("length(k) >= 4").withColumn("g", F.substring("k", 1, 4))
     tiers = [
         want.join(aliases.select(F.lower("alias").alias("k"), F.col("code")), "k").select("ask", "code", F.lit(1).alias("tier"), F.lit(0).alias("ord")),
         want.join(register.select(F.lower("short").alias("k"), "code", "ord"), "k").select("ask", "code", F.lit(2).alias("tier"), "ord"),
-        want.join(register.select(F.lower("name").alias("k"), "code", "ord"), "k").select("ask", "code", F.lit(3).alias("tier"), "ord"),
-        want.where(F.length("k") >= 4).join(F.broadcast(register.limit(10_000).select(F.lower("name").alias("n"), "code", "ord")), F.contains(F.col("n"), F.col("k"))).select("ask", "code", F.lit(4).alias("tier"), "ord"),
+        want.join(names.withColumnRenamed("n", "k"), "k").select("ask", "code", F.lit(3).alias("tier"), "ord"),
+        parts.join(grams, "g").where(F.contains(F.col("n"), F.col("k"))).select("ask", "code", F.lit(4).alias("tier"), "ord"),
     ]
     every = tiers[0]
     for x in tiers[1:]:

@@ -61,9 +61,8 @@ def interleave(lists: DataFrame, limit: int, group: list[str], list_ord: str, ra
 
 
 def gate(terms: Column, hay: Column) -> Column:
-    """Whether any gate token of the query is part of the text; without tokens everything passes."""
-    own = F.lower(hay)
-    return (F.size(terms) == 0) | F.exists(terms, lambda x: F.contains(own, x))
+    """Whether any gate token of the query is part of the text; without tokens everything passes. hay: in lower case, a plain column (a test a token reads it)."""
+    return (F.size(terms) == 0) | F.exists(terms, lambda x: F.contains(hay, x))
 
 
 def filter_or_all(df: DataFrame, cond: Column, keys: list[str]) -> DataFrame:
@@ -73,20 +72,29 @@ def filter_or_all(df: DataFrame, cond: Column, keys: list[str]) -> DataFrame:
 
 
 def pre_score(query: Column, title: Column, snippet: Column) -> Column:
-    """A cheap score before any page is read: .6 a term in the title, else .4 in the snippet, over the number of terms; .3 for the phrase in the title."""
-    terms, name, body = t.short_tokens(query), F.lower(title), F.lower(F.coalesce(snippet, F.lit("")))
+    """A cheap score before any page is read: .6 a term in the title, else .4 in the snippet, over the number of terms; .3 for the phrase in the title.
+
+    title, snippet: in lower case, plain columns that are not null.
+    """
+    terms = t.short_tokens(query)
     n = F.size(terms)
-    part = F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.when(F.contains(name, x), 0.6 / n).when(F.contains(body, x), 0.4 / n).otherwise(0.0))
-    return F.when(n == 0, F.lit(0.5)).otherwise(part + F.when(F.contains(name, F.lower(query)), 0.3).otherwise(0.0))
+    part = F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.when(F.contains(title, x), 0.6 / n).when(F.contains(snippet, x), 0.4 / n).otherwise(0.0))
+    return F.when(n == 0, F.lit(0.5)).otherwise(part + F.when(F.contains(title, F.lower(query)), 0.3).otherwise(0.0))
 
 
-def relevance(query: Column, title: Column, snippet: Column, content: Column) -> Column:
-    """Coverage of the query's terms by title (.5), snippet (.3) and the first 4000 characters of the body (.2), and .15 for the phrase."""
-    terms, phrase = t.plain_tokens(query), t.normalize(query)
-    a, b, d = t.normalize(F.coalesce(title, F.lit(""))), t.normalize(F.coalesce(snippet, F.lit(""))), t.normalize(F.substring(F.coalesce(content, F.lit("")), 1, 4000))
-    share = lambda x: F.size(F.filter(terms, lambda y: F.contains(x, y))) / F.size(terms)
-    bonus = F.when((F.length(phrase) > 8) & (F.contains(a, phrase) | F.contains(d, phrase)), 0.15).otherwise(0.0)
-    return F.when(F.size(terms) == 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), share(a) * 0.5 + share(b) * 0.3 + share(d) * 0.2 + bonus))
+def with_relevance(docs: DataFrame, queries: DataFrame, title: str, snippet: str, content: str, on: Column | None = None) -> DataFrame:
+    """docs joined with queries (query_id, query), and relevance: coverage of the query's terms by title (.5), snippet (.3) and the first 4000 characters of the content (.2), and .15 for the phrase.
+
+    Texts and queries are normalized once each, before they meet.
+    """
+    whole = lambda x: t.normalize(F.coalesce(F.col(x), F.lit("")))
+    own = docs.withColumns({"_a": whole(title), "_b": whole(snippet), "_d": t.normalize(F.substring(F.coalesce(F.col(content), F.lit("")), 1, 4000))})
+    ask = queries.select(F.col("query_id").alias("_q"), F.col("query").alias("_query"), t.plain_tokens(F.col("query")).alias("_terms"), t.normalize(F.col("query")).alias("_p"))
+    both = own.crossJoin(ask) if on is None else own.join(ask, on)
+    share = lambda x: F.size(F.filter("_terms", lambda y: F.contains(F.col(x), y))) / F.size("_terms")
+    bonus = F.when((F.length("_p") > 8) & (F.contains(F.col("_a"), F.col("_p")) | F.contains(F.col("_d"), F.col("_p"))), 0.15).otherwise(0.0)
+    score = F.when(F.size("_terms") == 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), share("_a") * 0.5 + share("_b") * 0.3 + share("_d") * 0.2 + bonus))
+    return both.withColumn("relevance", score).drop("_a", "_b", "_d", "_terms", "_p")
 
 
 def credibility(url: Column, n_chars: Column) -> Column:
@@ -112,6 +120,6 @@ def corroborated(score: Column, n: Column) -> Column:
     return F.when(n > 1, F.least(F.lit(1.0), score + F.least(F.lit(0.1), 0.03 * n))).otherwise(score)
 
 
-def overall(rel: Column, cred: Column, fresh: Column, r: Column, c: Column, f: Column) -> Column:
+def overall(rel: Column, cred: Column, fresh: Column, r: Column, c: Column, f: Column, digits: int = 3) -> Column:
     """Weighted by intent, and scaled down below a relevance of one half."""
-    return F.round((rel * r + cred * c + fresh * f) * F.least(F.lit(1.0), rel / 0.5), 3)
+    return F.round((rel * r + cred * c + fresh * f) * F.least(F.lit(1.0), rel / 0.5), digits)

@@ -249,10 +249,10 @@ def host_diversify(spark, sf_dir):
 _GATE = "list_transform(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) >= 4), lambda x: left(x, greatest(4, length(x) - 2)))"
 
 
-@query(f"SELECT query_id, doc_id FROM documents, (SELECT query_id, {_GATE} AS t FROM {values(ASKED[:4])} v(query_id, query)) WHERE len(t) = 0 OR len(list_filter(t, lambda x: contains(lower(left(text, 300)), x))) > 0")
+@query(f"SELECT query_id, doc_id FROM documents, (SELECT query_id, {_GATE} AS t FROM {values(ASKED[:4])} v(query_id, query)) WHERE len(t) = 0 OR len(list_filter(t, lambda x: contains(lower(text), x))) > 0")
 def relevance_gate(spark, sf_dir):
     own = spark.createDataFrame(ASKED[:4], "query_id int, query string").select("query_id", t.gate_tokens(F.col("query")).alias("terms"))
-    return table(spark, sf_dir, "documents").join(F.broadcast(own), fuse.gate(F.col("terms"), F.left("text", F.lit(300)))).select("query_id", "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay")).join(own, fuse.gate(F.col("terms"), F.col("hay"))).select("query_id", "doc_id")
 
 
 _PRE = "list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) >= 3)"
@@ -260,18 +260,19 @@ _PRE = "list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: lengt
 
 @query(
     f"""WITH s AS (SELECT query_id, page_id, CASE WHEN len(t) = 0 THEN 0.5::DOUBLE ELSE coalesce(list_sum(list_transform(t, lambda x: CASE WHEN contains(ti, x) THEN 0.6::DOUBLE / len(t) WHEN contains(sn, x) THEN 0.4::DOUBLE / len(t) ELSE 0 END)), 0) + CASE WHEN contains(ti, lower(query)) THEN 0.3 ELSE 0 END END AS score
-FROM (SELECT query_id, query, {_PRE} AS t FROM {values(ASKED[:4])} v(query_id, query)), (SELECT page_id, lower(url) AS ti, lower(left(html, 500)) AS sn FROM pages)),
+FROM (SELECT query_id, query, {_PRE} AS t FROM {values(ASKED[:4])} v(query_id, query)), (SELECT page_id, lower(url) AS ti, lower(html) AS sn FROM pages)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM s) SELECT query_id, page_id, rank, round(score, 9) AS score FROM r WHERE rank <= 11"""
 )
 def prescore_topn(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", "url", F.left("html", F.lit(500)).alias("s")).join(F.broadcast(spark.createDataFrame(ASKED[:4], "query_id int, query string")))
-    own = own.withColumn("score", F.round(fuse.pre_score(F.col("query"), F.col("url"), F.col("s")), 9))
+    own = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("title"), F.lower(F.coalesce("html", F.lit(""))).alias("snippet"))
+    own = own.crossJoin(spark.createDataFrame(ASKED[:4], "query_id int, query string"))
+    own = own.withColumn("score", F.round(fuse.pre_score(F.col("query"), F.col("title"), F.col("snippet")), 9))
     return own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "page_id")).cast("long")).where("rank <= 11").select("query_id", "page_id", "rank", "score")
 
 
 # ---- scores ----
 
-_REL_NORM = {k: q.normalize(v) for k, v in (("ti", "source"), ("sn", "left(text, 200)"), ("bo", "substr(text, 1, 4000)"))}
+_REL_NORM = {k: q.normalize(v) for k, v in (("ti", "source"), ("sn", "text"), ("bo", "substr(text, 1, 4000)"))}
 
 
 @query(
@@ -280,8 +281,8 @@ _REL_NORM = {k: q.normalize(v) for k, v in (("ti", "source"), ("sn", "left(text,
 FROM (SELECT query_id, {q.plain_tokens('query')} AS t, {q.normalize('query')} AS p FROM {values(ASKED[:3])} v(query_id, query)), (SELECT doc_id, {_REL_NORM['ti']} AS ti, {_REL_NORM['sn']} AS sn, {_REL_NORM['bo']} AS bo FROM documents)"""
 )
 def relevance_score(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").join(F.broadcast(spark.createDataFrame(ASKED[:3], "query_id int, query string")))
-    return own.select("query_id", "doc_id", F.round(fuse.relevance(F.col("query"), F.col("source"), F.left("text", F.lit(200)), F.col("text")), 6).alias("relevance"))
+    own = fuse.with_relevance(table(spark, sf_dir, "documents"), spark.createDataFrame(ASKED[:3], "query_id int, query string"), "source", "text", "text")
+    return own.select(F.col("_q").alias("query_id"), "doc_id", F.round("relevance", 6).alias("relevance"))
 
 
 HOSTS = ["https://www.gov.uk/x", "https://arxiv.org/abs/1", "http://en.wikipedia.org/wiki/X", "https://www.bbc.co.uk/news", "https://docs.rust-lang.org/", "https://github.com/a/b", "https://me.blogspot.com/", "not an address", "https://pubmed.ncbi.nlm.nih.gov/1", "https://example.com/"]
@@ -315,8 +316,7 @@ FROM (SELECT doc_id, 0.45::DOUBLE AS c, doc_id % 5 AS n FROM documents))"""
 )
 def overall_score(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", ((F.col("doc_id") % 101) / 100.0).alias("rel"), fuse.corroborated(F.lit(0.45), F.col("doc_id") % 5).alias("cred"))
-    raw = (F.col("rel") * 0.45 + F.col("cred") * 0.4 + F.lit(0.5) * 0.15) * F.least(F.lit(1.0), F.col("rel") / 0.5)
-    return own.select("doc_id", F.round(raw, 6).alias("overall"))
+    return own.select("doc_id", fuse.overall(F.col("rel"), F.col("cred"), F.lit(0.5), F.lit(0.45), F.lit(0.4), F.lit(0.15), digits=6).alias("overall"))
 
 
 # ---- pages ----
@@ -382,13 +382,13 @@ def chunk_totals(spark, sf_dir):
     return chunk.chunk(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("estimated_tokens").alias("tokens"))
 
 
-_NEWS = f"SELECT doc_id AS id, left(text, 120) AS title, substr(text, 121, 300) AS snippet, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR * (doc_id % 500) AS p FROM documents"
+_NEWS = f"SELECT doc_id AS id, source AS title, text AS snippet, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR * (doc_id % 500) AS p FROM documents"
 _TERMS = f"list_filter(list_transform(list_transform(regexp_split_to_array(query, '\\s+'), lambda x: lower(translate(x, 'Iİ', 'ıi'))), lambda x: CASE WHEN length(x) <= 4 THEN x ELSE regexp_replace(x, '(?:{'|'.join(news.SUFFIXES)})$', '') END), lambda x: length(x) >= 3)"
 
 
 def items(spark, sf_dir):
     hours = F.expr("make_dt_interval(0, cast(doc_id % 500 as int))")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(120)).alias("title"), F.substring("text", 121, 300).alias("snippet"), (F.lit("2024-01-31 00:00:00").cast("timestamp") - hours).alias("published_at"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("snippet"), (F.lit("2024-01-31 00:00:00").cast("timestamp") - hours).alias("published_at"))
 
 
 @query(
@@ -517,13 +517,13 @@ def ttl_table(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_id % 4 = 0), p AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_id % 4 = 1)
+    """WITH e AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_type IN ('purchase', 'signup')), p AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_type NOT IN ('purchase', 'signup'))
 SELECT p.event_id AS probe_id, coalesce(max(e.ts) + INTERVAL 6 HOUR > any_value(p.ts), FALSE) AS hit FROM p LEFT JOIN e ON e.k = p.k AND e.ts <= p.ts GROUP BY p.event_id"""
 )
 def cache_asof_hits(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    entries = events.where("event_id % 4 = 0").select(F.col("user_id").alias("k"), F.col("ts").alias("stored_at"), (F.col("ts") + F.expr("interval 6 hours")).alias("expires_at"), F.col("event_id").cast("string").alias("payload"))
-    probes = events.where("event_id % 4 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("probe_id"), F.col("ts").alias("at"))
+    entries = events.where("event_type in ('purchase', 'signup')").select(F.col("user_id").alias("k"), F.col("ts").alias("stored_at"), (F.col("ts") + F.expr("interval 6 hours")).alias("expires_at"), F.col("event_id").cast("string").alias("payload"))
+    probes = events.where("event_type not in ('purchase', 'signup')").select(F.col("user_id").alias("k"), F.col("event_id").alias("probe_id"), F.col("ts").alias("at"))
     return ops.as_of(probes, entries, "k").select("probe_id", "hit")
 
 
@@ -595,11 +595,11 @@ def first_of_source(spark, sf_dir):
 # ---- sinks and batches ----
 
 
-@query(_BM25 + " SELECT query_id, array_to_string(list(rank || '. d' || r.id || chr(10) || 'doc:' || r.id || chr(10) || left(trim(regexp_replace(left(text, 900), '\\s+', ' ', 'g')), 700) ORDER BY rank), chr(10) || chr(10)) AS text FROM r JOIN documents ON doc_id = r.id WHERE rank <= 3 GROUP BY query_id")
+@query(_BM25 + " SELECT query_id, array_to_string(list(rank || '. d' || r.id || chr(10) || 'doc:' || r.id || chr(10) || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 700) ORDER BY rank), chr(10) || chr(10)) AS text FROM r JOIN documents ON doc_id = r.id WHERE rank <= 3 GROUP BY query_id")
 def render_results(spark, sf_dir):
     own = _ranked(spark, sf_dir, 3).join(documents(spark, sf_dir), "id")
     name = F.col("id").cast("string")
-    return sinks.render(own.select("query_id", "rank", F.concat(F.lit("d"), name).alias("title"), F.concat(F.lit("doc:"), name).alias("url"), F.left("text", F.lit(900)).alias("snippet")))
+    return sinks.render(own.select("query_id", "rank", F.concat(F.lit("d"), name).alias("title"), F.concat(F.lit("doc:"), name).alias("url"), F.col("text").alias("snippet")))
 
 
 @query("SELECT user_id % 50 AS batch, count(*) AS queries, sum((event_type <> 'error')::INT)::BIGINT AS succeeded, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS providers, bool_and(event_id % 3 = 0) AS all_cached FROM events GROUP BY 1")

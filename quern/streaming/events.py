@@ -47,17 +47,26 @@ def streaks(calls: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def upsert(path: str, key: str):
-    """For foreachBatch: keeps the latest row a key in a table, written anew beside the old one and then put in its place."""
+    """For foreachBatch: keeps the latest row a key in a table, written anew beside the old one and then put in its place.
+
+    The old table is renamed aside before the new one takes its name, and deleted after that: whenever a driver dies, one
+    whole table is there, and the next batch puts it back first. A batch that is written again changes nothing.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        new, old = fs_path(f"{path}.new"), fs_path(path)
-        fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        all_rows = batch if not fs.exists(old) else spark.read.parquet(path).unionByName(batch)
+        own, new, aside = fs_path(path), fs_path(f"{path}.new"), fs_path(f"{path}.old")
+        fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(own) and fs.exists(aside):
+            fs.rename(aside, own)
+        all_rows = batch if not fs.exists(own) else spark.read.parquet(path).unionByName(batch)
         latest = all_rows.groupBy(key).agg(F.max_by(F.struct(*all_rows.columns), F.struct("ts", *[x for x in all_rows.columns if x not in ("ts", key)])).alias("x")).select("x.*")
-        latest.write.mode("overwrite").parquet(str(new.toString()))
-        fs.delete(old, True)
-        fs.rename(new, old)
+        latest.write.mode("overwrite").parquet(new.toString())
+        fs.delete(aside, True)
+        if fs.exists(own):
+            fs.rename(own, aside)
+        fs.rename(new, own)
+        fs.delete(aside, True)
 
     return write

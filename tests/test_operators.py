@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,11 +50,23 @@ def test_rank_of_nothing(spark):
 @pytest.mark.parametrize("size", [200, 500])
 def test_chunks(size):
     text = "# Title\n\nIntro line one. It has words.\n\n## Part\n\n" + "Sentence about padding goes here. " * 60 + "\n\n## Other\n\nShort tail."
-    out = chunk.chunks(text, size, 60)
+    out = chunk.chunks(pd.Series([text, "", None, "One sentence.", "x" * 3000]), size, 60)
+    assert out["doc"].value_counts().to_dict()[3] == 1 and not {1, 2} & set(out["doc"]) and sum(out["doc"] == 4) >= 5
+    out = out[out["doc"] == 0].to_dict("records")
     assert len(out) >= 3 and [c["index"] for c in out] == list(range(len(out)))
     assert all(c["chars"] <= size + 180 for c in out) and [c["start"] for c in out] == sorted(c["start"] for c in out)
     assert any("Part" in c["headings"] for c in out)
-    assert chunk.chunks("") == [] == chunk.chunks(None) and len(chunk.chunks("One sentence.")) == 1 and len(chunk.chunks("x" * 3000, 500)) >= 5
+
+
+def test_chunk_trails():
+    """A heading ends those of its depth and below; a lone line without a stop is one of depth 1; small blocks are packed, overlaps stay within a trail."""
+    text = "# A\n\n## B\n\none.\n\n### C\n\ntwo.\n\n## D\nthree.\n\nLone line\n\nfour.\nfive"
+    out = chunk.chunks(pd.Series([text]))
+    assert out[["headings", "text"]].to_numpy().tolist() == [[["A", "B"], "one."], [["A", "B", "C"], "two."], [["A", "D"], "three."], [["Lone line"], "four.\nfive"]]
+    long = "\n\n".join(f"Paragraph {i} " + "word " * 30 + "end." for i in range(4))
+    out = chunk.chunks(pd.Series([long]), 200, 20).to_dict("records")
+    assert len(out) == 4 and all(b["text"].startswith(a["text"][-20:] + " ") for a, b in zip(out, out[1:], strict=False))
+    assert long[out[2]["start"] :].startswith("Paragraph 2")
 
 
 def test_chunk_rows(spark):
