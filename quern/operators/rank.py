@@ -107,3 +107,21 @@ def mmr(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float =
         return out.assign(rank=np.arange(1, len(out) + 1))
 
     return own.select("query_id", "id", "rank", "score", "terms").groupBy("query_id").applyInPandas(pick, "query_id int, id long, score double, rank int")
+
+
+def rerank(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.0, passage: int = 320, title: str | None = None) -> DataFrame:
+    """(query_id, id, rank, score, relative, matched_terms, best_passage): the best documents of each query, then others by id up to top_k.
+
+    With a diversity, the matching ones are picked by mmr. Others have score 0, no terms and no passage. At most 2 * top_k of them are
+    looked at, as fewer than top_k of these match where places are left.
+    """
+    best = bm25(docs, queries, top_k if not diversity else None, title)
+    if diversity:
+        picked = mmr(docs, queries, top_k, diversity).select(F.col("query_id").alias("_q"), F.col("id").alias("_i"), F.col("rank").alias("_r"))
+        best = best.join(picked, (F.col("query_id") == F.col("_q")) & (F.col("id") == F.col("_i"))).withColumn("rank", F.col("_r")).drop("_q", "_i", "_r")
+    n = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < top_k)
+    first = docs.select("id").orderBy("id").limit(2 * top_k)
+    rest = n.crossJoin(first).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rest = rest.withColumn("rank", F.col("n").cast("int") + F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= top_k)
+    own = passages(best, docs, queries, passage)
+    return own.unionByName(rest.select("query_id", "id", "rank", F.lit(0.0).alias("score"), F.lit(0.0).alias("relative"), F.array().cast("array<string>").alias("matched_terms")), allowMissingColumns=True)

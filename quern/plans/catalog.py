@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.functions import urls as u
-from quern.operators import chunk, claims, extract, facts, fuse, graph, news, ops, planner, rank, sinks
+from quern.operators import chunk, claims, extract, facts, fuse, graph, news, ops, planner, rank, search, sinks
 from quern.plans import sql as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,6 +342,49 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(extract.links(F.col("html"), F.col("url"))).alias("x")).select("page_id", "x.text", "x.url")
 
 
+# ---- search and rerank ----
+
+SEARCHES = [(0, "the thon of this thing", "general"), (1, "reading queries about language", "technical"), (2, "der einst ungen kommen", "news"), (3, "que los ciones de la", "academic"), (4, "example page about things", "product"), (5, "zzzz qqqq", "finance"), (6, "copyright home about contact", "general")]
+_SHARE = lambda x: f"len(list_filter(t, lambda y: contains({x}, y))) / len(t)::DOUBLE"
+_PAGE_TITLE = ORACLES["html_title"].removeprefix("SELECT page_id, ").removesuffix(" FROM pages")
+
+
+@query(
+    f"""WITH {_LISTS}, ti AS (SELECT page_id, {_PAGE_TITLE} FROM pages),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_ord, k ORDER BY rank) AS n, list_ord * 1000000 + rank AS seen FROM l),
+g AS (SELECT query_id, k, sum(1.0::DOUBLE / (61 + rank)) AS score, count(DISTINCT provider) AS providers, min(seen) AS first, arg_min(url, seen) AS url, arg_min(page_id, seen) AS page_id FROM o WHERE n = 1 GROUP BY query_id, k),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, providers DESC, first) AS rank FROM g),
+c AS (SELECT f.query_id, k, url, rank, title, query, intent, {_PRE} AS short FROM f JOIN ti USING (page_id) JOIN {values(SEARCHES)} v(query_id, query, intent) USING (query_id) WHERE rank <= 20),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN len(short) = 0 THEN 0.5::DOUBLE ELSE coalesce(list_sum(list_transform(short, lambda x: CASE WHEN contains(lower(title), x) THEN 0.6::DOUBLE / len(short) ELSE 0 END)), 0) + CASE WHEN contains(lower(title), lower(query)) THEN 0.3 ELSE 0 END END, 9) DESC, rank) AS position FROM c),
+pg AS (SELECT DISTINCT ON (k) k, html AS content, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR * (page_id % 500) AS published FROM (SELECT *, {q.url_key('url')} AS k FROM pages) ORDER BY k, url, html, published),
+e AS (SELECT p.*, content, published, {q.plain_tokens('query')} AS t, {q.normalize('query')} AS ph, {q.normalize('title')} AS a, {q.normalize('substr(content, 1, 4000)')} AS d, coalesce({q.host('url')}, '') AS h, length(content) AS n, hl, wr, wc, wf
+  FROM p JOIN pg USING (k) JOIN {values([x[:5] for x in fuse.INTENTS])} i(kind, hl, wr, wc, wf) ON kind = intent WHERE position <= 11),
+s AS (SELECT *, round(CASE WHEN len(t) = 0 THEN 0.5 ELSE least(1.0, {_SHARE('a')} * 0.5 + {_SHARE('d')} * 0.2 + CASE WHEN length(ph) > 8 AND (contains(a, ph) OR contains(d, ph)) THEN 0.15 ELSE 0 END) END, 3) AS rel, ({_CRED})::DOUBLE AS c0, count(*) OVER (PARTITION BY query_id, h) AS same,
+  round(pow(0.5, greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(published)) / 3.6e9::DOUBLE) / hl), 3) AS fresh FROM e),
+w AS (SELECT *, round(CASE WHEN same > 1 THEN least(1, c0 + least(0.1, 0.03 * same)) ELSE c0 END::DOUBLE, 3) AS cred FROM s),
+x AS (SELECT *, round((rel * wr::DOUBLE + cred * wc::DOUBLE + fresh * wf::DOUBLE) * least(1, rel / 0.5::DOUBLE), 3) AS overall, max((rel >= 0.15)::INT) OVER (PARTITION BY query_id) AS useful FROM w),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overall DESC, position) AS pos FROM x WHERE rel >= 0.15 OR useful = 0), z AS (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY pos) AS nth FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (nth > 2 AND h <> '')::INT, pos) AS place FROM z) SELECT query_id, place, url, title, rel AS relevance, cred AS credibility, fresh AS freshness, overall FROM r WHERE place <= 10"""
+)
+def search_results(spark, sf_dir):
+    """Fuse, filter, choose, read, score, drop what is off the topic, cap hosts."""
+    hours = F.expr("make_dt_interval(0, cast(page_id % 500 as int))")
+    pages = table(spark, sf_dir, "pages").select("url", F.col("html").alias("content"), (F.lit("2024-01-31 00:00:00").cast("timestamp") - hours).alias("published_at"))
+    out = search.search(lists(spark, sf_dir), pages, spark.createDataFrame(SEARCHES, "query_id int, query string, intent string"), F.lit(NOW).cast("timestamp"))
+    return out.select("query_id", F.col("place").cast("long").alias("place"), "url", "title", "relevance", "credibility", "freshness", "overall")
+
+
+@query(
+    _BM25 + f""", m AS (SELECT query_id, id, rank, score FROM r WHERE rank <= 10), n AS (SELECT v.query_id, count(m.id) AS n FROM {values(ASKED)} v(query_id, query) LEFT JOIN m ON m.query_id = v.query_id GROUP BY v.query_id),
+x AS (SELECT query_id, doc_id AS id, n + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM n, documents WHERE (query_id, doc_id) NOT IN (SELECT (query_id, id) FROM m))
+SELECT query_id, id, rank, round(score, 6) AS score FROM m UNION ALL SELECT query_id, id, rank, 0 FROM x WHERE rank <= 10"""
+)
+def rerank_results(spark, sf_dir):
+    """The best ten of each query, filled up with documents that don't match."""
+    own = rank.rerank(documents(spark, sf_dir), asked(spark))
+    return own.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 # ---- claims, chunks, news ----
 
 
