@@ -59,16 +59,18 @@ def readable(html: Column) -> Column:
     return F.left(F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(plain(container(html))), F.lit(LIMIT))
 
 
-def links(html: Column, base: Column) -> Column:
-    """(text, url) of links with a text of up to 120 characters, resolved against the page's address, distinct by url, the first 60."""
-    raw = F.regexp_extract_all(html, F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']*["'][^>]*>.*?)</a>"""), F.lit(1))
+def resolved(h: Column, base: Column) -> Column:
+    """An address as a page at `base` means it."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, h)).when(F.startswith(h, F.lit("/")), F.concat(root, h)).when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), h)).otherwise(F.concat(folder, h))
 
-    def resolve(h: Column) -> Column:
-        return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h)).when(F.startswith(h, F.lit("/")), F.concat(root, h)).when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), h)).otherwise(F.concat(folder, h))
 
-    own = F.transform(raw, lambda x: F.struct(plain(F.regexp_extract(x, r"(?is)^<a\b[^>]*>(.*)$", 1)).alias("text"), resolve(entities(F.regexp_extract(x, r"""(?is)href=["']([^"']*)["']""", 1))).alias("url")))
+def links(html: Column, base: Column) -> Column:
+    """(text, url) of links with a text of up to 120 characters, resolved against the page's address, distinct by url, the first 60."""
+    raw = F.regexp_extract_all(html, F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']*["'][^>]*>.*?)</a>"""), F.lit(1))
+    own = F.transform(raw, lambda x: F.struct(plain(F.regexp_extract(x, r"(?is)^<a\b[^>]*>(.*)$", 1)).alias("text"), resolved(entities(F.regexp_extract(x, r"""(?is)href=["']([^"']*)["']""", 1)), base).alias("url")))
     own = F.filter(own, lambda x: (x["text"] != "") & (F.length(x["text"]) <= 120) & x["url"].rlike("^https?:"))
     first = F.filter(own, lambda x, i: F.array_position(F.transform(own, lambda y: y["url"]), x["url"]) == i + 1)
     return F.slice(first, 1, MAX_LINKS)

@@ -47,11 +47,11 @@ def refreshed(previous: DataFrame, pulled: DataFrame, answers: DataFrame, now: C
 
 
 def sitemap(bodies: DataFrame) -> DataFrame:
-    """(url, kind, loc, last_modified) of url sets, indexes of site maps and plain lists. bodies: (url, body)."""
-    nodes = bodies.select("url", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<((?:url|sitemap)(?:\s[^>]*)?>.*?)</(?:url|sitemap)>"), F.lit(1))).alias("x"))
-    xml = nodes.select("url", F.when(F.col("x").rlike("(?is)^sitemap"), "index").otherwise("page").alias("kind"), extract.entities(tag(F.col("x"), "loc")).alias("loc"), extract.date(tag(F.col("x"), "lastmod")).alias("last_modified"))
-    text = bodies.where(~F.col("body").rlike("(?is)<(?:urlset|sitemapindex)")).select("url", F.lit("page").alias("kind"), F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*(https?://\S+)\s*$"), F.lit(1))).alias("loc"), F.lit(None).cast("timestamp").alias("last_modified"))
-    return xml.unionByName(text).where("loc is not null")
+    """(url, kind, pos, loc, last_modified) of url sets, indexes of site maps and plain lists. bodies: (url, body)."""
+    nodes = bodies.select("url", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<((?:url|sitemap)(?:\s[^>]*)?>.*?)</(?:url|sitemap)>"), F.lit(1))).alias("pos", "x"))
+    xml = nodes.select("url", "pos", F.when(F.col("x").rlike("(?is)^sitemap"), "index").otherwise("page").alias("kind"), extract.entities(tag(F.col("x"), "loc")).alias("loc"), extract.date(tag(F.col("x"), "lastmod")).alias("last_modified"))
+    text = bodies.where(~F.col("body").rlike("(?is)<(?:urlset|sitemapindex)")).select("url", F.lit("page").alias("kind"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*(https?://\S+)\s*$"), F.lit(1))).alias("pos", "loc"), F.lit(None).cast("timestamp").alias("last_modified"))
+    return xml.unionByName(text).where("loc is not null").select("url", "kind", "pos", "loc", "last_modified")
 
 
 def robots(bodies: DataFrame) -> DataFrame:
