@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -88,6 +89,43 @@ def test_titled_licenses(spark):
     assert [out[i] for i in range(1, 7)] == ["MIT", "BSD-3-Clause", "ISC", None, "BSD-2-Clause", "BSD-2-Clause"] and [out[100 + k] for k in range(len(own))] == list(own)
 
 
+def plain_canonical(text: str) -> list[str]:
+    """Canonical lines by plain loops: the same lists of spellings and words, one line and one spelling at a time."""
+    import regex
+
+    out = []
+    owners = regex.compile(rf"copyright[ \t:,]+(?!(?:{license_scan.NOT_OWNERS})\b)(.*)")
+    for line in text.translate(str.maketrans("\r‘’“”–—\u00a0", "\n''\"\"-- ")).lower().split("\n"):
+        bare = regex.sub(r"^[^\p{L}\p{N}]+", "", line)
+        owner = owners.match(bare)
+        sign = regex.match(r"copyright(ed)?\b[^\p{L}\p{N}]*(\(c\)|\d|©|by\b)", bare) or regex.match(r"[^\p{L}\p{N}]*(\(c\)[^\p{L}]*\d|©)", line) or regex.fullmatch(r"all rights reserved\W*", bare)
+        if sign or (owner and (regex.search(r"\b(19|20)\d\d\b", owner[1]) or 1 <= len(owner[1].split()) <= 6)):
+            line = ""
+        for a, b in license_scan.SPELLINGS:
+            line = regex.sub(r"(?<!\p{L})" + regex.escape(a) + (r"(?!\p{L})" if a[-1].isalpha() else ""), b, line)
+        out.append(regex.sub(r"[^\p{L}\p{N}]+", " ", line).strip())
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_licenses_against_brute_force(spark):
+    """All documents of the smallest table and known texts with changed spellings, against a dictionary of canonical texts."""
+    known = license_scan.known(spark)
+    names = {}
+    for r in known.collect():
+        key = " ".join(x for x in plain_canonical(r["text"]) if x)
+        names[key] = min(names.get(key, r["license"]), r["license"])
+    own = [(10**6 + k, f"Copyright (c) 1999 A\n\n{x.upper()}\n{y}") for k, (_, x) in enumerate(license_scan.TEXTS) for y in ("", "More.")] + [(2 * 10**6, "Licensed under CC BY 4.0.\r\nReleased under the MIT licence!\n© 2020 B"), (2 * 10**6 + 1, "word " * 30_000)]
+    docs = c.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").union(spark.createDataFrame(own, "doc_id long, text string"))
+    want = []
+    for r in docs.collect():
+        lines = plain_canonical(r["text"] or "")
+        whole = " ".join(x for x in lines if x)
+        want.append((r["doc_id"], hashlib.sha256(whole.encode()).hexdigest() if whole else None, names.get(whole), sorted({names[x] for x in lines if x in names})))
+    got = [(r["doc_id"], r["digest"], r["license"], r["line_licenses"]) for r in license_scan.scan(docs, known).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[2] is not None for x in got) >= len(license_scan.TEXTS)
+
+
 # ---- 2 ----
 
 
@@ -378,6 +416,57 @@ def test_recall_of_bands_and_sketches(spark):
     assert len(out) == 600 and len(met) >= 0.985 * 600 and sum(r["near"] and r["alike"] for r in met) >= 0.995 * len(met)
 
 
+def test_stage_lines_against_brute_force(spark):
+    """One line of each component stays; documents of which nothing is left go; nulls, repeated rows and clashing names are kept."""
+    seeds = [prose(rng.randint(8, 30)) for _ in range(12)]
+    texts = ["\n".join(rng.choice([x, changed(x, 1), x.upper(), ""]) for x in rng.sample(seeds, 3)) for _ in range(15)] + [None, "", seeds[0], "  "]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], SCHEMA).withColumns({"n_lines": F.lit("clash"), "d": F.lit("clash")})
+    out = pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    lines = sorted({y.strip().lower() for x in texts if x for y in x.split("\n") if y.strip()})
+    kept = [y.strip().lower() for r in got.values() if r["text"] for y in r["text"].split("\n") if y.strip()]
+    root = dict(zip(lines, brute_lines(lines), strict=True))
+    assert sorted(root[x] for x in kept) == sorted(set(root.values())) and {15, 16, 18} <= set(got)
+    assert all((r["text"] is None) == (texts[i] is None) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for i, r in got.items())
+    assert pipeline.lines(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_language(spark):
+    """Documents without a letter go, all others of the trained languages stay, with all their columns; nothing of an empty table."""
+    text = lambda x, n: " ".join("".join(rng.choice(x) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdefgh" if i % 2 else "mnopqrst", rng.randint(20, 60)), "aa" if i % 2 else "bb", "s", 0) for i in range(400)] + [(1000, None, "aa", "s", 0), (1001, "12 !", "bb", "s", 0), (None, text("abcdefgh", 40), None, None, 0), (0, rows_text := text("mnopqrst", 3000), "bb", "s", 0), (0, rows_text, "bb", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash"))
+    out = pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((x[0] is None, x[0] or 0) for x in rows if x[0] not in (1000, 1001)) and {r["score"] for r in got} == {"clash"}
+    assert pipeline.language(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_mixture_against_brute_force(spark, tmp_path):
+    """Each source's words come near its target, which a plain loop gives: weights 5, 2, 1 by name, no more than three times what a source has, the rest shared again."""
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, prose(rng.randint(5, 40)), "en", "abc"[i % 3], 0) for i in range(120)] + [(None, prose(9), "en", None, 0), (500, None, "en", "a", 0), (3, prose(7), "en", "a", 0), (3, prose(7), "en", "a", 0)]
+    size = {s: sum(len(x[1].split(" ")) for x in rows if x[1] and x[3] == s) for s in ("a", "b", "c", None)}
+    weight, target, held = dict(zip(("a", "b", "c", None), (5, 2, 1, 5), strict=True)), {}, set()
+    while True:
+        rest, free = sum(size.values()) - sum(3 * size[s] for s in held), [s for s in size if s not in held]
+        target = {s: 3.0 * size[s] if s in held else rest * weight[s] / sum(weight[x] for x in free) for s in size}
+        over = {s for s in free if target[s] > 3 * size[s]}
+        if not over:
+            break
+        held |= over
+    out = pipeline.mixture(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert len(out) == len(rows) and sorted(r["size"] for r in out) == sorted(len(x[1].split(" ")) if x[1] else 0 for x in rows) and all(r["taken"] <= 3 * r["size"] for r in out)
+    for s in size:
+        own = [r for r in out if r["source_size"] == size[s]]
+        assert own and abs(own[0]["target"] - target[s]) < 1e-6 and abs(sum(r["taken"] for r in own) - target[s]) <= 40
+
+
+# ---- 10 ----
+
+
 @pytest.mark.parametrize("block", [decontam.BLOCK_CHARS, 300])
 def test_benchmark(spark, docs, none, block):
     own = PASSAGE.split(" ")
