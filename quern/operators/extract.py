@@ -12,6 +12,7 @@ BLOCKS = ["p", "li", "h1", "h2", "h3", "h4", "blockquote", "td"]
 PUBLISHED = [("property", "article:published_time"), ("name", "article:published_time"), ("property", "og:published_time"), ("name", "publish-date"), ("name", "pubdate"), ("name", "date"), ("itemprop", "datePublished")]
 MODIFIED = [("property", "article:modified_time"), ("name", "lastmod"), ("itemprop", "dateModified"), ("property", "og:updated_time")]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”"}
+FEED_ENTITIES = [("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("hellip", "…"), ("rsquo", "’"), ("lsquo", "‘"), ("ldquo", "“"), ("rdquo", "”"), ("mdash", "—"), ("ndash", "–")]
 # ----------------------
 
 
@@ -22,6 +23,20 @@ def entities(x: Column) -> Column:
     return F.replace(x, F.lit("&amp;"), F.lit("&"))
 
 
+def all_entities(x: Column) -> Column:
+    """Numeric, hexadecimal and some named entities, in any case, each decoded once; unknown ones stay, as do numbers that are no character."""
+    names = F.create_map(*[F.lit(v) for pair in FEED_ENTITIES for v in pair])
+
+    def piece(p: Column) -> Column:
+        code = F.lower(F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1))
+        n = F.when(F.startswith(code, F.lit("#x")), F.conv(F.substring(code, 3, 6), 16, 10)).when(F.startswith(code, F.lit("#")), F.substring(code, 2, 7)).try_cast("bigint")
+        is_char = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.coalesce(F.try_element_at(names, code), F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        return F.when((code == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.regexp_replace(p, "^[^;]*;", "")))
+
+    return F.array_join(F.transform(F.split(x, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+
+
 def plain(html: Column) -> Column:
     """Text without tags, white space collapsed."""
     return F.trim(F.regexp_replace(entities(F.regexp_replace(html, "<[^>]*>", "")), r"\s+", " "))
@@ -78,8 +93,9 @@ def links(html: Column, base: Column) -> Column:
 
 def meta_date(html: Column, selectors: list[tuple[str, str]]) -> Column:
     """The first selector's date that can be read."""
-    own = [F.regexp_extract(html, rf"""(?is)<meta[^>]*{a}=["']{n}["'][^>]*(?:content|datetime)=["']([^"']*)["']""", 1) for a, n in selectors]
-    return F.coalesce(*[date(x) for x in own])
+    first = [F.regexp_extract(html, rf"""(?is)<meta[^>]*\b{a}=["']{n}["'][^>]*\b(?:content|datetime)=["']([^"']*)["']""", 1) for a, n in selectors]
+    last = [F.regexp_extract(html, rf"""(?is)<meta[^>]*\b(?:content|datetime)=["']([^"']*)["'][^>]*\b{a}=["']{n}["']""", 1) for a, n in selectors]
+    return F.coalesce(*[date(F.coalesce(F.nullif(x, F.lit("")), y)) for x, y in zip(first, last, strict=True)])
 
 
 def date(x: Column) -> Column:

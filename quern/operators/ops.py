@@ -32,6 +32,12 @@ def provider_success(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.split("provider", r"\+")).alias("provider"), "ok").groupBy("provider").agg(F.count("*").alias("calls"), F.avg(F.col("ok").cast("double")).alias("success_rate"))
 
 
+def health(events: DataFrame) -> DataFrame:
+    """(op, calls, success_rate), the least reliable first, of equal ones those with more calls. events: (op, ok)."""
+    own = events.groupBy("op").agg(F.count("*").alias("calls"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_rate"))
+    return own.orderBy("success_rate", F.desc("calls"), "op")
+
+
 def last_samples(events: DataFrame, keys: list[str], order: list[Column], most: int = 500) -> DataFrame:
     return events.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
 

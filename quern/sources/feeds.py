@@ -24,10 +24,10 @@ def items(feeds: DataFrame) -> DataFrame:
     x = F.col("x")
     href = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
     link = F.coalesce(href(r"""(?is)<link[^>]*rel=["']alternate["'][^>]*href=["']([^"']+)["']"""), href(r"""(?is)<link[^>]*href=["']([^"']+)["']"""), tag(x, "link"), tag(x, "guid"))
-    url = u.url_key(extract.entities(link))
+    url = u.url_key(extract.all_entities(link))
     when = F.coalesce(*[extract.date(tag(x, n)) for n in ("pubDate", "published", "updated", "dc:date")])
-    text = F.left(extract.plain(extract.entities(F.coalesce(tag(x, "description"), tag(x, "summary"), tag(x, "content"), F.lit("")))), F.lit(400))
-    return raw.select("feed", "lang", "pos", extract.plain(tag(x, "title")).alias("title"), url.alias("url"), text.alias("snippet"), when.alias("published_at")).where("title is not null and url is not null")
+    text = F.left(extract.plain(extract.all_entities(F.coalesce(tag(x, "description"), tag(x, "summary"), tag(x, "content"), F.lit("")))), F.lit(400))
+    return raw.select("feed", "lang", "pos", extract.plain(extract.all_entities(tag(x, "title"))).alias("title"), url.alias("url"), text.alias("snippet"), when.alias("published_at")).where("title is not null and url is not null")
 
 
 def corpus(found: DataFrame) -> DataFrame:
