@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MODES = {"results": ["query_id", "rank", "title", "url", "snippet", "content", "score"], "sources": ["query_id", "rank", "title", "url", "score"], "claims": ["query_id", "claim", "text", "sources", "confidence"]}
+MODES = {"results": ["query_id", "rank", "title", "url", "snippet", "content", "score"], "sources": ["query_id", "rank", "title", "url", "score"], "claims": ["query_id", "claim", "text", "sources", "confidence"], "report": ["query_id", "question_id", "query", "summary", "findings", "urls", "is_gap", "used_for", "gaps", "searches", "rounds", "sources_examined"]}
 
 
 def envelope(df: DataFrame, keys: list[str], name: str = "results", order: str = "rank") -> DataFrame:

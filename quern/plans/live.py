@@ -1,13 +1,14 @@
-"""Queries over live data and fetched pages; bodies that the driver's tables don't hold stand here as rows."""
+"""Queries over live data, fetched pages, research and what leaves the engine; bodies that the driver's tables don't hold stand here as rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import urls as u
-from quern.operators import extract, ops, pages
+from quern.operators import extract, ops, pages, research, sinks
 from quern.plans import sql as q
-from quern.plans.catalog import query, table, values
+from quern.plans.catalog import HOSTS, query, table, values
 from quern.sources import live
 
 WEATHER = [("a", 200, '{"current":{"time":"2024-02-01T10:00","temperature_2m":3.5,"apparent_temperature":1.0,"relative_humidity_2m":80,"precipitation":0.2,"weather_code":61,"wind_speed_10m":12},"daily":{"time":["2024-02-01","2024-02-02"],"weather_code":[61,3],"temperature_2m_max":[5,7],"temperature_2m_min":[1],"precipitation_sum":[2.5,0]}}'), ("b", 500, "{}"), ("c", 200, '{"current":{"weather_code":4}}')]
@@ -150,3 +151,57 @@ def page_dates(spark, sf_dir):
     show = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
     own = spark.createDataFrame(DATED, "id int, html string").withColumn("ld", ld)
     return own.select("id", show(F.coalesce(extract.meta_date(html, extract.PUBLISHED), F.col("ld.published"))).alias("published"), show(F.coalesce(extract.meta_date(html, extract.MODIFIED), F.col("ld.modified"))).alias("modified"))
+
+
+# ---- research ----
+
+
+ALPHA, BETA = "The Alpha engine reached 340 kilometres in 1998 according to the official measured records.", "The Beta engine weighs 20 tonnes and was built in 1977 by the works."
+SOURCES = [("alpha engine", False, 1, "https://a.example/1", "a", ALPHA), ("alpha engine", False, 2, "https://b.example/1", "b", ALPHA), ("beta engine", False, 1, "https://c.example/1", "c", BETA), ("beta engine ", True, 1, "https://d.example/2", "d", BETA)]
+
+
+def _report(spark):
+    known = spark.createDataFrame(SOURCES, "asked string, more boolean, ord int, url string, host string, text string")
+
+    def lookup(planned):
+        own = planned.join(known, (F.col("query") == F.col("asked")) | (F.col("more") & F.startswith(F.col("query"), F.col("asked"))))
+        return own.select("query_id", "ord", "url", F.col("url").alias("title"), "host", F.lit(0.5).alias("credibility"), "text")
+
+    return research.research(spark.createDataFrame([(7, "alpha engine, beta engine")], "query_id int, query string"), lookup, "standard")
+
+
+@query("SELECT 7 AS question_id, * FROM (VALUES (700, 'alpha engine', 'https://a.example/1,https://b.example/1', FALSE), (701, 'beta engine', 'https://c.example/1,https://d.example/2', FALSE), (702, 'alpha engine, beta engine', '', TRUE), (703, 'alpha engine, beta engine tanım', '', TRUE), (704, 'alpha engine, beta engine nasıl çalışır', '', TRUE)) v(query_id, query, urls, is_gap)")
+def research_sections(spark, sf_dir):
+    """Five angles of a question; the one with a single source is searched again and gets a second."""
+    return _report(spark)["sections"].select("question_id", "query_id", "query", F.array_join("urls", ",").alias("urls"), "is_gap")
+
+
+# ---- what leaves the engine ----
+
+UNSAFE = [(1, "https://example.com/a", "plain words"), (2, "https://www.pornhub.example/", "x"), (3, "https://example.com/b", "XXX films"), (4, "no address", "plain"), (5, "https://essex.example/", "the escort of a ship"), (6, "https://sussex.example/", "a denuded hill")]
+
+
+@query("SELECT * FROM (VALUES (1, FALSE, 'unknown'), (2, TRUE, 'unknown'), (3, TRUE, 'unknown'), (4, TRUE, 'unknown'), (5, TRUE, 'unknown'), (6, FALSE, 'unknown')) v(id, unsafe, class)")
+def url_safety(spark, sf_dir):
+    own = spark.createDataFrame(UNSAFE, "id int, url string, body string")
+    return own.select("id", u.is_unsafe(F.col("url"), F.col("body")).alias("unsafe"), u.host_class(F.coalesce(u.host(F.col("url")), F.lit(""))).alias("class"))
+
+
+@query("SELECT CASE " + " ".join(f"WHEN regexp_matches(h, {q.lit('|'.join(p))}) THEN {q.lit(k)}" for k, _, p in u.HOST_CLASSES) + f" ELSE 'unknown' END AS class, h AS host FROM (SELECT {q.host('url')} AS h FROM {values([(x,) for x in HOSTS])} v(url)) WHERE h IS NOT NULL")
+def host_classes(spark, sf_dir):
+    own = spark.createDataFrame([(x,) for x in HOSTS], "url string").select(u.host(F.col("url")).alias("host")).where("host is not null")
+    return own.select(u.host_class(F.col("host")).alias("class"), "host")
+
+
+@query("SELECT source, '{\"source\":\"' || source || '\",\"count\":' || count(*) || ',\"results\":[' || string_agg('{\"rank\":' || rank || ',\"id\":' || doc_id || '}', ',' ORDER BY rank) || ']}' AS body FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE source IS NOT NULL) WHERE rank <= 3 GROUP BY source")
+def envelopes(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").where("source is not null")
+    own = own.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("rank <= 3")
+    return sinks.envelope(own.select("source", "rank", F.col("doc_id").alias("id")), ["source"])
+
+
+@query("SELECT doc_id AS query_id, 1 AS rank, lang AS title, source AS url FROM documents")
+def shaped_sources(spark, sf_dir):
+    """The lighter mode drops snippet and content."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.col("lang").alias("title"), F.col("source").alias("url"), F.col("text").alias("content"), F.lit("").alias("snippet"))
+    return sinks.shape(own, "sources")

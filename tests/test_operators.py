@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
-from quern.operators import chunk, claims, extract, facts, fuse, graph, ops, planner, rank
+from quern.operators import chunk, claims, extract, facts, fuse, graph, ops, planner, rank, research
 from quern.sources import feeds, providers
 
 DOCS = [
@@ -168,3 +168,41 @@ def test_walk(spark):
 def test_changes_without_a_previous_value(spark):
     out = facts.changes(spark.createDataFrame([("k", 1, 0.0), ("k", 2, 5.0)], "k string, t int, v double"), "k", ["t"], "v").orderBy("t").collect()
     assert out[0]["change"] is None and out[1]["change"] == 5.0 and out[1]["change_pct"] is None
+
+
+def test_research_rounds(spark):
+    """Angles that one source supports are searched again, a later round's results stand first, sources are gathered up to a bound, angles without findings are gaps."""
+    fact = "The Alpha engine reached 340 kilometres in 1998 according to the official measured records"
+    answers = {"alpha engine": [("https://a.example/1", "a", fact + "."), ("https://b.example/1", "b", fact + ".")], "beta engine": [("https://c.example/1", "c", "The Beta engine weighs 20 tonnes and was built in 1977 by the works")]}
+    asked = []
+
+    def lookup(planned):
+        rows = [(r["query_id"], k, u, u, h, 0.5, x) for r in planned.collect() for k, (u, h, x) in enumerate(answers.get(r["query"], [("https://d.example/2", "d", "The Beta engine weighs 20 tonnes and was built in 1977 by the works")] if r["query"].startswith("beta engine ") else []))]
+        asked.append(sorted(r["query"] for r in planned.collect()))
+        return spark.createDataFrame(rows, "query_id long, ord int, url string, title string, host string, credibility double, text string")
+
+    out = research.research(spark.createDataFrame([(7, "alpha engine, beta engine")], "query_id int, query string"), lookup, "standard")
+    sections = {r["query"]: r for r in out["sections"].collect()}
+    assert len(asked) == 2 and {"alpha engine", "beta engine"} <= set(asked[0]) and len(asked[1]) <= 2 and any(x.startswith("beta engine ") for x in asked[1])
+    assert sections["alpha engine"]["findings"] >= 1 and not sections["alpha engine"]["is_gap"] and fact in sections["alpha engine"]["summary"]
+    assert sections["beta engine"]["urls"] == ["https://c.example/1", "https://d.example/2"]
+    sources = {r["url"]: r["used_for"] for r in out["sources"].collect()}
+    assert sources["https://a.example/1"] == ["alpha engine"] and len(sources) <= 20
+    stats = out["stats"].collect()[0]
+    assert stats["rounds"] == 2 and stats["searches"] == len(asked[0]) + len(asked[1]) and stats["sources_examined"] == len(sources) and stats["gaps"] == sum(r["is_gap"] for r in sections.values())
+
+
+def test_rerank_appends_what_does_not_match(spark):
+    docs, queries = ranked(spark, "zzzz qqqq")
+    assert [r["score"] for r in rank.rerank(docs, queries, 2).collect()] == [0.0, 0.0]
+    docs, queries = ranked(spark, "alpha")
+    for diversity in (0.0, 0.5):
+        out = rank.rerank(docs, queries, 50, diversity).orderBy("rank").collect()
+        assert [r["rank"] for r in out] == list(range(1, len(out) + 1)) and len({r["id"] for r in out}) == len(out) == docs.count()
+
+
+def test_lookup_of_a_large_register(spark):
+    register = spark.range(20_000).select(F.col("id").cast("string").alias("code"), F.lit("").alias("short"), F.concat(F.lit("name "), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" end")).alias("name"), F.col("id").alias("ord"))
+    asked = spark.createDataFrame([("019999",), ("nothing here",), ("000",)], "ask string")
+    out = {r["ask"]: r["code"] for r in facts.lookup(asked, register, spark.createDataFrame([], "alias string, code string")).collect()}
+    assert out == {"019999": "19999", "nothing here": None, "000": None}
