@@ -45,20 +45,20 @@ def charset(content_type: Column, head: Column) -> Column:
     return F.lower(F.coalesce(own, F.lit("utf-8")))
 
 
-@F.pandas_udf("string")
-def _decoded(body: pd.Series, name: pd.Series) -> pd.Series:
-    def one(b, n):
+def decoded(body: Column, content_type: Column) -> Column:
+    """The text of a binary body, in Arrow batches; bytes that the character set doesn't know are replaced, unknown sets are read as UTF-8."""
+
+    def one(b, name):
         try:
-            return b.decode(n, "replace")
+            return b.decode(name, "replace")
         except LookupError:
             return b.decode("utf-8", "replace")
 
-    return pd.Series([None if b is None else one(bytes(b), n) for b, n in zip(body, name, strict=True)], dtype=object)
+    @F.pandas_udf("string")
+    def read(bodies: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else one(bytes(b), n) for b, n in zip(bodies, names, strict=True)], dtype=object)
 
-
-def decoded(body: Column, content_type: Column) -> Column:
-    """The text of a binary body, in Arrow batches; bytes that the character set doesn't know are replaced, unknown sets are read as UTF-8."""
-    return _decoded(body, charset(content_type, F.decode(F.substring(body, 1, 2048), "ISO-8859-1")))
+    return read(body, charset(content_type, F.decode(F.substring(body, 1, 2048), "ISO-8859-1")))
 
 
 def find(pages: DataFrame, id_col: str, needle: str, content: str = "content") -> DataFrame:
