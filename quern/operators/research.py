@@ -2,11 +2,12 @@
 
 A round is a fixed program over tables: all questions' searches of a round run together. `lookup` takes (query_id, query, intent)
 and gives (query_id, ord, url, title, host, credibility, text); here query_id is a section's key, question * 100 + place.
-Rounds are few (three at most), so plans stay small; what several steps read is kept by `keep`.
+Rounds are few (three at most), so plans stay small; what several steps read is cut by `keep`.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,17 @@ FOLLOW_UPS, SECTION_CLAIMS, ALL_CLAIMS, WHOLE_OVERLAP = 2, 4, 15, 0.12
 SECTIONS = 100
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df from a checkpoint: the plans of the rounds, large with the planner's expressions, don't pile up. Without spark.checkpoint.dir a temporary folder serves, on a local master alone."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-research-"))
+    return df.checkpoint()
+
+
 def summary(found: DataFrame, key: str, most: int) -> DataFrame:
     """(key, summary): the first claims' sentences, joined."""
     own = found.where(F.col("claim") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("claim", "text"))).alias("c"))
@@ -57,7 +69,7 @@ def merged(results: DataFrame, order: list[Column]) -> DataFrame:
     return once.withColumn("ord", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
-def research(questions: DataFrame, lookup: Callable[[DataFrame], DataFrame], depth: str = "standard", keep: Callable[[DataFrame], DataFrame] = lambda x: x.persist()) -> dict[str, DataFrame]:
+def research(questions: DataFrame, lookup: Callable[[DataFrame], DataFrame], depth: str = "standard", keep: Callable[[DataFrame], DataFrame] = kept) -> dict[str, DataFrame]:
     """Reports of questions (query_id, query), as tables:
 
     sections (question_id, query_id, query, summary, findings, urls, is_gap); findings (query_id, claim, text, sources, ...) over all
