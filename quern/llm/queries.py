@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, suffix_dedup, url_filter
+from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, runs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_embed_dedup": embed_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
+    "op11_periodic_runs": runs.ORACLE,
 }
