@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, quality_rules, runs, suffix_dedup, url_filter
+from quern.llm import conversations, decontam, embed_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, quality, quality_rules, runs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op10_decontaminate": decontam.ORACLE,
     "op11_periodic_runs": runs.ORACLE,
     "op12_quality_rules": quality_rules.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
