@@ -37,6 +37,7 @@ def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id", by: tup
 
     n_words: words; word_chars: code points in them; n_symbols: characters of #*$%&|<>; n_lines: lines with a word; n_dup_lines: those equal to an earlier one; n_repeat_words: words in 8-word windows found twice or more in the text.
     Null texts count as empty: all zeros. Windows of a text compare by 64-bit hashes of its words.
+    Write the result (common.cut) before filtering by its columns, since Spark would repeat their expressions in the filter.
     """
     has_word = c.SPACES.removesuffix("+")
     own = docs.select(F.col(id_col).alias("_id"), *[F.col(x).alias(f"_by{k}") for k, x in enumerate(by)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
@@ -60,7 +61,8 @@ def base_failed() -> Column:
 def sketch(measured: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Sketches as rows (the columns of by, measure, bucket, n) over the documents that pass the fixed rules; sketches merge by adding n."""
     values = F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(f"{count} * 1000 div {of}").alias("v")) for k, (_, count, of, _, _) in enumerate(MEASURES)])
-    rows = measured.where(~base_failed()).select(*by, F.explode(values).alias("x")).select(*by, "x.*")
+    # No filter here: it would be pushed down as one huge expression, should measured not be a written table.
+    rows = measured.select(*by, F.explode(F.when(~base_failed(), values)).alias("x")).select(*by, "x.*")
     bucket = F.expr("if(v < 64, v, shiftright(v, length(bin(v)) - 6) + 32 * (length(bin(v)) - 6))")
     return rows.groupBy(*by, "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
