@@ -42,7 +42,7 @@ def fuse(lists: DataFrame, limit: int | None = None, key: Column | None = None)
         F.min_by("published_at", F.when(F.col("published_at").isNotNull(), seen)).alias("published_at"),
         F.min(seen).alias("first"),
     )
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("providers"), "first"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), F.desc("providers"), "first"))
     out = out.withColumn("rank", place).drop("first")
     return out if limit is None else out.where(F.col("rank") <= limit)
 

@@ -39,7 +39,7 @@ def match(items: DataFrame, queries: DataFrame, limit: int, now: Column, freshne
     score = F.aggregate("terms", F.lit(0.0), lambda a, x: a + F.when(F.contains(F.col("t"), x), 1.0).when(F.contains(F.col("b"), x), 0.4).otherwise(0.0))
     score = score + F.greatest(F.lit(0.0), 1 - F.coalesce(hours, F.lit(72.0)) / 168) * 0.5
     both = both.withColumn("score", score)
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
 
 
 def headlines(items: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import ordered
+
 THRESHOLD, BASE_MS, MAX_MS, ALPHA = 4, 30_000, 600_000, 0.3
 
 
@@ -53,38 +55,43 @@ def cooldown_ms(failures: Column) -> Column:
     return F.least(F.lit(MAX_MS), BASE_MS * F.pow(F.lit(2), F.greatest(F.lit(0), failures - THRESHOLD))).cast("long")
 
 
-def smoothed(calls: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+def smoothed(calls: DataFrame, key: str, order: list[str], value: str, size: int = ordered.BLOCK) -> DataFrame:
     """(key, ema): exponential smoothing, rounded at each step, begun anew from 0."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
-    fold = F.aggregate(rows, F.lit(0.0), lambda a, x: F.when(a == 0, F.floor(x[value].cast("double") + 0.5)).otherwise(F.floor(a * (1 - ALPHA) + x[value] * ALPHA + 0.5)).cast("double"))
-    return calls.groupBy(key).agg(fold.alias("ema"))
+    return ordered.smoothed(calls, key, order, value, ALPHA, size)
+
+
+#: Failures beyond which a pause grows no more: modes of the breaker are failures so far, up to here.
+MOST_FAILURES = next(f for f in range(THRESHOLD, 64) if BASE_MS * 2 ** (f - THRESHOLD) >= MAX_MS)
+
+
+def _breaker_step(modes, columns):
+    """A success closes; a failure is one more, and from the threshold on begins a pause."""
+    import numpy as np
+
+    failed = np.minimum(modes + 1, MOST_FAILURES)
+    pause = np.where(failed >= THRESHOLD, np.minimum(MAX_MS, BASE_MS * 2 ** np.maximum(failed - THRESHOLD, 0)), 0)
+    ok = columns["ok"].astype(bool)
+    return np.where(ok, 0, failed), np.where(ok, 0, pause)
 
 
-def breaker(calls: DataFrame, key: str = "source") -> DataFrame:
-    """(key, ts, ok, asked, state): a source with four failures in a row is skipped until its pause ends, then probed once.
+def breaker(calls: DataFrame, key: str = "source", tie: list[str] | None = None, size: int = ordered.BLOCK) -> DataFrame:
+    """(key, ts, tie, ok, asked, state): a source with four failures in a row is skipped until its pause ends, then probed once.
 
-    calls: (key, ts in ms, ok): what each call would bring. A fold in time over one source's calls.
+    calls: (key, ts in ms, ok): what each call would bring; a null counts as a failure. Equal times go by tie, then failures first.
     """
-    init = "named_struct('f', 0L, 'until', 0L, 'rows', cast(array() as array<struct<ts:bigint,ok:boolean,asked:boolean,state:string>>))"
-    failed = f"(acc.f + 1)"
-    pause = f"cast(least({MAX_MS}, {BASE_MS} * pow(2, greatest(0, {failed} - {THRESHOLD}))) as bigint)"
-    step = f"""if(acc.f >= {THRESHOLD} and x.ts < acc.until,
-        named_struct('f', acc.f, 'until', acc.until, 'rows', array_append(acc.rows, named_struct('ts', x.ts, 'ok', x.ok, 'asked', false, 'state', 'open'))),
-        named_struct('f', if(x.ok, 0L, {failed}), 'until', if(not x.ok and {failed} >= {THRESHOLD}, x.ts + {pause}, 0L),
-            'rows', array_append(acc.rows, named_struct('ts', x.ts, 'ok', x.ok, 'asked', true, 'state', if(acc.f >= {THRESHOLD}, 'half-open', 'closed')))))"""
-    own = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "ok"))).alias("rows"))
-    return own.select(key, F.expr(f"inline(aggregate(rows, {init}, (acc, x) -> {step}, acc -> acc.rows))"))
-
-
-def fixed_window(hits: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
-    """(key, ts, count, allowed, retry_ms): windows begin with the first hit after the last one's end. hits: (key, ts in ms)."""
-    init = "named_struct('n', 0, 'reset', -1L, 'rows', cast(array() as array<struct<ts:bigint,count:int,allowed:boolean,retry_ms:bigint>>))"
-    fresh = "x.ts >= acc.reset"
-    step = f"""named_struct('n', if({fresh}, 1, acc.n + 1), 'reset', if({fresh}, x.ts + {window_ms}, acc.reset),
-        'rows', array_append(acc.rows, named_struct('ts', x.ts, 'count', if({fresh}, 1, acc.n + 1), 'allowed', if({fresh}, 1, acc.n + 1) <= {limit},
-            'retry_ms', if(if({fresh}, 1, acc.n + 1) <= {limit}, 0L, if({fresh}, x.ts + {window_ms}, acc.reset) - x.ts))))"""
-    own = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts"))).alias("rows"))
-    return own.select(key, F.expr(f"inline(aggregate(rows, {init}, (acc, x) -> {step}, acc -> acc.rows))"))
+    tie = [*(tie or []), "ok"]
+    own = calls.select(key, "ts", *tie[:-1], F.coalesce("ok", F.lit(False)).alias("ok"))
+    out = ordered.jump_machine(own, key, "ts", tie, _breaker_step, MOST_FAILURES + 1, list(range(THRESHOLD, MOST_FAILURES + 1)), ["ok"], size)
+    state = F.when(~F.col("asked"), "open").when(F.col("mode") >= THRESHOLD, "half-open").otherwise("closed")
+    return out.select(key, "ts", *tie, "asked", state.alias("state"))
+
+
+def fixed_window(hits: DataFrame, key: str, limit: int, window_ms: int, tie: list[str] | None = None, size: int = ordered.BLOCK) -> DataFrame:
+    """(key, ts, tie, count, allowed, retry_ms): windows begin with the first hit after the last one's end. hits: (key, ts in ms)."""
+    step = lambda modes, columns: (modes * 0, modes * 0 + window_ms)
+    out = ordered.jump_machine(hits.select(key, "ts", *(tie or [])), key, "ts", tie or [], step, 1, [0], [], size)
+    allowed = F.col("since") <= limit
+    return out.select(key, "ts", *(tie or []), F.col("since").alias("count"), allowed.alias("allowed"), F.when(allowed, F.lit(0).cast("long")).otherwise(F.col("until") - F.col("ts")).alias("retry_ms"))
 
 
 def cache_key(*parts: Column) -> Column:

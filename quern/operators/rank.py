@@ -40,7 +40,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, title: str | None = None
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, title: str | None = None) -> DataFrame:
     """(query_id, id, rank, score, relative, matched_terms) of the best documents of each query that match it at all.
 
-    docs: (id, text[, title]); queries: (query_id, query). Ties go by id. Repeated query terms count again.
+    docs: (id, text[, title]); queries: (query_id, query). Scores that agree to nine digits are ties, as the order of additions may vary; ties go by id. Repeated query terms count again.
     """
     terms = query_terms(queries)
     tf = term_frequencies(docs, terms, title)
@@ -53,7 +53,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, title: str
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
     scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_list(F.struct("first", "term"))).alias("m"))
     scored = scored.withColumn("relative", F.round(F.col("score") / F.max("score").over(W.partitionBy("query_id")), 4))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     out = scored.select("query_id", "id", place.alias("rank"), "score", "relative", F.transform("m", lambda x: x["term"]).alias("matched_terms"))
     return out if top_k is None else out.where(F.col("rank") <= top_k)
 

@@ -7,7 +7,6 @@ Rounds are few (three at most), so plans stay small; what several steps read is
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.operators import claims, planner
+from quern.operators.durable import kept
 
 # ---- fixed values: rounds, angles and sources of each depth; searches a later round; claims of a section and of the whole ----
 DEPTHS = {"quick": (1, 3, 10), "standard": (2, 5, 20), "deep": (3, 8, 40)}
@@ -24,17 +24,6 @@ FOLLOW_UPS, SECTION_CLAIMS, ALL_CLAIMS, WHOLE_OVERLAP = 2, 4, 15, 0.12
 SECTIONS = 100
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df from a checkpoint: the plans of the rounds, large with the planner's expressions, don't pile up. Without spark.checkpoint.dir a temporary folder serves, on a local master alone."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-research-"))
-    return df.checkpoint()
-
-
 def summary(found: DataFrame, key: str, most: int) -> DataFrame:
     """(key, summary): the first claims' sentences, joined."""
     own = found.where(F.col("claim") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("claim", "text"))).alias("c"))

@@ -95,7 +95,7 @@ _TOK = f"d AS (SELECT doc_id AS id, {q.rank_tokens('text')} AS w FROM documents)
 _BM25 = f"""WITH {_TOK}, st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, tf.id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.w) / a))) AS score, array_to_string(list(term ORDER BY first), ',') AS matched
       FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY query_id, tf.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score / max(score) OVER (PARTITION BY query_id), 4) AS relative FROM s)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, round(score / max(score) OVER (PARTITION BY query_id), 4) AS relative FROM s)"""
 
 
 def _ranked(spark, sf_dir, k=10):
@@ -525,21 +525,38 @@ def failure_streaks(spark, sf_dir):
     return ops.failure_streaks(calls(spark, sf_dir), "user_id", ["ts", "event_id"]).select("event_id", "streak")
 
 
-@query()
+# Folds in SQL: one row of each key a round.
+_EMA = f"""WITH RECURSIVE e AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM ({_USE}) WHERE ms IS NOT NULL),
+s AS (SELECT user_id, rn, floor(ms + 0.5::DOUBLE)::DOUBLE AS ema FROM e WHERE rn = 1
+      UNION ALL SELECT e.user_id, e.rn, CASE WHEN ema = 0 THEN floor(ms + 0.5::DOUBLE) ELSE floor(ema * (1 - {ops.ALPHA}::DOUBLE) + ms * {ops.ALPHA}::DOUBLE + 0.5::DOUBLE) END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT user_id, ema FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1"""
+_BREAKER = f"""WITH RECURSIVE e AS (SELECT op AS source, epoch_us(ts) // 1000 AS ts, event_id, ok, row_number() OVER (PARTITION BY op ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM ({_USE})),
+s AS (SELECT source, rn, ts, event_id, ok, true AS asked, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS f, 0::BIGINT AS until FROM e WHERE rn = 1
+      UNION ALL SELECT source, rn, ts, event_id, ok, asked, CASE WHEN NOT asked THEN 'open' WHEN f >= {ops.THRESHOLD} THEN 'half-open' ELSE 'closed' END, CASE WHEN NOT asked THEN f WHEN ok THEN 0 ELSE f + 1 END,
+             CASE WHEN NOT asked THEN until WHEN NOT ok AND f + 1 >= {ops.THRESHOLD} THEN ts + least({ops.MAX_MS}, {ops.BASE_MS} * pow(2, least(20, f + 1 - {ops.THRESHOLD})))::BIGINT ELSE 0 END
+             FROM (SELECT e.*, f, until, NOT (f >= {ops.THRESHOLD} AND e.ts < until) AS asked FROM s JOIN e ON e.source = s.source AND e.rn = s.rn + 1))
+SELECT source, ts, event_id, ok, asked, state FROM s"""
+_WINDOW = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+s AS (SELECT user_id, rn, ts, event_id, 1::BIGINT AS count, ts + 3600000 AS reset FROM e WHERE rn = 1
+      UNION ALL SELECT e.user_id, e.rn, e.ts, e.event_id, CASE WHEN e.ts >= reset THEN 1 ELSE count + 1 END, CASE WHEN e.ts >= reset THEN e.ts + 3600000 ELSE reset END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT user_id, ts, event_id, count, count <= 2 AS allowed, CASE WHEN count <= 2 THEN 0 ELSE reset - ts END AS retry_ms FROM s"""
+
+
+@query(_EMA)
 def ema_latency(spark, sf_dir):
     return ops.smoothed(calls(spark, sf_dir), "user_id", ["ts", "event_id"], "ms")
 
 
-@query()
+@query(_BREAKER)
 def breaker_state(spark, sf_dir):
-    own = calls(spark, sf_dir).select(F.col("op").alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"), "ok")
-    return ops.breaker(own)
+    own = calls(spark, sf_dir).select(F.col("op").alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"), "event_id", "ok")
+    return ops.breaker(own, tie=["event_id"])
 
 
-@query()
+@query(_WINDOW)
 def rate_limit_fixed_window(spark, sf_dir):
-    own = calls(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"))
-    return ops.fixed_window(own, "user_id", 30, 60_000)
+    own = calls(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"), "event_id")
+    return ops.fixed_window(own, "user_id", 2, 3_600_000, tie=["event_id"])
 
 
 @query("SELECT f, CAST(least(600000, 30000 * pow(2, greatest(0, f - 4))) AS BIGINT) AS pause FROM range(0, 12) t(f)")

@@ -46,6 +46,54 @@ def streaks(calls: DataFrame, threshold: int = 4) -> DataFrame:
     return calls.groupBy("source").applyInPandasWithState(step, "source string, failures int, opened boolean", "failures int", "update", GroupStateTimeout.NoTimeout)
 
 
+#: The state store that transformWithState needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def breakers(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(source, ts, ok, state): ops.breaker as a stream. Each source keeps failures and the end of its pause; a timer on event time tells when a pause is over.
+
+    calls: (source, ts timestamp, ok). Calls of a micro-batch go by time, then failures first; a row with a null ok and state half-open is a timer's.
+    The session must use ROCKSDB as its state store. Only what the watermark has not passed counts, so state stays one row a source.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from quern.operators import ops
+
+    class Breaker(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("breaker", "failures int, until long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            failures, until = self.state.get() if self.state.exists() else (0, 0)
+            own = pd.concat(rows).sort_values(["ts", "ok"])
+            said = []
+            for ts, ok in zip(own["ts"], own["ok"], strict=True):
+                ms = int(ts.timestamp() * 1000)
+                if failures >= ops.THRESHOLD and ms < until:
+                    said.append((key[0], ts, ok, "open"))
+                    continue
+                said.append((key[0], ts, ok, "half-open" if failures >= ops.THRESHOLD else "closed"))
+                failures = 0 if ok else min(failures + 1, ops.MOST_FAILURES)
+                if failures >= ops.THRESHOLD:
+                    until = ms + min(ops.MAX_MS, ops.BASE_MS * 2 ** (failures - ops.THRESHOLD))
+                    self.handle.registerTimer(until)
+            self.state.update((failures, until))
+            yield pd.DataFrame(said, columns=["source", "ts", "ok", "state"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            failures, until = self.state.get() if self.state.exists() else (0, 0)
+            # A timer of an earlier pause, which a later failure has prolonged, says nothing.
+            if failures >= ops.THRESHOLD and until == now:
+                yield pd.DataFrame({"source": [key[0]], "ts": pd.to_datetime([now], unit="ms"), "ok": pd.array([None], dtype="boolean"), "state": ["half-open"]})
+
+    own = calls.select("source", "ts", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", late)
+    return own.groupBy("source").transformWithStateInPandas(Breaker(), "source string, ts timestamp, ok boolean, state string", "Append", "EventTime")
+
+
 def upsert(path: str, key: str):
     """For foreachBatch: keeps the latest row a key in a table, written anew beside the old one and then put in its place.
 

@@ -51,3 +51,31 @@ def test_upsert_outlives_a_crash(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t.old")
     write(spark.createDataFrame([(1, 2, "c")], "k int, ts int, v string"), 1)
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "c"), (2, "b")}
+
+
+def test_breakers_as_a_stream(spark, tmp_path):
+    """Batches in order give what the batch operator gives; pauses end by a timer."""
+    from quern.operators import ops
+
+    base = 1_700_000_000_000
+    calls = [("s", base + i * 1000, False) for i in range(4)] + [("s", base + 10_000, True), ("s", base + 33_500, False), ("s", base + 80_000, True), ("t", base + 90_000, True), ("s", base + 100_000, True)]
+    calls += [("u", base + 200_000 + i, False) for i in range(4)] + [("t", base + 3_600_000 + i, i % 3 > 0) for i in range(6)]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.ROCKSDB)
+    try:
+        schema = "source string, ts timestamp, ok boolean"
+        for k, part in enumerate((calls[:3], calls[3:6], calls[6:9], calls[9:13], calls[13:])):
+            df = spark.createDataFrame(part, "source string, ms long, ok boolean").selectExpr("source", "timestamp_millis(ms) as ts", "ok")
+            df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        q = stream.breakers(rows, "0 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        out = spark.read.parquet(f"{tmp_path}/out").selectExpr("source", "unix_millis(ts) as ts", "ok", "state").collect()
+        batch = ops.breaker(spark.createDataFrame(calls, "source string, ts long, ok boolean"))
+        assert sorted((r["source"], r["ts"], r["ok"], r["state"]) for r in out if r["ok"] is not None) == sorted((r["source"], r["ts"], r["ok"], r["state"]) for r in batch.collect())
+        assert [(r["source"], r["ts"] - base, r["state"]) for r in out if r["ok"] is None] == [("u", 230_003, "half-open")]
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
