@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
+from quern.operators.durable import kept
 
 SAME, CONFLICT, OPPOSED = 0.62, 0.45, 0.6
 
@@ -19,39 +20,69 @@ def candidates(results: DataFrame, min_overlap: float | None = 0.2) -> DataFrame
     return own.drop("query")
 
 
-def _fold(table):
-    """The sentences of one query with the number of their group's first sentence; a sentence meets only those that share a token."""
-    import pyarrow as pa
-
-    table = table.sort_by("n")
-    sizes, first, at, group = [], [], {}, []
-    for n, tokens in zip(table.column("n").to_pylist(), table.column("tokens").to_pylist(), strict=True):
-        shared = {}
-        for x in tokens:
-            for h in at.get(x, ()):
-                shared[h] = shared.get(h, 0) + 1
-        h = min((h for h, k in shared.items() if k / min(sizes[h], len(tokens)) >= SAME), default=None)
-        if h is None:
-            h = len(sizes)
-            sizes.append(len(tokens))
-            first.append(n)
-            for x in tokens:
-                at.setdefault(x, []).append(h)
-        group.append(first[h])
-    return table.drop_columns(["n", "tokens"]).append_column("group", pa.array(group, pa.int32()))
+def alike(sets: DataFrame, least: float = SAME) -> DataFrame:
+    """(query_id, a, b), a < b: all pairs of token sets (query_id, n, tokens) that share at least `least` of the smaller one.
+
+    A smaller set has few tokens to spare: one of its rarest ones is in every set it is alike to. So those rare tokens of each set meet all
+    tokens of sets that are no smaller, and a pair is tested once, at the first of them that it shares. Empty sets are alike to nothing.
+    """
+    size = F.size("tokens")
+    own = sets.where(size > 0).select(F.col("query_id").alias("q"), "n", "tokens", size.alias("size"))
+    every = own.select("q", "n", "size", F.explode("tokens").alias("token"))
+    often = every.groupBy("q", "token").agg(F.count("*").alias("df"))
+    ranked = every.join(often.withColumnsRenamed({"q": "_q", "token": "_t"}), F.expr("q <=> _q and token = _t")).groupBy("q", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    ranked = ranked.withColumn("size", F.size("tokens"))
+    spare = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1
+    small = ranked.select("q", F.col("n").alias("a"), F.col("tokens").alias("ta"), F.col("size").alias("sa"), F.slice("tokens", F.lit(1), spare).alias("rare"))
+    small = small.withColumn("token", F.explode("rare"))
+    large = ranked.select(F.col("q").alias("q2"), F.col("n").alias("b"), F.col("tokens").alias("tb"), F.col("size").alias("sb"), F.explode("tokens").alias("t2"))
+    met = small.join(large, F.expr("q <=> q2 and token = t2 and (sa < sb or (sa = sb and a < b))"))
+    near = met.where((F.get(F.array_intersect("rare", "tb"), F.lit(0)) == F.col("token")) & (F.size(F.array_intersect("ta", "tb")) / F.col("sa") >= least))
+    return near.select(F.col("q").alias("query_id"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def first_independent(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+    """(query_id, b, a): each b that has an earlier neighbour among the leaders, with the first of these. pairs: (query_id, a, b), a < b.
+
+    Going through all numbers in order, a number leads if no earlier leader is its neighbour. In a round all those lead that wait for no earlier
+    number; their neighbours are settled; the pairs among the rest remain. Rounds are as many as the longest chain of waiting, not as the numbers.
+    """
+    pairs = left = kept(pairs)
+    settled = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        waiting = left.select("query_id", F.col("b").alias("x")).distinct()
+        leads = left.select("query_id", F.col("a").alias("x")).distinct().join(waiting.withColumnRenamed("query_id", "_q").withColumnRenamed("x", "_x"), F.expr("query_id <=> _q and x = _x"), "left_anti")
+        leads = kept(leads)
+        named = leads.withColumnsRenamed({"query_id": "_q", "x": "_x"})
+        covered = left.join(named, F.expr("query_id <=> _q and a = _x"), "left_semi").select("query_id", F.col("b").alias("x")).distinct()
+        # A leader's pairs go with their later ends.
+        gone = kept(covered).withColumnsRenamed({"query_id": "_q", "x": "_x"})
+        settled = gone if settled is None else settled.unionByName(gone)
+        left = left.join(gone, F.expr("query_id <=> _q and b = _x"), "left_anti").join(gone, F.expr("query_id <=> _q and a = _x"), "left_anti")
+        left = kept(left)
+    else:
+        raise RuntimeError(f"leaders were not settled in {rounds} rounds")
+    if settled is None:
+        return pairs
+    # Whoever was settled is no leader; all others are.
+    return pairs.join(settled, F.expr("query_id <=> _q and a = _x"), "left_anti").groupBy("query_id", "b").agg(F.min("a").alias("a"))
 
 
 def group_sentences(found: DataFrame) -> DataFrame:
-    """(query_id, group, ord, pos, sentence, host, credibility): each sentence joins the first group whose first sentence is alike.
+    """(query_id, group, ord, pos, sentence, host, credibility): each sentence joins the first group whose first sentence is alike; group is that one's number.
 
-    Groups are formed in order, which is a fold over all sentences of a query; a task holds one query's at a time.
+    Sentences are numbered by ord, pos and text. Those with the same tokens stand together, as they meet the same leaders. Sentences without a token are groups of their own. A query may be of any size.
     """
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("ord", "pos"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("ord", "pos", "sentence"))
     columns = ["query_id", "ord", "pos", "sentence", "host", "credibility"]
-    own = found.select(*columns, place.alias("n"), F.array_distinct(t.plain_tokens(F.col("sentence"))).alias("tokens"))
-    kinds = dict(own.dtypes)
-    out = own.groupBy("query_id").applyInArrow(_fold, ", ".join(f"`{x}` {kinds[x]}" for x in columns) + ", `group` int")
-    return out.select("query_id", "group", *columns[1:])
+    own = kept(found.select(*columns, place.alias("n"), F.array_sort(F.array_distinct(t.plain_tokens(F.col("sentence")))).alias("tokens")))
+    sets = own.where(F.size("tokens") > 0).groupBy("query_id", "tokens").agg(F.min("n").alias("n"))
+    led = first_independent(alike(sets)).withColumnsRenamed({"query_id": "_q", "b": "_b", "a": "_a"})
+    of_set = sets.join(led, F.expr("query_id <=> _q and n = _b"), "left").select(F.col("query_id").alias("_q"), F.col("tokens").alias("_t"), F.coalesce("_a", "n").alias("_g"))
+    out = own.join(of_set, F.expr("query_id <=> _q and tokens = _t"), "left")
+    return out.select("query_id", F.coalesce("_g", "n").alias("group"), *columns[1:])
 
 
 def confidence(sources: Column, credibility: Column, conflicts: Column) -> Column:

@@ -394,7 +394,17 @@ def _results(spark, sf_dir):
     return own
 
 
-@query()
+# A fold in SQL: sentence by sentence, with the list of the groups' first sentences.
+_CLAIMS = f"""WITH RECURSIVE x AS (SELECT doc_id // 20 AS query_id, doc_id AS ord, source AS host, s, unnest(range(len(s))) AS pos FROM (SELECT doc_id, source, {q.sentences('text')} AS s FROM documents)),
+f AS (SELECT query_id, ord, pos, host, s[pos + 1] AS sentence FROM x WHERE {q.any_of('s[pos + 1]', t.FACTUAL)}),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, pos, sentence) AS n, list_distinct({q.plain_tokens('sentence')}) AS w FROM f),
+r AS (SELECT DISTINCT query_id, 0::BIGINT AS n, 0::BIGINT AS g, [{{'n': 0::BIGINT, 'w': ['']}}] AS lead FROM n
+      UNION ALL SELECT query_id, n, g, CASE WHEN g = n THEN list_append(lead, {{'n': n, 'w': w}}) ELSE lead END
+      FROM (SELECT n.query_id, n.n, n.w, lead, coalesce(list_filter(lead, lambda l: len(w) > 0 AND len(l.w) > 0 AND len(list_intersect(l.w, w)) / least(len(l.w), len(w)) >= {claims.SAME}::DOUBLE)[1].n, n.n) AS g FROM r JOIN n ON n.query_id = r.query_id AND n.n = r.n + 1)),
+cg AS (SELECT query_id, n, g FROM r WHERE n > 0)"""
+
+
+@query(_CLAIMS + ' SELECT n.query_id, g AS "group", ord, pos, host FROM n JOIN cg USING (query_id, n)')
 def claim_groups(spark, sf_dir):
     return claims.group_sentences(claims.candidates(_results(spark, sf_dir), None)).select("query_id", "group", "ord", "pos", "host")
 
