@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
+from quern.operators.durable import kept
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.5
 
@@ -81,47 +82,112 @@ def passages(ranked: DataFrame, docs: DataFrame, queries: DataFrame, most: int =
     return ranked.join(whole.select("query_id", "id", F.nullif(F.left(text, F.lit(most)), F.lit("")).alias("best_passage")), ["query_id", "id"])
 
 
-def mmr(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.5, pool: int = 200) -> DataFrame:
-    """(query_id, id, rank, score) picked greedily by (1 - d) * relative score - d * greatest overlap with what is picked.
+def _picked(rows, top_k: int, diversity: float):
+    """Greedy picks from rows (query_id, id, rank, score, terms, total) by query and rank: (query_id, id, rank, score, done).
 
-    The pool is what a request may hold at most (`pool` matching documents a query, best first); matching documents go before others.
+    A row is worth at most (1 - diversity) * relative score, so reading stops as soon as no unread row can win, and overlaps are brought
+    up to date only for rows that would be picked next. done is false where rows ended before that was certain.
     """
-    import numpy as np
-    import pandas as pd
-
-    best = bm25(docs, queries, pool)
-    own = best.join(docs.select("id", F.array_distinct(t.rank_tokens(F.col("text"))).alias("terms")), "id")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        sets = [set(x) for x in pdf["terms"]]
-        near = np.zeros(len(pdf))
-        value = pdf["score"].to_numpy() / max(pdf["score"].max(), 1e-300)
-        left, order = np.ones(len(pdf), bool), []
-        while left.any() and len(order) < top_k:
-            k = int(np.where(left, (1 - diversity) * value - diversity * near, -np.inf).argmax())
-            order.append(k)
-            left[k] = False
-            near = np.maximum(near, [len(sets[k] & x) / (min(len(sets[k]), len(x)) or 1) for x in sets])
-        out = pdf.loc[order, ["query_id", "id", "score"]]
-        return out.assign(rank=np.arange(1, len(out) + 1))
-
-    return own.select("query_id", "id", "rank", "score", "terms").groupBy("query_id").applyInPandas(pick, "query_id int, id long, score double, rank int")
+    from heapq import heappop, heappush
+    from itertools import groupby
+
+    def near(a: set, b: set) -> float:
+        return len(a & b) / (min(len(a), len(b)) or 1)
+
+    for query, own in groupby(rows, key=lambda r: r[0]):
+        own = iter(own)
+        row = next(own)
+        top, total, read = max(row[3], 1e-300), row[5], 0
+        heap: list = []  # (-value, rank, id, score, terms, greatest overlap, picks compared with)
+        picks: list[set] = []
+        out = []
+        bound = (1 - diversity) * row[3] / top
+        while len(out) < top_k:
+            if heap and -heap[0][0] >= bound:
+                value, rank, i, score, terms, most, seen = heappop(heap)
+                if seen < len(picks):
+                    most = max(most, *(near(terms, x) for x in picks[seen:]))
+                    heappush(heap, (-((1 - diversity) * score / top - diversity * most), rank, i, score, terms, most, len(picks)))
+                    continue
+                out.append((i, score))
+                picks.append(terms)
+            elif row is not None:
+                heappush(heap, (-bound, row[2], row[1], row[3], set(row[4]), 0.0, 0))
+                read += 1
+                row = next(own, None)
+                if row is not None:
+                    bound = (1 - diversity) * row[3] / top
+                elif read == total:
+                    bound = float("-inf")
+                # Else rows were cut here: the next one would be worth no more than the last one.
+            else:
+                break
+        done = len(out) == top_k or read == total
+        for place, (i, score) in enumerate(out, 1):
+            yield query, i, place, score, done
+        if not out:
+            yield query, None, 0, None, done
+        for _ in own:  # groupby goes on behind this query's rows
+            pass
+
+
+def mmr(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.5, ranked: DataFrame | None = None, title: str | None = None, first: int | None = None) -> DataFrame:
+    """(query_id, id, rank, score) picked greedily from all matching documents by (1 - d) * relative score - d * greatest overlap with what is picked; ties by score, then id.
+
+    The best documents of a query are read first, some times top_k of them; queries for which a document beyond these could still win are read on, eight times as far each round.
+    Ids may be of any type and must be unique; documents without an id are left out. ranked: what bm25 gave without a cut, if it is there already.
+    """
+    best = kept((bm25(docs, queries, None, title) if ranked is None else ranked).where("id is not null").select("query_id", "id", "rank", F.round("score", 9).alias("score")))
+    words = t.rank_tokens(F.col("text")) if title is None else F.concat(t.rank_tokens(F.coalesce(F.col(title), F.lit(""))), t.rank_tokens(F.col("text")))
+    sizes = best.groupBy("query_id").agg(F.count("*").alias("total"))
+    kinds = dict(best.dtypes)
+    names = ["query_id", "id", "rank", "score", "terms", "total"]
+
+    def work(batches):
+        import pyarrow as pa
+
+        keys = []
+
+        def rows():
+            for batch in batches:
+                keys[:] = [batch.schema.field("query_id").type, batch.schema.field("id").type]
+                yield from zip(*[batch.column(x).to_pylist() for x in names], strict=True)
+
+        held = list(_picked(rows(), top_k, diversity))
+        if held:
+            kind = [*keys, pa.int32(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], x) for k, x in enumerate(kind)], names=["query_id", "id", "rank", "score", "done"])
+
+    reach, todo, out = first or max(256, 4 * top_k), sizes, None
+    while True:
+        part = best.where(F.col("rank") <= reach).join(todo, "query_id").join(docs.select("id", F.array_distinct(words).alias("terms")), "id")
+        part = part.select(*names).repartition("query_id").sortWithinPartitions("query_id", "rank")
+        picks = kept(part.mapInArrow(work, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, score double, done boolean"))
+        sure = picks.where("done").drop("done")
+        out = sure if out is None else out.unionByName(sure)
+        todo = sizes.join(picks.where("not done").select("query_id").distinct(), "query_id")
+        if todo.isEmpty():
+            return out
+        reach *= 8
 
 
 def rerank(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.0, passage: int = 320, title: str | None = None) -> DataFrame:
     """(query_id, id, rank, score, relative, matched_terms, best_passage): the best documents of each query, then others by id up to top_k.
 
-    With a diversity, the matching ones are picked by mmr. Others have score 0, no terms and no passage. At most 2 * top_k of them are
-    looked at, as fewer than top_k of these match where places are left.
+    With a diversity, the matching ones are picked by mmr from all that match. Others, which match no term, have score 0, no terms and no passage.
+    Ids may be of any type; as the API does, repeated and missing ids are refused (ValueError).
     """
-    best = bm25(docs, queries, top_k if not diversity else None, title)
+    if docs.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+        raise ValueError("documents need ids, each of its own")
+    every = kept(bm25(docs, queries, None, title)) if diversity else bm25(docs, queries, top_k, title)
+    best = every
     if diversity:
-        picked = mmr(docs, queries, top_k, diversity).select(F.col("query_id").alias("_q"), F.col("id").alias("_i"), F.col("rank").alias("_r"))
-        best = best.join(picked, (F.col("query_id") == F.col("_q")) & (F.col("id") == F.col("_i"))).withColumn("rank", F.col("_r")).drop("_q", "_i", "_r")
-    n = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < top_k)
+        picked = mmr(docs, queries, top_k, diversity, every, title).select(F.col("query_id").alias("_q"), F.col("id").alias("_i"), F.col("rank").alias("_r"))
+        best = every.join(picked, (F.col("query_id") == F.col("_q")) & (F.col("id") == F.col("_i"))).withColumn("rank", F.col("_r")).drop("_q", "_i", "_r")
+    n = queries.select("query_id").distinct().join(every.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < top_k)
+    # Places are left only where fewer than top_k documents match: among the first 2 * top_k by id enough others are found.
     first = docs.select("id").orderBy("id").limit(2 * top_k)
-    rest = n.crossJoin(first).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rest = n.crossJoin(first).join(every.select("query_id", "id"), ["query_id", "id"], "left_anti")
     rest = rest.withColumn("rank", F.col("n").cast("int") + F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= top_k)
     own = passages(best, docs, queries, passage)
     return own.unionByName(rest.select("query_id", "id", "rank", F.lit(0.0).alias("score"), F.lit(0.0).alias("relative"), F.array().cast("array<string>").alias("matched_terms")), allowMissingColumns=True)

@@ -141,9 +141,23 @@ def best_passage(spark, sf_dir):
     return rank.passages(_ranked(spark, sf_dir, 5), documents(spark, sf_dir), asked(spark)).select("query_id", "id", "best_passage")
 
 
-@query()
+_MMR = _BM25 + """, c AS (SELECT r.query_id, r.id, r.rank, round(score, 9) AS score, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY r.query_id) AS rel, list_distinct(d.w) AS w FROM r JOIN d ON d.id = r.id),
+p AS (SELECT DISTINCT query_id, 0 AS k, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[][]) AS seen, 0::DOUBLE AS score FROM c
+      UNION ALL SELECT query_id, k + 1, list_append(ids, best.id), list_append(seen, best.w), best.score
+      FROM (SELECT p.query_id, k, ids, seen, arg_max({'id': c.id, 'w': c.w, 'score': c.score}, {'v': (1 - 0.5::DOUBLE) * rel - 0.5::DOUBLE * coalesce(list_max(list_transform(seen, lambda x: len(list_intersect(x, c.w)) / greatest(least(len(x), len(c.w)), 1))), 0), 'r': -c.rank}) AS best
+            FROM p JOIN c ON c.query_id = p.query_id AND NOT list_contains(ids, c.id) WHERE k < 10 GROUP BY p.query_id, k, ids, seen))"""
+_MMR = _MMR.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_MMR + " SELECT query_id, ids[k] AS id, k AS rank, round(score, 6) AS score FROM p WHERE k > 0")
 def mmr_topk(spark, sf_dir):
-    return rank.mmr(documents(spark, sf_dir), asked(spark), 10, 0.5)
+    return rank.mmr(documents(spark, sf_dir), asked(spark), 10, 0.5).withColumn("score", F.round("score", 6))
+
+
+@query(_MMR + f""", m AS (SELECT query_id, ids[k] AS id, k AS rank, round(score, 6) AS score FROM p WHERE k > 0), n AS (SELECT v.query_id, count(r.id) AS n FROM {values(ASKED)} v(query_id, query) LEFT JOIN r ON r.query_id = v.query_id GROUP BY v.query_id)
+SELECT * FROM m UNION ALL SELECT query_id, id, n + place, 0 FROM (SELECT n.query_id, n, d.id, row_number() OVER (PARTITION BY n.query_id ORDER BY d.id) AS place FROM n, d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = n.query_id AND r.id = d.id)) WHERE n + place <= 10""")
+def rerank_diverse(spark, sf_dir):
+    return rank.rerank(documents(spark, sf_dir), asked(spark), 10, 0.5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 # ---- addresses ----
