@@ -265,8 +265,8 @@ _GATE = "list_transform(list_filter(regexp_split_to_array(lower(query), '\\s+'),
 
 @query(f"SELECT query_id, doc_id FROM documents, (SELECT query_id, {_GATE} AS t FROM {values(ASKED[:4])} v(query_id, query)) WHERE len(t) = 0 OR len(list_filter(t, lambda x: contains(lower(text), x))) > 0")
 def relevance_gate(spark, sf_dir):
-    own = spark.createDataFrame(ASKED[:4], "query_id int, query string").select("query_id", t.gate_tokens(F.col("query")).alias("terms"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay")).join(own, fuse.gate(F.col("terms"), F.col("hay"))).select("query_id", "doc_id")
+    own = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
+    return fuse.gated(own, spark.createDataFrame(ASKED[:4], "query_id int, query string"), "doc_id", "hay")
 
 
 _PRE = "list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) >= 3)"
@@ -278,10 +278,9 @@ FROM (SELECT query_id, query, {_PRE} AS t FROM {values(ASKED[:4])} v(query_id, q
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM s) SELECT query_id, page_id, rank, round(score, 9) AS score FROM r WHERE rank <= 11"""
 )
 def prescore_topn(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("title"), F.lower(F.coalesce("html", F.lit(""))).alias("snippet"))
-    own = own.crossJoin(spark.createDataFrame(ASKED[:4], "query_id int, query string"))
-    own = own.withColumn("score", F.round(fuse.pre_score(F.col("query"), F.col("title"), F.col("snippet")), 9))
-    return own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "page_id")).cast("long")).where("rank <= 11").select("query_id", "page_id", "rank", "score")
+    own = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("title"), F.lower("html").alias("snippet"))
+    out = fuse.pre_scored(own, spark.createDataFrame(ASKED[:4], "query_id int, query string"), "page_id", "title", "snippet", 11)
+    return out.select("query_id", "page_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
 # ---- scores ----
