@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: named windows in hours, modes, most domains, status of each error code, codes worth trying again ----
@@ -44,6 +44,18 @@ def freshness(x: Column) -> Column:
     return F.coalesce(F.try_element_at(named, F.lower(x)), F.when((number > 0) & (number < float("inf")), number))
 
 
+def refused(raw: Column, value: Column) -> Column:
+    """Whether a parameter was given but has no meaning: absent and invalid ones both have a null value, and only the latter are an error."""
+    return raw.isNotNull() & value.isNull()
+
+
+def parsed(requests: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """requests with each parameter parsed (column name: its value), error (a code, or null) and error_field: the first parameter, in this order, that is refused."""
+    bad = F.array_compact(F.array(*[F.when(refused(F.col(x), v), F.lit(x)) for x, v in values.items()]))
+    out = requests.withColumn("error_field", F.get(bad, F.lit(0)))
+    return out.withColumn("error", F.when(F.col("error_field").isNotNull(), F.lit("invalid_request"))).withColumns(values)
+
+
 def choice(x: Column, allowed: list[str]) -> Column:
     """One of the allowed values; the first where none is given."""
     return F.when(x.isNull(), F.lit(allowed[0])).when(x.isin(allowed), x)

@@ -40,16 +40,16 @@ def follow_ups(sections: DataFrame, found: DataFrame) -> DataFrame:
     return weak.select("query_id", F.concat_ws(" ", "query", more).alias("query"), "intent")
 
 
-def within(results: DataFrame, most: int, before: DataFrame | None = None) -> DataFrame:
-    """Results of the searches that start while fewer than `most` sources have been gathered for their question. before: results of earlier rounds."""
+def started(wave: DataFrame, results: DataFrame, most: int, before: DataFrame | None = None) -> DataFrame:
+    """(query_id) of the searches of a wave that start at all: while fewer than `most` sources have been gathered for their question, in the wave's order. before: results of earlier rounds."""
     question = F.floor(F.col("query_id") / SECTIONS).alias("question_id")
-    counts = results.groupBy("query_id", question).agg(F.count("*").alias("n"))
+    counts = wave.select("query_id").join(results.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", question, F.coalesce("n", F.lit(0)).alias("n"))
     earlier = F.sum("n").over(W.partitionBy("question_id").orderBy("query_id").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.withColumn("had", F.coalesce(earlier, F.lit(0)))
     if before is not None:
         old = before.groupBy(question).agg(F.count("*").alias("old")).withColumnRenamed("question_id", "_q")
         counts = counts.join(old, F.col("question_id") == F.col("_q"), "left").withColumn("had", F.col("had") + F.coalesce("old", F.lit(0)))
-    return results.join(counts.where(F.col("had") < most).select("query_id"), "query_id", "left_semi")
+    return counts.where(F.col("had") < most).select("query_id")
 
 
 def merged(results: DataFrame, order: list[Column]) -> DataFrame:
@@ -59,7 +59,7 @@ def merged(results: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def research(questions: DataFrame, lookup: Callable[[DataFrame], DataFrame], depth: str = "standard", keep: Callable[[DataFrame], DataFrame] = kept) -> dict[str, DataFrame]:
-    """Reports of questions (query_id, query), as tables:
+    """Reports of questions (query_id, query), as tables; once a question has its sources, nothing more is searched for it:
 
     sections (question_id, query_id, query, summary, findings, urls, is_gap); findings (query_id, claim, text, sources, ...) over all
     sources; sources (query_id, place, url, title, credibility, used_for); stats (query_id, searches, sources_examined, gaps, summary).
@@ -67,13 +67,17 @@ def research(questions: DataFrame, lookup: Callable[[DataFrame], DataFrame], dep
     rounds, angles, most = DEPTHS[depth]
     asked = questions.select(F.col("query_id").alias("question_id"), F.col("query").alias("question"), planner.intent(F.col("query")).alias("intent"))
     subs = planner.decompose(F.col("question"), F.col("intent"), angles)
-    sections = keep(asked.select("*", F.posexplode(subs).alias("pos", "query")).withColumn("query_id", F.col("question_id") * SECTIONS + F.col("pos")).drop("pos"))
+    sections = keep(asked.select("*", F.posexplode(subs).alias("pos", "query")).withColumn("query_id", F.col("question_id").cast("long") * SECTIONS + F.col("pos")).drop("pos"))
     texts = sections.select("query_id", "query")
     wave = sections.select("query_id", "query", "intent")
     results, searches, found = None, None, None
     for turn in range(rounds):
-        new = within(lookup(wave), most, results).withColumn("turn", F.lit(turn))
-        done = wave.select("query_id").withColumn("turn", F.lit(turn))
+        got = keep(lookup(wave))
+        done = keep(started(wave, got, most, results).withColumn("turn", F.lit(turn)))
+        new = got.join(done, "query_id")
+        if not turn:
+            # An angle that the bound leaves out is no section, and so no gap.
+            sections = keep(sections.join(done.select("query_id"), "query_id", "left_semi"))
         searches = done if searches is None else searches.unionByName(done)
         results = keep(new if results is None else results.unionByName(new))
         # A later round's results stand before those that a section had.

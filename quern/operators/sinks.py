@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MODES = {"results": ["query_id", "rank", "title", "url", "snippet", "content", "score"], "sources": ["query_id", "rank", "title", "url", "score"], "claims": ["query_id", "claim", "text", "sources", "confidence"], "report": ["query_id", "question_id", "query", "summary", "findings", "urls", "is_gap", "used_for", "gaps", "searches", "rounds", "sources_examined"]}
+#: Columns of the modes that name them; results has all columns, and sources all but the content.
+MODES = {"claims": ["query_id", "claim", "text", "sources", "confidence"], "report": ["query_id", "question_id", "query", "summary", "findings", "urls", "is_gap", "used_for", "gaps", "searches", "rounds", "sources_examined"]}
 
 
 def envelope(df: DataFrame, keys: list[str], name: str = "results", order: str = "rank") -> DataFrame:
@@ -16,8 +17,8 @@ def envelope(df: DataFrame, keys: list[str], name: str = "results", order: str =
 
 
 def shape(df: DataFrame, mode: str) -> DataFrame:
-    """The columns of a mode that the table has."""
-    return df.select(*[x for x in MODES[mode] if x in df.columns])
+    """The columns of a mode that the table has: links for those who only follow them keep snippet, dates, source and scores."""
+    return df if mode == "results" else df.drop("content") if mode == "sources" else df.select(*[x for x in MODES[mode] if x in df.columns])
 
 
 def render(df: DataFrame, most: int = 700) -> DataFrame:

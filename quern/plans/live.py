@@ -200,8 +200,8 @@ def envelopes(spark, sf_dir):
     return sinks.envelope(own.select("source", "rank", F.col("doc_id").alias("id")), ["source"])
 
 
-@query("SELECT doc_id AS query_id, 1 AS rank, lang AS title, source AS url FROM documents")
+@query("SELECT doc_id AS query_id, 1 AS rank, lang AS title, source AS url, left(text, 40) AS snippet, n_chars / 1000 AS relevance FROM documents")
 def shaped_sources(spark, sf_dir):
-    """The lighter mode drops snippet and content."""
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.col("lang").alias("title"), F.col("source").alias("url"), F.col("text").alias("content"), F.lit("").alias("snippet"))
+    """The lighter mode drops the content alone."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.col("lang").alias("title"), F.col("source").alias("url"), F.col("text").alias("content"), F.expr("left(text, 40)").alias("snippet"), (F.col("n_chars") / 1000).alias("relevance"))
     return sinks.shape(own, "sources")

@@ -206,3 +206,32 @@ def test_lookup_of_a_large_register(spark):
     asked = spark.createDataFrame([("019999",), ("nothing here",), ("000",)], "ask string")
     out = {r["ask"]: r["code"] for r in facts.lookup(asked, register, spark.createDataFrame([], "alias string, code string")).collect()}
     assert out == {"019999": "19999", "nothing here": None, "000": None}
+
+
+def test_research_stops_at_its_sources(spark):
+    """Twelve results a search: the second search brings the bound of 20, so no third one, no second round and no gap."""
+    fact = "The {} engine reached 340 kilometres in 1998 according to the official measured records."
+    ask = "alpha engine, beta engine, gamma engine, delta engine, omega engine"
+
+    def lookup(planned):
+        rows = [(r["query_id"], k, f"https://h{k}.example/{abs(hash(r['query'])) % 10**6}", "t", f"h{k}", 0.5, fact.format(r["query"].split(" ")[0].title())) for r in planned.collect() for k in range(12)]
+        return spark.createDataFrame(rows, "query_id long, ord int, url string, title string, host string, credibility double, text string")
+
+    out = research.research(spark.createDataFrame([(30_000_000, ask)], "query_id int, query string"), lookup, "standard")
+    stats = out["stats"].collect()[0]
+    assert (stats["searches"], stats["rounds"], stats["gaps"], stats["sources_examined"]) == (2, 1, 0, 20) and out["sections"].count() == 2
+
+
+def test_invalid_parameters_are_errors(spark):
+    from quern.operators import params
+
+    df = spark.createDataFrame([(1, None, None), (2, "day", "tr-TR"), (3, "never", "tr-TR"), (4, "-3", "EN"), (5, "12", "EN")], "id int, fresh string, locale string")
+    out = {r["id"]: (r["fresh"], r["locale"], r["error"], r["error_field"]) for r in params.parsed(df, {"fresh": params.freshness(F.col("fresh")), "locale": params.locale(F.col("locale"))}).collect()}
+    assert out == {1: (None, None, None, None), 2: (24.0, "tr-TR", None, None), 3: (None, "tr-TR", "invalid_request", "fresh"), 4: (None, None, "invalid_request", "fresh"), 5: (12.0, None, "invalid_request", "locale")}
+
+
+def test_sources_keep_all_but_the_content(spark):
+    from quern.operators import sinks
+
+    df = spark.range(1).selectExpr("id as query_id", "'u' as url", "'s' as snippet", "'c' as content", "'p' as published_at", "0.5 as relevance")
+    assert sinks.shape(df, "sources").columns == ["query_id", "url", "snippet", "published_at", "relevance"] and sinks.shape(df, "results").columns == df.columns
