@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import urls as u
 from quern.operators import lookups, params
+from quern.operators.durable import shared
 from quern.plans import sql as q
 from quern.plans.catalog import query, table, values
+from quern.sources import stored
 
 _H = f"h AS (SELECT page_id, {q.host('url')} AS h FROM pages), n AS (SELECT page_id, h, string_split(h, '.') AS p FROM h WHERE h IS NOT NULL)"
 _LISTS = "CASE page_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'include' WHEN 2 THEN 'blocked' ELSE 'exclude' END AS kind"
@@ -102,3 +106,16 @@ def request_checks(spark, sf_dir):
     x = {k: F.col(k) for k in raw.columns}
     out = params.parsed(raw, {"fresh": params.freshness(x["fresh"]), "locale": params.locale(x["locale"]), "n": params.whole_number(x["n"], 1, 30, 10), "domains": params.domains(x["domains"])})
     return out.select("doc_id", "fresh", "locale", "n", F.array_join("domains", ",").alias("domains"), "error_field")
+
+
+_STORED = "SELECT 'p' || (page_id % 4) AS provider, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (page_id * 5 % 240) AS fetched_at, page_id AS place, url FROM pages"
+
+
+@query(f"SELECT provider, epoch_ms(fetched_at) AS fetched_ms, place, url FROM ({_STORED}) WHERE provider IN ('p1', 'p3') AND fetched_at >= TIMESTAMP '2024-01-03 12:00:00' AND fetched_at < TIMESTAMP '2024-01-09 00:00:00' AND place % 2 = 1 AND url LIKE 'https%'")
+def stored_answers(spark, sf_dir):
+    """Pages stored as answers of four providers over ten days, then read through the data source: files are chosen by provider and day."""
+    own = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 4).cast("string")).alias("provider"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(page_id * 5 % 240 as int))").alias("fetched_at"), F.col("page_id").cast("int").alias("place"), "url", F.lit("").alias("title"), F.lit("").alias("snippet"))
+    folder = f"{shared(spark)}/answers-{uuid.uuid4().hex[:12]}"
+    stored.store(own, folder)
+    wanted = stored.answers(spark, folder).where("provider in ('p1', 'p3') and fetched_at >= timestamp'2024-01-03 12:00:00' and fetched_at < timestamp'2024-01-09 00:00:00' and place % 2 = 1 and url like 'https%'")
+    return wanted.select("provider", F.unix_millis("fetched_at").alias("fetched_ms"), "place", "url")
