@@ -70,9 +70,14 @@ def rank_token_counts(spark, sf_dir):
 WORDS = ["indekslerinden", "index", "indexes", "run", "running", "stop", "stopped", "address", "addresses", "status", "query", "queries", "queried", "library", "libraries", "database", "concurrently", "tuples"]
 
 
-@query(f"SELECT word, {q.stem('f')} AS stem FROM (SELECT word, {q.fold('word')} AS f FROM {values([(w,) for w in WORDS])} v(word))")
+_WORDS = "SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '^\\p{L}+$')"
+
+
+@query(f"SELECT word, {q.stem('f')} AS stem FROM (SELECT word, {q.fold('word')} AS f FROM ({_WORDS}))")
 def stem_table(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", t.stem(F.col("word")).alias("stem"))
+    """Every word of the documents with its stem; the words of the reference's own cases are unit tests."""
+    own = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).select(F.lower("word").alias("word")).distinct()
+    return own.select("word", t.stem(F.col("word")).alias("stem"))
 
 
 @query(f"SELECT doc_id, len(s) AS n, len(list_filter(s, lambda x: {q.any_of('x', t.FACTUAL)})) AS factual FROM (SELECT doc_id, {q.sentences('text')} AS s FROM documents)")
@@ -84,9 +89,10 @@ def factual_sentences(spark, sf_dir):
 QUESTIONS = ["How do I fix index bloat?", "Question: what is it", "Index bloat grows.", "Any idea why it fails", "neden böyle oldu?", "It is done. Is it?", "The answer is 42"]
 
 
-@query(f"SELECT s, {q.any_of('s', t.QUESTION)} AS question FROM {values([(x,) for x in QUESTIONS])} v(s)")
+@query(f"SELECT doc_id, s, {q.any_of('s', t.QUESTION)} AS question FROM (SELECT doc_id, {q.q(QUESTIONS)}[doc_id % {len(QUESTIONS)} + 1] || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' ' || source END || CASE WHEN doc_id % 11 = 3 THEN '?' ELSE '' END AS s FROM documents)")
 def question_cases(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in QUESTIONS], "s string").select("s", t.is_question(F.col("s")).alias("question"))
+    s = F.concat(F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % len(QUESTIONS)).cast("int")), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit(" "), "source")), F.when(F.col("doc_id") % 11 == 3, "?").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s", t.is_question(F.col("s")).alias("question"))
 
 
 # ---- ranking ----
@@ -208,9 +214,14 @@ PLANS = [
 ]
 
 
-@query(f"SELECT query_id, i AS intent, {q.freshness('query', 'i')} AS freshness_hours FROM (SELECT query_id, query, {q.intent('query')} AS i FROM {values(PLANS)} v(query_id, query))")
+_PLANNED = f"SELECT doc_id AS query_id, {q.q([x for _, x in PLANS])}[doc_id % {len(PLANS)} + 1] || ' ' || source || ' ' || n_chars AS query FROM documents"
+
+
+@query(f"SELECT query_id, i AS intent, {q.freshness('query', 'i')} AS freshness_hours FROM (SELECT query_id, query, {q.intent('query')} AS i FROM ({_PLANNED}))")
 def query_plan_intent_freshness(spark, sf_dir):
-    return planner.plan(spark.createDataFrame(PLANS, "query_id int, query string")).select("query_id", "intent", "freshness_hours")
+    """A query for each document: one of a list, with the document's source and length behind it."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.get(F.array(*[F.lit(x) for _, x in PLANS]), (F.col("doc_id") % len(PLANS)).cast("int")), "source", F.col("n_chars").cast("string")).alias("query"))
+    return planner.plan(own).select("query_id", "intent", "freshness_hours")
 
 
 @query()
@@ -432,10 +443,10 @@ def answers(spark, sf_dir):
     return claims.answer(claims.verify(_results(spark, sf_dir), min_overlap=0.0))
 
 
-@query("SELECT n, c, round(least(1, greatest(0, (1 - pow(0.55, n)) * (0.55 + 0.45 * c) * CASE WHEN k > 0 THEN greatest(0.35, 1 - 0.25 * k) ELSE 1 END)), 3)::DOUBLE AS confidence FROM (VALUES (1, 0.5, 0), (2, 0.5, 0), (3, 0.8, 0), (3, 0.8, 1), (3, 0.8, 3)) v(n, c0, k), LATERAL (SELECT c0::DOUBLE AS c)")
+@query("SELECT doc_id, n, c, round(least(1, greatest(0, (1 - pow(0.55, n)) * (0.55 + 0.45 * c) * CASE WHEN k > 0 THEN greatest(0.35, 1 - 0.25 * k) ELSE 1 END)), 3)::DOUBLE AS confidence FROM (SELECT doc_id, doc_id % 7 + 1 AS n, (n_chars % 101)::DOUBLE / 100 AS c, n_chars % 5 AS k FROM documents)")
 def confidence_table(spark, sf_dir):
-    own = spark.createDataFrame([(1, 0.5, 0), (2, 0.5, 0), (3, 0.8, 0), (3, 0.8, 1), (3, 0.8, 3)], "n int, c double, k int")
-    return own.select("n", "c", claims.confidence(F.col("n"), F.col("c"), F.col("k")).alias("confidence"))
+    own = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7 + 1).alias("n"), ((F.col("n_chars") % 101).cast("double") / 100).alias("c"), (F.col("n_chars") % 5).alias("k"))
+    return own.select("doc_id", "n", "c", claims.confidence(F.col("n"), F.col("c"), F.col("k")).alias("confidence"))
 
 
 @query()
@@ -582,9 +593,11 @@ def rate_limit_fixed_window(spark, sf_dir):
     return ops.fixed_window(own, "user_id", 2, 3_600_000, tie=["event_id"])
 
 
-@query("SELECT f, CAST(least(600000, 30000 * pow(2, greatest(0, f - 4))) AS BIGINT) AS pause FROM range(0, 12) t(f)")
+@query(f"SELECT op, f, CAST(least(600000, 30000 * pow(2, greatest(0, f - 4))) AS BIGINT) AS pause FROM (SELECT op, event_id % 14 AS f FROM ({_USE}) WHERE NOT ok GROUP BY ALL)")
 def cooldown_table(spark, sf_dir):
-    return spark.range(12).select(F.col("id").alias("f"), ops.cooldown_ms(F.col("id")).alias("pause"))
+    """The pause after each number of failures that an operation is counted with."""
+    own = calls(spark, sf_dir).where("not ok").select("op", (F.col("event_id") % 14).alias("f")).distinct()
+    return own.select("op", "f", ops.cooldown_ms(F.col("f")).alias("pause"))
 
 
 @query("SELECT event_id, sha256(length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id || '1:-') AS key FROM events")
@@ -592,11 +605,15 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ops.cache_key(F.col("event_type"), F.col("user_id").cast("string"), F.lit("-")).alias("key"))
 
 
-@query("SELECT k AS intent, fh, CASE WHEN fh IS NULL THEN ttl ELSE least(ttl, fh * 3600, 21600) END::DOUBLE AS ttl FROM " + values([(x[0], x[-1]) for x in fuse.INTENTS]) + " v(k, ttl), (VALUES (NULL::DOUBLE), (0.001), (1), (24)) f(fh)")
+_TTL = values([(x[0], x[-1]) for x in fuse.INTENTS])
+
+
+@query(f"SELECT page_id, k AS intent, fh, CASE WHEN fh IS NULL THEN ttl ELSE least(ttl, fh * 3600, 21600) END::DOUBLE AS ttl FROM (SELECT page_id, {q.q([x[0] for x in fuse.INTENTS])}[page_id % {len(fuse.INTENTS)} + 1] AS i, CASE WHEN page_id % 4 > 0 THEN (page_id % 97)::DOUBLE / 8 END AS fh FROM pages) JOIN {_TTL} v(k, ttl) ON k = i")
 def ttl_table(spark, sf_dir):
-    dim = spark.createDataFrame([(x[0], x[-1]) for x in fuse.INTENTS], "intent string, t int")
-    hours = spark.createDataFrame([(None,), (0.001,), (1.0,), (24.0,)], "fh double")
-    return dim.join(F.broadcast(hours)).select("intent", "fh", ops.ttl_seconds(F.col("t"), F.col("fh")).cast("double").alias("ttl"))
+    dim = F.broadcast(spark.createDataFrame([(x[0], x[-1]) for x in fuse.INTENTS], "intent string, t int"))  # six intents
+    kind = F.get(F.array(*[F.lit(x[0]) for x in fuse.INTENTS]), (F.col("page_id") % len(fuse.INTENTS)).cast("int"))
+    own = table(spark, sf_dir, "pages").select("page_id", kind.alias("intent"), F.when(F.col("page_id") % 4 > 0, (F.col("page_id") % 97).cast("double") / 8).alias("fh"))
+    return own.join(dim, "intent").select("page_id", "intent", "fh", ops.ttl_seconds(F.col("t"), F.col("fh")).cast("double").alias("ttl"))
 
 
 @query(

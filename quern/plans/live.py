@@ -63,9 +63,9 @@ def country_population(spark, sf_dir):
 NAMES = ["Türkiye", "ÇİN", "Côte d'Ivoire", "IRAK", "ığüşöç 12", ""]
 
 
-@query(f"SELECT name, regexp_replace(lower(translate(name, '{live.LETTERS[0]}', '{live.LETTERS[1]}')), '[^a-z0-9]', '', 'g') AS plain FROM {values([(x,) for x in NAMES])} v(name)")
+@query(f"SELECT doc_id, regexp_replace(lower(translate(left(text, 40), '{live.LETTERS[0]}', '{live.LETTERS[1]}')), '[^a-z0-9]', '', 'g') AS plain FROM documents")
 def plain_names(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in NAMES], "name string").select("name", live.plain_name(F.col("name")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", live.plain_name(F.left("text", F.lit(40))).alias("plain"))
 
 
 # ---- pages ----
@@ -187,10 +187,16 @@ def url_safety(spark, sf_dir):
     return own.select("id", u.is_unsafe(F.col("url"), F.col("body")).alias("unsafe"), u.host_class(F.coalesce(u.host(F.col("url")), F.lit(""))).alias("class"))
 
 
-@query("SELECT CASE " + " ".join(f"WHEN regexp_matches(h, {q.lit('|'.join(p))}) THEN {q.lit(k)}" for k, _, p in u.HOST_CLASSES) + f" ELSE 'unknown' END AS class, h AS host FROM (SELECT {q.host('url')} AS h FROM {values([(x,) for x in HOSTS])} v(url)) WHERE h IS NOT NULL")
+_SEEN = f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE replace({q.q(HOSTS)}[page_id % {len(HOSTS)} + 1], '://', CASE WHEN page_id % 2 = 0 THEN '://sub' || page_id || '.' ELSE '://' END) END AS url FROM pages"
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(h, {q.lit('|'.join(p))}) THEN {q.lit(k)}" for k, _, p in u.HOST_CLASSES) + f" ELSE 'unknown' END AS class, h AS host FROM (SELECT page_id, {q.host('url')} AS h FROM ({_SEEN})) WHERE h IS NOT NULL")
 def host_classes(spark, sf_dir):
-    own = spark.createDataFrame([(x,) for x in HOSTS], "url string").select(u.host(F.col("url")).alias("host")).where("host is not null")
-    return own.select(u.host_class(F.col("host")).alias("class"), "host")
+    """Pages' own hosts, and known hosts with or without a subdomain made of the page's number."""
+    n = F.col("page_id")
+    named = F.replace(F.get(F.array(*map(F.lit, HOSTS)), (n % len(HOSTS)).cast("int")), F.lit("://"), F.when(n % 2 == 0, F.concat(F.lit("://sub"), n.cast("string"), F.lit("."))).otherwise("://"))
+    own = table(spark, sf_dir, "pages").select("page_id", u.host(F.when(n % 3 == 0, F.col("url")).otherwise(named)).alias("host")).where("host is not null")
+    return own.select("page_id", u.host_class(F.col("host")).alias("class"), "host")
 
 
 @query("SELECT source, '{\"source\":\"' || source || '\",\"count\":' || count(*) || ',\"results\":[' || string_agg('{\"rank\":' || rank || ',\"id\":' || doc_id || '}', ',' ORDER BY rank) || ']}' AS body FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE source IS NOT NULL) WHERE rank <= 3 GROUP BY source")
