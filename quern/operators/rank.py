@@ -38,14 +38,38 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, title: str | None = None
     return own.join(terms.select("term").distinct(), "term").groupBy("id", "term").agg(F.sum("w").alias("tf"))
 
 
+#: Forms of wanted and dropped words up to which they are sent to all tasks; beyond, Spark joins them as it sees fit.
+SENT_FORMS = 1_000_000
+
+
+def counted(docs: DataFrame, terms: DataFrame, title: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) of the terms that some query has, and (id, length): as term_frequencies and weighted_length, but each distinct form of the corpus is stemmed once.
+
+    The corpus is read twice: for its distinct forms, and to count, where a form is looked up among those that make a wanted term or none at all.
+    Counts are gathered per document before they are shuffled.
+    """
+    word = F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_.-]*")
+    fields = [("text", 1.0), *([(title, TITLE_WEIGHT)] if title else [])]
+    parts = [docs.select("id", F.lit(w).alias("w"), F.explode_outer(F.regexp_extract_all(F.coalesce(F.col(x), F.lit("")), word, F.lit(0))).alias("form")) for x, w in fields]
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    stems = every.select("form").where("form is not null").distinct().withColumn("term", F.get(t.rank_tokens(F.col("form")), F.lit(0)))
+    wanted = terms.select(F.col("term").alias("_t")).distinct()
+    forms = kept(stems.join(wanted, F.col("term") == F.col("_t"), "left").where("_t is not null or term is null").select(F.col("form").alias("_f"), "term"))
+    known = F.broadcast(forms) if forms.count() <= SENT_FORMS else forms
+    # Per document and term: the weight of its forms. A form that makes no term counts for nothing, one that nobody asks for counts for the length.
+    met = every.join(known.withColumn("_hit", F.lit(True)), F.col("form") == F.col("_f"), "left")
+    weight = F.when(F.col("form").isNull() | (F.col("_hit") & F.col("term").isNull()), 0.0).otherwise(F.col("w"))
+    counts = kept(met.groupBy("id", "term").agg(F.sum(weight).alias("tf")))
+    return counts.where("term is not null"), counts.groupBy("id").agg(F.sum("tf").alias("length"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, title: str | None = None) -> DataFrame:
     """(query_id, id, rank, score, relative, matched_terms) of the best documents of each query that match it at all.
 
     docs: (id, text[, title]); queries: (query_id, query). Scores that agree to nine digits are ties, as the order of additions may vary; ties go by id. Repeated query terms count again.
     """
     terms = query_terms(queries)
-    tf = term_frequencies(docs, terms, title)
-    length = weighted_length(docs, title)
+    tf, length = counted(docs, terms, title)
     stats = length.agg(F.count("*").alias("n_docs"), F.avg("length").alias("average"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = tf.join(terms, "term").join(df, "term").join(length, "id").crossJoin(F.broadcast(stats))  # one row of statistics
