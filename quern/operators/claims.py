@@ -10,6 +10,9 @@ from quern.functions import text as t
 from quern.operators.durable import kept
 
 SAME, CONFLICT, OPPOSED = 0.62, 0.45, 0.6
+# ---- fixed values: what a confidence rests on ----
+BASIS = ["bağımsız kaynak", "ortalama güvenilirlik", "çelişen kaynak"]
+# --------------------------------------------------
 
 
 def candidates(results: DataFrame, min_overlap: float | None = 0.2) -> DataFrame:
@@ -92,6 +95,12 @@ def confidence(sources: Column, credibility: Column, conflicts: Column) -> Colum
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), own)), 3)
 
 
+def basis(sources: Column, credibility: Column, conflicts: Column) -> Column:
+    """What a confidence rests on, as texts: independent sources, their mean credibility to two digits, and conflicting sources if there are any."""
+    told = F.array(F.concat(sources.cast("string"), F.lit(f" {BASIS[0]}")), F.concat(F.lit(f"{BASIS[1]} "), F.format_string("%.2f", credibility.cast("double"))))
+    return F.when(conflicts > 0, F.array_append(told, F.concat(conflicts.cast("string"), F.lit(f" {BASIS[2]}")))).otherwise(told)
+
+
 def contradicts(a: Column, b: Column) -> Column:
     """Alike sentences without a common figure, or of which one denies."""
     return _against(_sides(a), _sides(b))
@@ -129,6 +138,13 @@ def verify(results: DataFrame, max_claims: int = 12, min_overlap: float = 0.2) -
     return out.select("query_id", "claim", "text", "sources", "members", "credibility", "conflicts", confidence(F.col("sources"), F.col("credibility"), F.col("conflicts")).alias("confidence"))
 
 
+def overview(results: DataFrame, claims: DataFrame) -> DataFrame:
+    """(query_id, sources_used, claims, contested): distinct hosts of a query's results, its claims, and how many of these some source contradicts. results: (query_id, host, ...)."""
+    used = results.groupBy("query_id").agg(F.countDistinct("host").alias("sources_used"))
+    told = claims.groupBy("query_id").agg(F.count("*").alias("claims"), F.count_if(F.col("conflicts") > 0).alias("contested")).withColumnRenamed("query_id", "_q")
+    return used.join(told, F.expr("query_id <=> _q"), "left").select("query_id", "sources_used", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("claims", "contested")])
+
+
 def answer(claims: DataFrame, sentences: int = 4, floor: float = 0.35) -> DataFrame:
     """The most confident claims above the floor."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("confidence"), "claim"))

@@ -48,6 +48,12 @@ def fuse(lists: DataFrame, limit: int | None = None, key: Column | None = None)
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
+def provider_names(lists: DataFrame) -> DataFrame:
+    """(query_id, provider, providers): the names of the lists that have results, in the lists' order, joined by plus signs, and their number."""
+    own = lists.groupBy("query_id", "provider").agg(F.min("list_ord").alias("list_ord")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("list_ord", "provider"))).alias("p"))
+    return own.select("query_id", F.array_join(F.transform("p", lambda x: x["provider"]), "+").alias("provider"), F.size("p").cast("long").alias("providers"))
+
+
 def cap_hosts(results: DataFrame, limit: int, cap: int = HOST_CAP, host: Column | None = None) -> DataFrame:
     """At most `cap` results of a host, in order; those held back follow if there is room. results: (query_id, pos, url, ...)."""
     own = results.withColumn("_host", F.coalesce(u.host(F.col("url")) if host is None else host, F.lit("")))

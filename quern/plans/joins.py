@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.functions import urls as u
-from quern.operators import lookups, params
+from quern.operators import claims, fuse, lookups, params
 from quern.operators.durable import shared
 from quern.plans import sql as q
+from quern.plans.catalog import _LISTS as _RANKED
+from quern.plans.catalog import lists as ranked_lists
 from quern.plans.catalog import query, table, values
 from quern.sources import stored
 
@@ -119,3 +121,15 @@ def stored_answers(spark, sf_dir):
     stored.store(own, folder)
     wanted = stored.answers(spark, folder).where("provider in ('p1', 'p3') and fetched_at >= timestamp'2024-01-03 12:00:00' and fetched_at < timestamp'2024-01-09 00:00:00' and place % 2 = 1 and url like 'https%'")
     return wanted.select("provider", F.unix_millis("fetched_at").alias("fetched_ms"), "place", "url")
+
+
+@query(f"""SELECT doc_id, array_to_string([n || ' {claims.BASIS[0]}', '{claims.BASIS[1]} ' || printf('%.2f', c)] || CASE WHEN k > 0 THEN [k || ' {claims.BASIS[2]}'] ELSE [] END, '; ') AS basis
+FROM (SELECT doc_id, doc_id % 7 + 1 AS n, (n_chars % 101)::DOUBLE / 100 AS c, n_chars % 5 AS k FROM documents)""")
+def confidence_basis(spark, sf_dir):
+    n, c, k = F.col("doc_id") % 7 + 1, (F.col("n_chars") % 101).cast("double") / 100, F.col("n_chars") % 5
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(claims.basis(n, c, k), "; ").alias("basis"))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, string_agg(provider, '+' ORDER BY o) AS provider, count(*) AS providers FROM (SELECT query_id, provider, min(list_ord) AS o FROM l GROUP BY query_id, provider) GROUP BY query_id")
+def provider_concat(spark, sf_dir):
+    return fuse.provider_names(ranked_lists(spark, sf_dir))

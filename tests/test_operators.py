@@ -235,3 +235,11 @@ def test_sources_keep_all_but_the_content(spark):
 
     df = spark.range(1).selectExpr("id as query_id", "'u' as url", "'s' as snippet", "'c' as content", "'p' as published_at", "0.5 as relevance")
     assert sinks.shape(df, "sources").columns == ["query_id", "url", "snippet", "published_at", "relevance"] and sinks.shape(df, "results").columns == df.columns
+
+
+def test_overview_counts_contested_claims(spark):
+    results = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d")], "query_id int, host string")
+    told = spark.createDataFrame([(1, 1, 0), (1, 2, 2), (None, 1, 1)], "query_id int, claim int, conflicts long")
+    assert {r["query_id"]: tuple(r)[1:] for r in claims.overview(results, told).collect()} == {1: (2, 2, 1), 2: (1, 0, 0), None: (1, 1, 1)}
+    row = spark.range(1).select(claims.basis(F.lit(2), F.lit(0.8), F.lit(0)).alias("a"), claims.basis(F.lit(1), F.lit(0.456), F.lit(3)).alias("b")).first()
+    assert row["a"] == ["2 bağımsız kaynak", "ortalama güvenilirlik 0.80"] and row["b"] == ["1 bağımsız kaynak", "ortalama güvenilirlik 0.46", "3 çelişen kaynak"]
