@@ -23,6 +23,9 @@ INTENTS = [
     ("academic", 8760.0, 0.35, 0.55, 0.1, 86400),
     ("general", 2160.0, 0.45, 0.4, 0.15, 3600),
 ]
+# What an assessment of an address says, in the order of urls.HOST_CLASSES, and which of these classes are primary; then the other signals.
+CLASS_SIGNALS, PRIMARY = ["birincil-kaynak", "akademik", "referans", "kurumsal-haber", "resmi-dokümantasyon", "topluluk"], [0.95, 0.9, 0.85]
+NO_ADDRESS, LOW_TRUST, PLAIN_HTTP, FULL, EMPTY = "geçersiz-url", "düşük-editoryal-denetim", "şifresiz-bağlantı", "dolu-içerik", "içerik-çıkarılamadı"
 # --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -142,6 +145,18 @@ def credibility(url: Column, n_chars: Column) -> Column:
     return F.when(name.isNull(), F.lit(0.2)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)))
 
 
+def assessment(url: Column, n_chars: Column) -> Column:
+    """(signals, is_primary) of an address beside its credibility: the host's class, little review, plain http, a full or an empty page. Primary are official, academic and documentation hosts."""
+    name = u.host(url)
+    kind = primary = None
+    for (_, score, patterns), signal in zip(u.HOST_CLASSES, CLASS_SIGNALS, strict=True):
+        hit = name.rlike("|".join(patterns))
+        kind = F.when(hit, signal) if kind is None else kind.when(hit, signal)
+        primary = F.when(hit, score in PRIMARY) if primary is None else primary.when(hit, score in PRIMARY)
+    told = F.array_compact(F.array(kind, F.when(name.rlike("|".join(u.LOW_TRUST)), LOW_TRUST), F.when(F.startswith(url, F.lit("http://")), PLAIN_HTTP), F.when(n_chars > 1200, FULL).when(n_chars < 200, EMPTY)))
+    return F.when(name.isNull(), F.struct(F.array(F.lit(NO_ADDRESS)).alias("signals"), F.lit(False).alias("is_primary"))).otherwise(F.struct(told.alias("signals"), F.coalesce(primary, F.lit(False)).alias("is_primary")))
+
+
 def freshness(published: Column, now: Column, half_life: Column) -> Column:
     """Half of it every half-life; .5 where no date is known."""
     hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(published.cast("timestamp"))) / F.lit(3.6e9)

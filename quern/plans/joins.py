@@ -11,6 +11,7 @@ from quern.operators import claims, fuse, lookups, params
 from quern.operators.durable import shared
 from quern.plans import sql as q
 from quern.plans.catalog import _LISTS as _RANKED
+from quern.plans.catalog import HOSTS
 from quern.plans.catalog import lists as ranked_lists
 from quern.plans.catalog import query, table, values
 from quern.sources import stored
@@ -133,3 +134,20 @@ def confidence_basis(spark, sf_dir):
 @query(f"WITH {_RANKED} SELECT query_id, string_agg(provider, '+' ORDER BY o) AS provider, count(*) AS providers FROM (SELECT query_id, provider, min(list_ord) AS o FROM l GROUP BY query_id, provider) GROUP BY query_id")
 def provider_concat(spark, sf_dir):
     return fuse.provider_names(ranked_lists(spark, sf_dir))
+
+
+def _by_class(values_of: list[str], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(h, {q.lit('|'.join(p))}) THEN {x}" for (_, _, p), x in zip(u.HOST_CLASSES, values_of, strict=True)) + f" ELSE {other} END"
+
+
+@query(f"""SELECT page_id, CASE WHEN h IS NULL THEN {q.lit(fuse.NO_ADDRESS)} ELSE array_to_string(list_filter([{_by_class([q.lit(x) for x in fuse.CLASS_SIGNALS], 'NULL')}, CASE WHEN regexp_matches(h, {q.lit('|'.join(u.LOW_TRUST))}) THEN {q.lit(fuse.LOW_TRUST)} END,
+CASE WHEN starts_with(url, 'http://') THEN {q.lit(fuse.PLAIN_HTTP)} END, CASE WHEN n > 1200 THEN {q.lit(fuse.FULL)} WHEN n < 200 THEN {q.lit(fuse.EMPTY)} END], lambda x: x IS NOT NULL), ',') END AS signals,
+coalesce({_by_class([str(s in fuse.PRIMARY).upper() for _, s, _ in u.HOST_CLASSES], 'FALSE')}, FALSE) AS is_primary
+FROM (SELECT page_id, url, {q.host('url')} AS h, length(html) % 2400 AS n FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN url ELSE replace({q.q(HOSTS)}[page_id % {len(HOSTS)} + 1], '://', CASE WHEN page_id % 2 = 0 THEN '://sub' || page_id || '.' ELSE '://' END) END AS url FROM pages))""")
+def credibility_signals(spark, sf_dir):
+    """Pages' own addresses, and known hosts with or without a subdomain made of the page's number."""
+    n = F.col("page_id")
+    named = F.replace(F.get(F.array(*map(F.lit, HOSTS)), (n % len(HOSTS)).cast("int")), F.lit("://"), F.when(n % 2 == 0, F.concat(F.lit("://sub"), n.cast("string"), F.lit("."))).otherwise("://"))
+    own = table(spark, sf_dir, "pages").select("page_id", F.when(n % 3 == 0, F.col("url")).otherwise(named).alias("url"), (F.length("html") % 2400).alias("n"))
+    out = own.select("page_id", fuse.assessment(F.col("url"), F.col("n")).alias("a"))
+    return out.select("page_id", F.array_join("a.signals", ",").alias("signals"), "a.is_primary")
