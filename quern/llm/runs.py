@@ -237,10 +237,10 @@ def strongest(name: str) -> Column:
 
 
 def damaged(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the contract's damage: where h % 10 = 0, words from a on repeat with period p. A null doc_id has no h: its text stays."""
+    """doc_id and text with the contract's damage: where h % 10 = 0, words from a on repeat with period p. A null doc_id has no h and a text without words no a: these texts stay."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     own = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({c.SPACES})"), F.lit(1))))
-    cut = own.select("doc_id", "text", "w", F.size("w").cast("long").alias("n"), F.floor(F.col("h") / 10).alias("g")).selectExpr("doc_id", "text", "w", "n", "g", "g % n as a")
+    cut = own.select("doc_id", "text", "w", F.size("w").cast("long").alias("n"), F.floor(F.col("h") / 10).alias("g")).selectExpr("doc_id", "text", "w", "n", "g", "g % nullif(n, 0) as a")
     cut = cut.selectExpr("doc_id", "text", "w", "n", "a", "1 + floor((n - a) / (3 + g % 8)) as p")
     again = F.expr("array_join(transform(sequence(0L, n - 1), i -> element_at(w, cast(if(i < a, i, a + (i - a) % p) as int) + 1)), ' ')")
     return cut.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))

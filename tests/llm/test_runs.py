@@ -113,3 +113,12 @@ def test_query_against_brute_force(spark, tmp_path):
         gone = {k for s, m, p in r for k in range(s + p, s + m)}
         want.append((i, len(r), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha("".join(f"{s},{m},{p}\n" for s, m, p in r)), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     assert damaged > 8 and sorted(map(tuple, runs.op11_periodic_runs(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_damage_spares_texts_without_words(spark):
+    """Whatever the id's checksum: of sixty ids some have h % 10 = 0, and their share of words is no division by zero."""
+    ids = list(range(60))
+    assert any(zlib.crc32(str(i).encode()) % 10 == 0 for i in ids)
+    rows = [(i, x) for i in ids for x in ("", " \t\n", None)]
+    got = runs.damaged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
