@@ -46,7 +46,7 @@ def matches(text: Column, patterns: str | list[str]) -> Column:
 def normalize(text: Column) -> Column:
     """Lower case, Turkish and circumflex letters plain, other characters than a-z and 0-9 to single spaces."""
     plain = F.translate(F.lower(text), "çğıöşüâîû", "cgiosuaiu")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def plain_tokens(text: Column) -> Column:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from quern.functions import text as t
 from quern.functions import urls as u
 from quern.operators import substrings
+from quern.operators.durable import kept
 
 RRF_K, HOST_CAP = 60, 2
+#: Queries up to which they are sent to all tasks.
+SENT_QUERIES = 10_000
 # ---- fixed values: intent, half-life in hours, weights of relevance, credibility and freshness, result life in seconds ----
 INTENTS = [
     ("news", 24.0, 0.35, 0.25, 0.4, 300),
@@ -120,12 +123,18 @@ def pre_scored(docs: DataFrame, queries: DataFrame, id_col: str, title: str, sni
 def with_relevance(docs: DataFrame, queries: DataFrame, title: str, snippet: str, content: str, on: Column | None = None) -> DataFrame:
     """docs joined with queries (query_id, query), and relevance: coverage of the query's terms by title (.5), snippet (.3) and the first 4000 characters of the content (.2), and .15 for the phrase.
 
-    Texts and queries are normalized once each, before they meet.
+    Texts and queries are normalized once each, before they meet. Without a condition every document meets every query: a product of partitions would read each document again for
+    each partition of queries, so queries are sent to all tasks up to a checked number, and beyond it the normalized documents are kept.
     """
     whole = lambda x: t.normalize(F.coalesce(F.col(x), F.lit("")))
     own = docs.withColumns({"_a": whole(title), "_b": whole(snippet), "_d": t.normalize(F.substring(F.coalesce(F.col(content), F.lit("")), 1, 4000))})
     ask = queries.select(F.col("query_id").alias("_q"), F.col("query").alias("_query"), t.plain_tokens(F.col("query")).alias("_terms"), t.normalize(F.col("query")).alias("_p"))
-    both = own.crossJoin(ask) if on is None else own.join(ask, on)
+    if on is not None:
+        both = own.join(ask, on)
+    elif queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
+        both = own.crossJoin(F.broadcast(ask))
+    else:
+        both = kept(own).crossJoin(ask)
     share = lambda x: F.size(F.filter("_terms", lambda y: F.contains(F.col(x), y))) / F.size("_terms")
     bonus = F.when((F.length("_p") > 8) & (F.contains(F.col("_a"), F.col("_p")) | F.contains(F.col("_d"), F.col("_p"))), 0.15).otherwise(0.0)
     score = F.when(F.size("_terms") == 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), share("_a") * 0.5 + share("_b") * 0.3 + share("_d") * 0.2 + bonus))
