@@ -67,15 +67,18 @@ def first_prefix(texts: DataFrame, prefixes: DataFrame, keys: list[str], text: s
     """texts with `found`: the first prefix, by order, of the same keys that the text begins with; null if none does.
 
     prefixes: (keys, prefix, order). Only the lengths that some prefix has are cut from a text, so the join is by equality; an empty prefix begins every text.
+    Of equal prefixes of the same keys the first stands for all, and texts meet them as distinct heads as long as the longest prefix: neither whole texts nor repeated prefixes are joined.
     """
-    known = prefixes.where(F.col(prefix).isNotNull()).select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col(prefix).alias("_p"), F.col(order).alias("_o"))
+    groups = [F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)]
+    known = prefixes.where(F.col(prefix).isNotNull()).groupBy(*groups, F.col(prefix).alias("_p")).agg(F.min(order).alias("_o"))
     lengths = known.agg(F.array_sort(F.collect_set(F.length("_p"))).alias("_lengths"))  # as many as lengths differ
-    own = texts.select(*keys, text).distinct().crossJoin(F.broadcast(lengths))
-    own = own.withColumn("_cut", F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))))
+    texts_ = texts.crossJoin(F.broadcast(lengths)).withColumn("_head", F.substring(F.col(text), F.lit(1), F.coalesce(F.array_max("_lengths"), F.lit(0)))).drop("_lengths")
+    heads = texts_.select(*keys, "_head").distinct().crossJoin(F.broadcast(lengths))
+    heads = heads.withColumn("_cut", F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length("_head")), lambda n: F.substring(F.col("_head"), F.lit(1), n))))
     same = " and ".join([*[f"`{x}` <=> _k{i}" for i, x in enumerate(keys)], "_cut = _p"])
-    met = own.join(known, F.expr(same)).groupBy(*[F.col(x).alias(f"_r{i}") for i, x in enumerate(keys)], F.col(text).alias("_t")).agg(F.min_by("_p", "_o").alias("found"))
-    back = " and ".join([*[f"`{x}` <=> _r{i}" for i, x in enumerate(keys)], f"`{text}` = _t"])
-    return texts.join(met, F.expr(back), "left").select(*texts.columns, "found")
+    met = heads.join(known, F.expr(same)).groupBy(*[F.col(x).alias(f"_r{i}") for i, x in enumerate(keys)], F.col("_head").alias("_t")).agg(F.min_by("_p", "_o").alias("found"))
+    back = " and ".join([*[f"`{x}` <=> _r{i}" for i, x in enumerate(keys)], "_head = _t"])
+    return texts_.join(met, F.expr(back), "left").select(*texts.columns, "found")
 
 
 def origin(url: Column) -> Column:

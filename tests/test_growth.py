@@ -37,3 +37,15 @@ def test_normalize_is_the_same_in_one_pass(spark):
     old = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
     row = spark.createDataFrame([(x,)], "x string").select(t.normalize(F.col("x")).alias("a"), old.alias("b")).first()
     assert row["a"] == row["b"] != ""
+
+
+def test_prefixes_meet_heads_once(spark):
+    """No whole text is shuffled, and equal prefixes are joined as one: the rows of the join don't grow with their product."""
+    texts = spark.createDataFrame([(i, "en", "abcdef" + "x" * 500 + str(i)) for i in range(300)] + [(900, "en", None), (901, None, "abcd")], "doc_id long, lang string, text string")
+    prefixes = spark.createDataFrame([("en", "abc", i) for i in range(200)] + [("en", "abcd", -1), (None, "a", 7)], "lang string, p string, o long")
+    out = lookups.first_prefix(texts, prefixes, ["lang"], "text", "p", "o").select("doc_id", "found")
+    got = dict(map(tuple, out.collect()))
+    assert got == {**dict.fromkeys(range(300), "abcd"), 900: None, 901: "a"}
+    assert not [x for x in physical(out).splitlines() if "Exchange hashpartitioning" in x and " text#" in x]
+    none = lookups.first_prefix(texts, prefixes.limit(0), ["lang"], "text", "p", "o")
+    assert none.where("found is null").count() == 302
