@@ -16,6 +16,21 @@ FEED_ENTITIES = [("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos",
 # ----------------------
 
 
+def once(x: Column, use) -> Column:
+    """use(x), where x is computed once and not once for each use."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def firsts(items: Column, key) -> Column:
+    """The first item of those with the same key, in order: sorted by key, so that no item meets all others."""
+
+    def pick(rows: Column) -> Column:
+        led = F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["k"] != x["k"]))
+        return F.transform(F.array_sort(F.transform(led, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
+
+    return once(F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))), pick)
+
+
 def entities(x: Column) -> Column:
     """Named entities of the table, &amp; last so that nothing is decoded twice; unknown ones stay."""
     for a, b in ENTITIES.items():
@@ -55,23 +70,26 @@ def stripped(html: Column) -> Column:
 
 def container(html: Column) -> Column:
     """The first article, article body, main or main role; else the body; else all."""
-    own = stripped(html)
     parts = [r"(?is)<article\b[^>]*>(.*?)</article>", r"""(?is)<[a-z]+[^>]*itemprop=["']articleBody["'][^>]*>(.*?)</(?:div|section|article)>""", r"(?is)<main\b[^>]*>(.*?)</main>", r"""(?is)<[a-z]+[^>]*role=["']main["'][^>]*>(.*?)</(?:div|section)>""", r"(?is)<body\b[^>]*>(.*)</body>"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(own, p, 1), F.lit("")) for p in parts], own)
+    found = lambda own, p: once(F.regexp_extract(own, p, 1), lambda x: F.when(x != "", x))
+    return once(stripped(html), lambda own: F.coalesce(*[found(own, p) for p in parts], own))
 
 
 def blocks(html: Column) -> Column:
     """Texts of more than 40 characters of block elements, the first of those that begin with the same 80 characters. A start tag ends what is open."""
+    return _blocks(container(html))
+
+
+def _blocks(content: Column) -> Column:
     tags = "|".join(BLOCKS)
-    parts = F.regexp_extract_all(container(html), F.lit(rf"(?is)<(?:{tags})(?:\s[^>]*)?>(.*?)(?=</?(?:{tags})(?:\s[^>]*)?>|$)"), F.lit(1))
-    own = F.filter(F.transform(parts, plain), lambda x: F.length(x) > 40)
-    return F.filter(own, lambda x, i: F.array_position(F.transform(own, lambda y: F.left(y, F.lit(80))), F.left(x, F.lit(80))) == i + 1)
+    parts = F.regexp_extract_all(content, F.lit(rf"(?is)<(?:{tags})(?:\s[^>]*)?>(.*?)(?=</?(?:{tags})(?:\s[^>]*)?>|$)"), F.lit(1))
+    return firsts(F.filter(F.transform(parts, plain), lambda x: F.length(x) > 40), lambda x: F.left(x, F.lit(80)))
 
 
 def readable(html: Column) -> Column:
     """The blocks on lines of their own, else the container's text; up to 4000 characters."""
-    own = blocks(html)
-    return F.left(F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(plain(container(html))), F.lit(LIMIT))
+    text = lambda own, content: F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(plain(content))
+    return F.left(once(container(html), lambda content: once(_blocks(content), lambda own: text(own, content))), F.lit(LIMIT))
 
 
 def resolved(h: Column, base: Column) -> Column:
@@ -87,8 +105,7 @@ def links(html: Column, base: Column) -> Column:
     raw = F.regexp_extract_all(html, F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']*["'][^>]*>.*?)</a>"""), F.lit(1))
     own = F.transform(raw, lambda x: F.struct(plain(F.regexp_extract(x, r"(?is)^<a\b[^>]*>(.*)$", 1)).alias("text"), resolved(entities(F.regexp_extract(x, r"""(?is)href=["']([^"']*)["']""", 1)), base).alias("url")))
     own = F.filter(own, lambda x: (x["text"] != "") & (F.length(x["text"]) <= 120) & x["url"].rlike("^https?:"))
-    first = F.filter(own, lambda x, i: F.array_position(F.transform(own, lambda y: y["url"]), x["url"]) == i + 1)
-    return F.slice(first, 1, MAX_LINKS)
+    return F.slice(firsts(own, lambda x: x["url"]), 1, MAX_LINKS)
 
 
 def meta_date(html: Column, selectors: list[tuple[str, str]]) -> Column:

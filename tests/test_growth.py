@@ -49,3 +49,14 @@ def test_prefixes_meet_heads_once(spark):
     assert not [x for x in physical(out).splitlines() if "Exchange hashpartitioning" in x and " text#" in x]
     none = lookups.first_prefix(texts, prefixes.limit(0), ["lang"], "text", "p", "o")
     assert none.where("found is null").count() == 302
+
+
+def test_pages_are_stripped_once(spark):
+    page = "<html><script>x</script><body><nav>n</nav><p>" + "a" * 50 + "</p><p>" + "b" * 50 + "</p><p>" + "a" * 90 + "</p><p>" + "a" * 95 + "</p></body>"
+    df = spark.createDataFrame([(1, page), (2, "<main>short</main>"), (3, None)], "page_id int, html string")
+    for x in (extract.blocks(F.col("html")), extract.readable(F.col("html"))):
+        assert physical(df.select(x.alias("x"))).count("noscript") == 1
+    got = {r["page_id"]: r["b"] for r in df.select("page_id", extract.blocks(F.col("html")).alias("b")).collect()}
+    assert got == {1: ["a" * 50, "b" * 50, "a" * 90], 2: [], 3: None}
+    text = {r["page_id"]: r["b"] for r in df.select("page_id", extract.readable(F.col("html")).alias("b")).collect()}
+    assert text == {1: "\n".join(got[1]), 2: "short", 3: None}
