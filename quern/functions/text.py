@@ -1,11 +1,15 @@
 """Text primitives as Column expressions: the five tokenizers, folding, stemming, sentences and sentence tests.
 
-All of them stay in native expressions, so a scan can push them down its whole-stage pipeline. Word boundaries are those of ASCII words on
-purpose: Java's own are Unicode-aware and would find other matches.
+Most are native expressions, so a scan can push them down its whole-stage pipeline. Stemmed tokens go by Arrow columns: a token's
+stem is looked up among a batch's distinct forms.
+Word boundaries are those of ASCII words on purpose: Java's own are Unicode-aware and would find other matches.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,12 +108,65 @@ def stem(word: Column) -> Column:
     return stems(F.array(word))[0]
 
 
+_PLAIN, _MARKS = str.maketrans("ı" + _FROM, "i" + _TO), re.compile("[\u0300-\u036f]")
+_TR, _EN = (re.compile("(?:" + "|".join(x) + ")$") for x in (TR_SUFFIXES, EN_SUFFIXES))
+_WHOLE, _PLURAL, _IES, _IE, _DOUBLE = map(re.compile, ("(?:ss|us|is)$", "(?:ies|ses|xes|zes|ches|shes)$", "[^aeiou]ie[sd]$", "ie[sd]$", r"([^aeiouls z])\1$"))
+
+
+def stem_of(word: str) -> str:
+    """What stem says, of one word in Python."""
+    w = _MARKS.sub("", word.lower().translate(_PLAIN))
+    if len(w) <= 4:
+        return w
+    tr = _TR.sub("", w)
+    if len(tr) >= 3 and tr != w:
+        return tr
+    if _WHOLE.search(w) and not _PLURAL.search(w):
+        return w
+    if _IES.search(w):
+        return _IE.sub("y", w)
+    en = _EN.sub("", w)
+    return w if len(en) < 3 else _DOUBLE.sub(r"\1", en)
+
+
+def _term_of(form: str, stop=frozenset(RANK_STOP)) -> str | None:
+    """The term that a word as written makes, if any."""
+    own = form.strip("._-")
+    if len(own) < 2:
+        return None
+    term = stem_of(own)
+    return term if len(term) >= 2 and term not in stop else None
+
+
+#: Forms whose terms a worker remembers.
+KNOWN_FORMS = 500_000
+
+
+def _terms():
+    known: dict = {}
+
+    def terms(raw: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        row = pc.list_parent_indices(raw).to_numpy(zero_copy_only=False)
+        coded = raw.flatten().dictionary_encode()
+        forms, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(known) > KNOWN_FORMS:
+            known.clear()
+        own = [known[x] if x in known else known.setdefault(x, _term_of(x)) for x in forms]
+        stays = np.array([x is not None for x in own], dtype=bool)[code]
+        values = pa.array(own, pa.string()).take(pa.array(code[stays]))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row[stays].astype(np.int64), minlength=len(raw))))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=raw.is_null() if raw.null_count else None)
+
+    return terms
+
+
 def rank_tokens(text: Column) -> Column:
     """T2: stemmed Unicode words that keep inner dots, hyphens and underscores, of two letters or more, without stop words."""
     raw = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_.-]*"), F.lit(0))
-    cut = F.transform(raw, lambda x: F.regexp_replace(x, r"^[.\-_]+|[.\-_]+$", ""))
-    stop = F.array(*map(F.lit, RANK_STOP))
-    return F.filter(stems(F.filter(cut, lambda x: F.length(x) >= 2)), lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))
+    return F.arrow_udf(_terms(), "array<string>")(raw)
 
 
 def gate_tokens(text: Column) -> Column:

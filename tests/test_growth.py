@@ -60,3 +60,15 @@ def test_pages_are_stripped_once(spark):
     assert got == {1: ["a" * 50, "b" * 50, "a" * 90], 2: [], 3: None}
     text = {r["page_id"]: r["b"] for r in df.select("page_id", extract.readable(F.col("html")).alias("b")).collect()}
     assert text == {1: "\n".join(got[1]), 2: "short", 3: None}
+
+
+def test_terms_by_lookup_are_those_of_the_stemmer(spark):
+    words = ["İNDEKSLERİNDEN", "indexes", "running", "stopped", "addresses", "queries", "Straße", "ΣΟΦΟΣ", "école", "classes", "bus", "the", "a", "ız", "ﬁnding", "٣٤٥", "naïve--", "a.b.c_", "x" * 40 + "ies"]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, ""), (4, "the of a")], "id int, x string")
+    got = {r["id"]: r["w"] for r in rows.select("id", t.rank_tokens(F.col("x")).alias("w")).collect()}
+    cut = F.transform(F.regexp_extract_all("x", F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_.-]*"), F.lit(0)), lambda x: F.regexp_replace(x, r"^[.\-_]+|[.\-_]+$", ""))
+    stop = F.array(*map(F.lit, t.RANK_STOP))
+    native = F.filter(t.stems(F.filter(cut, lambda x: F.length(x) >= 2)), lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))
+    assert got == {r["id"]: r["w"] for r in rows.select("id", native.alias("w")).collect()}
+    assert got[2] is None and got[3] == got[4] == []
+    assert "regexp_replace" not in physical(rows.select(t.rank_tokens(F.col("x"))))
