@@ -1,7 +1,7 @@
 """Text primitives as Column expressions: the five tokenizers, folding, stemming, sentences and sentence tests.
 
-Most are native expressions, so a scan can push them down its whole-stage pipeline. Stemmed tokens go by Arrow columns: a token's
-stem is looked up among a batch's distinct forms.
+Most are native expressions, so a scan can push them down its whole-stage pipeline. Stemmed tokens and sentences go by Arrow columns: a token's
+stem is looked up among a batch's distinct forms, and sentences are told by Arrow's own regular expressions, which need no look-around.
 Word boundaries are those of ASCII words on purpose: Java's own are Unicode-aware and would find other matches.
 """
 
@@ -179,12 +179,41 @@ def short_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: F.length(x) >= 3)
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern for several, in the syntax of RE2, whose \\b is an ASCII boundary."""
+    return "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+
+
+def _told(text: pa.Array) -> pa.Array:
+    import numpy as np
+    import pyarrow.compute as pc
+
+    # A line feed parts sentences as it parts lines.
+    parted = pc.replace_substring_regex(text, r"""([.!?…])\s+([A-ZÇĞİÖŞÜ0-9"'])""", "\\1\n\\2")
+    parts = pc.split_pattern(parted, "\n")
+    row = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = parts.flatten()
+    fits = pc.greater_equal(pc.utf8_length(own), 45)
+    own, row = own.filter(fits), row[fits.to_numpy(zero_copy_only=False)]
+    own = pc.utf8_trim(pc.replace_substring_regex(own, r"\s+", " "), " ")
+    n = pc.utf8_length(own)
+    fits = pc.and_(pc.greater_equal(n, 45), pc.less_equal(n, 400))
+    own, row = own.filter(fits), row[fits.to_numpy(zero_copy_only=False)]
+    fits = pc.invert(pc.or_(pc.match_substring_regex(own, any_of(NOISE)), pc.match_substring_regex(own, any_of(QUESTION))))
+    own, row = own.filter(fits), row[fits.to_numpy(zero_copy_only=False)]
+    told = pa.StructArray.from_arrays([own, pc.match_substring_regex(own, any_of(FACTUAL))], names=["s", "factual"])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(text))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), told, mask=text.is_null() if text.null_count else None)
+
+
+def told_sentences(text: Column) -> Column:
+    """Sentences (s, factual) that a claim may come from: 45 to 400 characters, neither boilerplate nor questions."""
+    return F.arrow_udf(_told, "array<struct<s:string,factual:boolean>>")(text)
+
+
 def sentences(text: Column) -> Column:
-    """Sentences that a claim may come from: 45 to 400 characters, neither boilerplate nor questions."""
-    lines = F.split(text, r"\n+")
-    parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?…])\s+(?=[A-ZÇĞİÖŞÜ0-9\"'])")))
-    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.filter(clean, lambda x: F.length(x).between(45, 400) & ~matches(x, NOISE) & ~is_question(x))
+    """The texts of told_sentences."""
+    return F.transform(told_sentences(text), lambda x: x["s"])
 
 
 def is_question(sentence: Column) -> Column:

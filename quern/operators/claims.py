@@ -17,7 +17,8 @@ BASIS = ["bağımsız kaynak", "ortalama güvenilirlik", "çelişen kaynak"]
 
 def candidates(results: DataFrame, min_overlap: float | None = 0.2) -> DataFrame:
     """(query_id, ord, pos, sentence, host, credibility): factual sentences near enough to the query, in the order of results."""
-    own = results.select("query_id", "query", "ord", "host", "credibility", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence")).where(t.is_factual(F.col("sentence")))
+    own = results.select("query_id", "query", "ord", "host", "credibility", F.posexplode(t.told_sentences(F.col("text"))).alias("pos", "x")).where("x.factual")
+    own = own.select("query_id", "query", "ord", "host", "credibility", "pos", F.col("x.s").alias("sentence"))
     if min_overlap is not None:
         own = own.where(t.overlap(t.plain_tokens(F.col("sentence")), t.plain_tokens(F.col("query"))) >= min_overlap)
     return own.drop("query")

@@ -82,8 +82,8 @@ def stem_table(spark, sf_dir):
 
 @query(f"SELECT doc_id, len(s) AS n, len(list_filter(s, lambda x: {q.any_of('x', t.FACTUAL)})) AS factual FROM (SELECT doc_id, {q.sentences('text')} AS s FROM documents)")
 def factual_sentences(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", t.sentences(F.col("text")).alias("s"))
-    return own.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", t.is_factual)).cast("long").alias("factual"))
+    own = table(spark, sf_dir, "documents").select("doc_id", t.told_sentences(F.col("text")).alias("s"))
+    return own.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", lambda x: x["factual"])).cast("long").alias("factual"))
 
 
 QUESTIONS = ["How do I fix index bloat?", "Question: what is it", "Index bloat grows.", "Any idea why it fails", "neden böyle oldu?", "It is done. Is it?", "The answer is 42"]

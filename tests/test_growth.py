@@ -72,3 +72,14 @@ def test_terms_by_lookup_are_those_of_the_stemmer(spark):
     assert got == {r["id"]: r["w"] for r in rows.select("id", native.alias("w")).collect()}
     assert got[2] is None and got[3] == got[4] == []
     assert "regexp_replace" not in physical(rows.select(t.rank_tokens(F.col("x"))))
+
+
+def test_sentences_are_told_once_with_their_facts(spark):
+    a, b = "It rose by 12 percent in the year, as was written here.", "According to nobody at all the thing is the one we know."
+    plain = "Words without any figure stand here, and there are many of them."
+    text = f"{a} {b}\n{plain}\nPlease subscribe to the newsletter of this very long page, 12 times. How many of these are there in all of the world? Short. {'x' * 401}"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, x string")
+    got = {r["id"]: r["s"] for r in rows.select("id", t.told_sentences(F.col("x")).alias("s")).collect()}
+    assert [tuple(x) for x in got[1]] == [(a, True), (b, True), (plain, False)] and got[2] is None and got[3] == []
+    native = spark.createDataFrame([(x["s"], x["factual"]) for x in got[1]], "s string, f boolean")
+    assert native.where(t.is_factual(F.col("s")) != F.col("f")).count() == 0
