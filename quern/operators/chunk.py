@@ -1,6 +1,6 @@
 """Structure-aware chunks: blocks under a trail of headings, packed to a size, with an overlap carried between chunks of one trail.
 
-A batch of texts is one table of lines in pandas: running sums tell blocks apart, filled-down columns hold the last heading
+A slab of a batch of texts is one table of lines in pandas: running sums tell blocks apart, filled-down columns hold the last heading
 of each depth, and only the packing of lengths and the carrying of overlaps go step by step. No row leaves its batch, so
 nothing is shuffled. Lengths and offsets count characters. Null and blank texts have no chunks.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 # Default size and overlap, least length that closes a chunk, characters a token, and what makes a line a heading.
 SIZE, OVERLAP, LEAST, CHARS_PER_TOKEN = 1200, 120, 80, 3.6
 SMALLEST = 200
+#: Characters of text that are one table at a time; a batch of rows may hold any number.
+SLAB = 1 << 21
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
 LONE_LINE = r"[^\n.!?]{3,80}"
 NOT_AT_END = list(".!?:;,")
@@ -112,15 +114,26 @@ def chunks(texts: pd.Series, size: int = SIZE, overlap: int = OVERLAP, headings:
     return out.assign(index=out.groupby("doc").cumcount())[["doc", *COLUMNS]]
 
 
+def slabs(batch: pd.DataFrame, most: int = SLAB) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose texts come to at most `most` characters, or one longer text each."""
+    ends = batch["body"].str.len().fillna(0).astype("int64").cumsum().to_numpy()
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield batch.iloc[i:j]
+        i = j
+
+
 def chunk(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP, headings: bool = False) -> DataFrame:
     """One row per chunk: id_col, index, text, headings, chars, estimated_tokens, start, end. A repeated row has chunks of its own."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = chunks(batch["body"], size, overlap, headings)
-            own = pd.Series(batch["id"].to_numpy(dtype=object)).iloc[out["doc"].astype("int64")]
-            yield out.drop(columns="doc").assign(id=own.to_numpy())[["id", *COLUMNS]]
+            for part in slabs(batch):
+                out = chunks(part["body"], size, overlap, headings)
+                own = pd.Series(part["id"].to_numpy(dtype=object)).iloc[out["doc"].astype("int64")]
+                yield out.drop(columns="doc").assign(id=own.to_numpy())[["id", *COLUMNS]]
 
     own = docs.select(docs[id_col].alias("id"), docs[text].alias("body"))
     return own.mapInPandas(run, f"id {kind}, index int, text string, headings array<string>, chars int, estimated_tokens int, start int, end int").withColumnRenamed("id", id_col)

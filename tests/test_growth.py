@@ -62,6 +62,12 @@ def test_pages_are_stripped_once(spark):
     assert text == {1: "\n".join(got[1]), 2: "short", 3: None}
 
 
+def test_titles_decode_every_named_entity(spark):
+    """As the reference does, whose parser decodes a title's text; the SQL of html_title knows three entities only."""
+    row = spark.createDataFrame([("<title>a = &quot;b&quot; &amp; c</title>", "https://x.example/")], "html string, url string").select(extract.title(F.col("html"), F.col("url")).alias("x")).first()
+    assert row["x"] == 'a = "b" & c'
+
+
 def test_terms_by_lookup_are_those_of_the_stemmer(spark):
     words = ["İNDEKSLERİNDEN", "indexes", "running", "stopped", "addresses", "queries", "Straße", "ΣΟΦΟΣ", "école", "classes", "bus", "the", "a", "ız", "ﬁnding", "٣٤٥", "naïve--", "a.b.c_", "x" * 40 + "ies"]
     rows = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, ""), (4, "the of a")], "id int, x string")
@@ -83,3 +89,15 @@ def test_sentences_are_told_once_with_their_facts(spark):
     assert [tuple(x) for x in got[1]] == [(a, True), (b, True), (plain, False)] and got[2] is None and got[3] == []
     native = spark.createDataFrame([(x["s"], x["factual"]) for x in got[1]], "s string, f boolean")
     assert native.where(t.is_factual(F.col("s")) != F.col("f")).count() == 0
+
+
+def test_chunks_are_made_slab_by_slab(spark):
+    batch = pd.DataFrame({"id": range(6), "body": ["a" * 10, None, "b" * 35, "", "c" * 10, "d" * 10]})
+    parts = list(chunk.slabs(batch, 20))
+    assert [list(p["id"]) for p in parts] == [[0, 1], [2, 3], [4, 5]] or [list(p["id"]) for p in parts] == [[0, 1], [2], [3, 4, 5]]
+    assert all(len(p) and (p["body"].fillna("").str.len().sum() <= 20 or p["body"].fillna("").str.len().gt(0).sum() == 1) for p in parts)
+    assert list(chunk.slabs(batch.iloc[:0], 20)) == []
+    docs = spark.createDataFrame([(i, f"line {i} of a text that is long enough.\n\n" * 40) for i in range(20)], "doc_id long, text string").coalesce(1)
+    whole = chunk.chunks(docs.toPandas()["text"])
+    got = chunk.chunk(docs)
+    assert got.count() == len(whole) and sorted(r["text"] for r in got.collect()) == sorted(whole["text"])
