@@ -107,65 +107,58 @@ def passages(ranked: DataFrame, docs: DataFrame, queries: DataFrame, most: int =
 
 
 def _picked(rows, top_k: int, diversity: float):
-    """Greedy picks from rows (query_id, id, rank, score, terms, total) by query and rank: (query_id, id, rank, score, done).
+    """Greedy picks from rows (query_id, id, rank, score, terms, top, most, have, total) by query: (query_id, id, rank, score, done, terms).
 
-    A row is worth at most (1 - diversity) * relative score, so reading stops as soon as no unread row can win, and overlaps are brought
-    up to date only for rows that would be picked next. done is false where rows ended before that was certain.
+    A query's rows are its best ones given the `have` picks before, with their greatest overlap with these. Overlaps only grow with more picks, so a row outside is worth
+    no more than the last row here was: picking goes on as long as the best row is worth at least that. The first pick is always certain.
     """
-    from heapq import heappop, heappush
     from itertools import groupby
 
     def near(a: set, b: set) -> float:
         return len(a & b) / (min(len(a), len(b)) or 1)
 
     for query, own in groupby(rows, key=lambda r: r[0]):
-        own = iter(own)
-        row = next(own)
-        top, total, read = max(row[3], 1e-300), row[5], 0
-        heap: list = []  # (-value, rank, id, score, terms, greatest overlap, picks compared with)
-        picks: list[set] = []
+        own = list(own)
+        have, total = own[0][7], own[0][8]
+        # [value, -rank, id, score, top, terms, most]
+        left = [[(1 - diversity) * r[3] / r[5] - diversity * r[6], -r[2], r[1], r[3], r[5], set(r[4]), r[6]] for r in own]
+        floor = min((x[0], x[1]) for x in left) if have + len(left) < total else (float("-inf"), 0)
         out = []
-        bound = (1 - diversity) * row[3] / top
-        while len(out) < top_k:
-            if heap and -heap[0][0] >= bound:
-                value, rank, i, score, terms, most, seen = heappop(heap)
-                if seen < len(picks):
-                    most = max(most, *(near(terms, x) for x in picks[seen:]))
-                    heappush(heap, (-((1 - diversity) * score / top - diversity * most), rank, i, score, terms, most, len(picks)))
-                    continue
-                out.append((i, score))
-                picks.append(terms)
-            elif row is not None:
-                heappush(heap, (-bound, row[2], row[1], row[3], set(row[4]), 0.0, 0))
-                read += 1
-                row = next(own, None)
-                if row is not None:
-                    bound = (1 - diversity) * row[3] / top
-                elif read == total:
-                    bound = float("-inf")
-                # Else rows were cut here: the next one would be worth no more than the last one.
-            else:
+        while left and have + len(out) < top_k:
+            best = max(left, key=lambda x: (x[0], x[1]))
+            if (best[0], best[1]) < floor:
                 break
-        done = len(out) == top_k or read == total
-        for place, (i, score) in enumerate(out, 1):
-            yield query, i, place, score, done
-        if not out:
-            yield query, None, 0, None, done
-        for _ in own:  # groupby goes on behind this query's rows
-            pass
+            left.remove(best)
+            out.append(best)
+            for x in left:
+                x[6] = max(x[6], near(x[5], best[5]))
+                x[0] = (1 - diversity) * x[3] / x[4] - diversity * x[6]
+        done = have + len(out) >= min(top_k, total)
+        for place, x in enumerate(out, have + 1):
+            yield query, x[2], place, x[3], done, list(x[5])
+
+
+#: Queries whose picks are sent to all tasks; beyond, Spark joins them as it sees fit.
+SENT_PICKS = 1_000
 
 
 def mmr(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.5, ranked: DataFrame | None = None, title: str | None = None, first: int | None = None) -> DataFrame:
     """(query_id, id, rank, score) picked greedily from all matching documents by (1 - d) * relative score - d * greatest overlap with what is picked; ties by score, then id.
 
-    The best documents of a query are read first, some times top_k of them; queries for which a document beyond these could still win are read on, eight times as far each round.
+    All matching documents are valued in one pass over their terms, where they lie; the best `first` rows of each query (4 * top_k, 256 at least) go on to one task a query, which picks from them as
+    long as no document beyond these can win, and then a next pass values all again. A pass picks one document a query at least. Terms compare by 64-bit hashes.
     Ids may be of any type and must be unique; documents without an id are left out. ranked: what bm25 gave without a cut, if it is there already.
     """
     best = kept((bm25(docs, queries, None, title) if ranked is None else ranked).where("id is not null").select("query_id", "id", "rank", F.round("score", 9).alias("score")))
     words = t.rank_tokens(F.col("text")) if title is None else F.concat(t.rank_tokens(F.coalesce(F.col(title), F.lit(""))), t.rank_tokens(F.col("text")))
-    sizes = best.groupBy("query_id").agg(F.count("*").alias("total"))
+    sizes = best.groupBy("query_id").agg(F.count("*").alias("total"), F.greatest(F.max("score"), F.lit(1e-300)).alias("top"))
     kinds = dict(best.dtypes)
-    names = ["query_id", "id", "rank", "score", "terms", "total"]
+    front = first or max(256, 4 * top_k)
+    asks = best.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("query_id", "rank", "score")).alias("asks"))
+    matched = docs.join(asks.select("_id"), F.col("id") == F.col("_id"), "left_semi").select("id", F.transform(F.array_distinct(words), lambda x: F.xxhash64(x)).alias("terms"))
+    matched = kept(matched.join(asks, F.col("id") == F.col("_id")).select("id", "terms", "asks"))
+    few = sizes.count() <= SENT_PICKS
+    names = ["query_id", "id", "rank", "score", "terms", "top", "most", "have", "total"]
 
     def work(batches):
         import pyarrow as pa
@@ -179,20 +172,31 @@ def mmr(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float =
 
         held = list(_picked(rows(), top_k, diversity))
         if held:
-            kind = [*keys, pa.int32(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], x) for k, x in enumerate(kind)], names=["query_id", "id", "rank", "score", "done"])
-
-    reach, todo, out = first or max(256, 4 * top_k), sizes, None
-    while True:
-        part = best.where(F.col("rank") <= reach).join(todo, "query_id").join(docs.select("id", F.array_distinct(words).alias("terms")), "id")
-        part = part.select(*names).repartition("query_id").sortWithinPartitions("query_id", "rank")
-        picks = kept(part.mapInArrow(work, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, score double, done boolean"))
-        sure = picks.where("done").drop("done")
-        out = sure if out is None else out.unionByName(sure)
-        todo = sizes.join(picks.where("not done").select("query_id").distinct(), "query_id")
-        if todo.isEmpty():
-            return out
-        reach *= 8
+            kind = [*keys, pa.int32(), pa.float64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], x) for k, x in enumerate(kind)], names=["query_id", "id", "rank", "score", "done", "terms"])
+
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, score double, done boolean, terms array<bigint>"
+    picks = None
+    for _ in range(top_k + 1):  # a pass picks at least one document a query, the last one finds that nothing is open
+        if picks is None:
+            state = sizes.withColumns({"seen": F.array().cast("array<array<bigint>>"), "gone": F.array().cast(f"array<{kinds['id']}>")})
+        else:
+            told = picks.groupBy("query_id").agg(F.collect_list("terms").alias("seen"), F.collect_list("id").alias("gone"), F.max("done").alias("done"))
+            state = kept(sizes.join(told, "query_id").where("not done").drop("done"))
+            if state.isEmpty():
+                break
+        state = F.broadcast(state) if few else state
+        size = lambda a, b: F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
+        near = F.array_max(F.transform("seen", lambda s: F.size(F.array_intersect("terms", s)) / size(F.col("terms"), s)))
+        rows = matched.select("id", "terms", F.explode("asks").alias("a")).select("id", "terms", "a.*").join(state, "query_id").where(~F.array_contains("gone", F.col("id")))
+        rows = rows.select("query_id", "id", "rank", "score", "top", F.coalesce(near, F.lit(0.0)).alias("most"), F.size("gone").alias("have"), "total")
+        value = F.lit(1 - diversity) * F.col("score") / F.col("top") - F.lit(float(diversity)) * F.col("most")
+        rows = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(value.desc(), "rank"))).where(F.col("place") <= front).drop("place")
+        rows = kept(rows).join(matched.select(F.col("id").alias("_id"), "terms"), F.col("id") == F.col("_id"))
+        part = rows.select(*names).repartition("query_id").sortWithinPartitions("query_id", "rank")
+        found = part.mapInArrow(work, schema)
+        picks = kept(found if picks is None else picks.unionByName(found))
+    return picks.select("query_id", "id", "rank", "score")
 
 
 def rerank(docs: DataFrame, queries: DataFrame, top_k: int = 10, diversity: float = 0.0, passage: int = 320, title: str | None = None) -> DataFrame:

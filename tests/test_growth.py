@@ -101,3 +101,31 @@ def test_chunks_are_made_slab_by_slab(spark):
     whole = chunk.chunks(docs.toPandas()["text"])
     got = chunk.chunk(docs)
     assert got.count() == len(whole) and sorted(r["text"] for r in got.collect()) == sorted(whole["text"])
+
+
+def test_picks_hold_few_rows_a_task(spark):
+    """However many documents match and however far picks must look, one task holds the best rows of a query and no more; results don't depend on how many."""
+    import random
+
+    from quern.operators import rank
+
+    rng = random.Random(5)
+    bag = [f"w{i}" for i in range(30)]
+    texts = [" ".join(["alpha"] * rng.randint(1, 4) + ["beta"] * rng.randint(0, 2) + rng.sample(bag, rng.randint(2, 6))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts * 3)], "id long, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta alpha"), (3, "zzzz")], "query_id int, query string")
+    scored = [(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in rank.bm25(docs, asked, None).collect()]
+    terms = {r["id"]: set(r["w"]) for r in docs.select("id", t.rank_tokens(F.col("text")).alias("w")).collect()}
+    want = []
+    for q in (1, 2):
+        left = [x for x in sorted(scored) if x[0] == q]
+        top, seen = max(x[3] for x in left), []
+        for place in range(1, 9):
+            best = max(left, key=lambda x: (0.5 * x[3] / top - 0.5 * max([len(terms[x[2]] & s) / min(len(terms[x[2]]), len(s)) for s in seen], default=0), -x[1]))
+            left.remove(best)
+            seen.append(terms[best[2]])
+            want.append((q, best[2], place, best[3]))
+    for front in (1, 5, 1000):
+        assert sorted(map(tuple, rank.mmr(docs, asked, 8, 0.5, first=front).collect())) == sorted(want)
+    rows = [(1, i, i + 1, 1.0 / (i + 1), [i % 3], 1.0, 0.0, 0, 100) for i in range(4)]
+    assert 1 <= len(list(rank._picked(rows, 8, 0.5))) < 8
