@@ -19,6 +19,8 @@ Null texts have no lines and stay null. Empty tables give no rows. All other col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ from quern.llm import common as c
 FIELDS, APART = 21, 9
 #: Words of a long sketch: 64 hash buckets each.
 WORDS = 64
+#: Shingles that one row holds, as columns for signatures and as an array for sets.
+COLUMNS, ARRAY = 4, 24
+#: Bytes of a line up to which its set is one array; sets of longer lines are rows.
+LONG = 1 << 20
 
 
 def masks(n: int) -> list[int]:
@@ -60,20 +66,32 @@ def _units(norm: str) -> Column:
     return F.encode(norm, "UTF-16BE")
 
 
-def _starts(units: str, width: int) -> Column:
-    return F.expr(f"sequence(0, greatest(int(length({units}) / 2) - {width}, 0))")
+def _last(units: str, width: int) -> Column:
+    """Where the last shingle starts."""
+    return F.expr(f"greatest(int(length({units}) / 2) - {width}, 0)")
+
+
+def _from(width: int, n: int) -> list[Column]:
+    """Hashes of the n shingles of u from s on, none beyond the last, at z."""
+    return [F.xxhash64(F.expr(f"substring(u, 2 * least(s + {j}, z) + 1, {2 * width})")) for j in range(n)]
 
 
 def shingles(lines: DataFrame, width: int, *own: str) -> DataFrame:
     """(*own, h): a row for each position of each line, with the hash of the shingle there. Positions of bytes, so that no text is scanned twice."""
-    at = lines.select(*own, _units("norm").alias("u")).select(*own, "u", F.explode(_starts("u", width)).alias("i"))
+    at = lines.select(*own, _units("norm").alias("u")).select(*own, "u", F.explode(F.sequence(F.lit(0), _last("u", width))).alias("i"))
     return at.select(*own, F.xxhash64(F.expr(f"substring(u, 2 * i + 1, {2 * width})")).alias("h"))
 
 
+def _several(lines: DataFrame, width: int) -> DataFrame:
+    """(d, h0..): rows of COLUMNS shingles each, the last one again where there are no more. An aggregate is looked up and stored once a row."""
+    at = lines.select("d", _units("norm").alias("u")).select("d", "u", _last("u", width).alias("z")).select("d", "u", "z", F.explode(F.expr(f"sequence(0, z, {COLUMNS})")).alias("s"))
+    return at.select("d", *[h.alias(f"h{j}") for j, h in enumerate(_from(width, COLUMNS))])
+
+
 def signatures(lines: DataFrame, width: int, rows: int, groups: int) -> DataFrame:
     """(d, q, bands): a short sketch of each line and a hash for each band. lines holds each d once and is dealt by it, so nothing is shuffled here."""
     ms = masks(rows * groups)
-    sig = shingles(lines, width, "d").groupBy("d").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(ms)])
+    sig = _several(lines, width).groupBy("d").agg(*[F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(COLUMNS)])).alias(f"m{i}") for i, m in enumerate(ms)])
     q = F.expr(" | ".join(f"shiftleft((m{i % len(ms)} >> {20 + i}) & 7, {3 * i})" for i in range(FIELDS)))
     return sig.select("d", q.alias("q"), F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in own]) for k, own in enumerate(band_rows(rows, groups))]).alias("bands"))
 
@@ -86,8 +104,10 @@ def near(a: str, b: str) -> Column:
 
 def long_sketches(lines: DataFrame, width: int) -> DataFrame:
     """(d, w0.., c): which of 64 * WORDS hash buckets hold a shingle of the line, and how many."""
-    each = shingles(lines, width, "d").groupBy("d", F.expr(f"cast((h >> 6) & {WORDS - 1} as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    return each.groupBy("d").agg(F.sum(F.bit_count("bits")).alias("c"), *[F.max(F.when(F.col("w") == w, F.col("bits"))).alias(f"v{w}") for w in range(WORDS)]).select("d", "c", *[F.coalesce(f"v{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
+    own = lambda w: F.expr(f"if((h >> 6 & 15) = {w}, shiftleft(1L, int(h & 63)), 0L)")
+    each = shingles(lines, width, "d").groupBy("d", F.expr(f"int(h >> 10 & {WORDS // 16 - 1})").alias("g")).agg(*[F.bit_or(own(w)).alias(f"v{w}") for w in range(16)])
+    whole = each.groupBy("d").agg(*[F.coalesce(F.max(F.when(F.col("g") == w // 16, F.col(f"v{w % 16}"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
+    return whole.select("d", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))).cast("long").alias("c"), *[f"w{w}" for w in range(WORDS)])
 
 
 def alike(x: str, y: str, percent: int) -> Column:
@@ -104,11 +124,30 @@ def alike(x: str, y: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have 100 * intersection >= percent * union. Sets are rows, not arrays: each pair's rows stay in the partition of its join."""
+    """Those pairs (a, b) whose shingle sets have 100 * intersection >= percent * union.
+
+    Each pair's rows stay in the partition of its join. Sets are arrays, filled from rows of several shingles; those of a pair with a longer line than LONG are rows, as such a set may not fit in memory.
+    """
     x = texts.select(F.col("d").alias("a"), F.col("norm").alias("x"))
     y = texts.select(F.col("d").alias("b"), F.col("norm").alias("y"))
-    size = lambda u: F.expr(f"greatest(int(length({u}) / 2) - {width - 1}, 1)")
     both = pairs.hint("shuffle_hash").join(x, "a").join(y, "b").select("a", "b", _units("x").alias("ux"), _units("y").alias("uy"))
+    long = F.expr(f"greatest(length(ux), length(uy)) > {2 * LONG}")
+    out = _by_arrays(both.where(~long), width, percent)
+    return out if texts.where(F.octet_length("norm") > LONG).isEmpty() else out.union(_by_rows(both.where(long), width, percent))
+
+
+def _by_arrays(both: DataFrame, width: int, percent: int) -> DataFrame:
+    at = both.select("a", "b", "ux", "uy", _last("ux", width).alias("zx"), _last("uy", width).alias("zy")).withColumn("i", F.explode(F.expr(f"sequence(0, zx div {ARRAY} + zy div {ARRAY} + 1)")))
+    at = at.withColumn("k", F.expr(f"i - zx div {ARRAY} - 1")).select("a", "b", "k", *[F.expr(f"if(k < 0, {x}, {y})").alias(n) for x, y, n in (("ux", "uy", "u"), ("zx", "zy", "z"), (f"int(i * {ARRAY})", f"int(k * {ARRAY})", "s"))])
+    each = at.select("a", "b", "k", F.array(*_from(width, ARRAY)).alias("h"))
+    sets = each.groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(side, F.col("h")))).alias(n) for side, n in ((F.col("k") < 0, "x"), (F.col("k") >= 0, "y"))])
+    common = sets.select("a", "b", "x", "y", F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
+    linked = lambda x, y: f"i * {100 + percent} >= ({x} + {y}) * {percent}"
+    return common.where(F.expr(linked("size(array_distinct(x))", "size(array_distinct(y))"))).select("a", "b")
+
+
+def _by_rows(both: DataFrame, width: int, percent: int) -> DataFrame:
+    size = lambda u: F.expr(f"greatest(int(length({u}) / 2) - {width - 1}, 1)")
     at = both.select("a", "b", "ux", "uy", size("ux").alias("nx"), F.explode(F.sequence(F.lit(0), size("ux") + size("uy") - 1)).alias("i"))
     each = at.select("a", "b", F.expr("if(i < nx, 1, 2)").alias("side"), F.xxhash64(F.expr(f"if(i < nx, substring(ux, 2 * i + 1, {2 * width}), substring(uy, 2 * (i - nx) + 1, {2 * width}))")).alias("h"))
     sets = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
@@ -116,36 +155,43 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def buckets(sigs: DataFrame, first: int, n: int) -> DataFrame:
-    """(band, d, q) of the lines that share one of n bands with another line."""
-    table = sigs.select("d", "q", F.explode(F.slice("bands", first + 1, n)).alias("band"))
-    several = table.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b2"))
-    return table.join(several.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi")
+    """(band, d, q, p, qp): for each of n bands that several lines share, its lines but the least, which is p. The table is shuffled once, for the aggregate and the join."""
+    table = sigs.select("d", "q", F.explode(F.slice("bands", first + 1, n)).alias("band")).repartition("band")
+    several = table.groupBy(F.col("band").alias("b2")).agg(F.min("d").alias("p"), F.min_by("q", "d").alias("qp"), F.max("d").alias("last")).where("p <> last")
+    return table.join(several.hint("shuffle_hash"), (F.col("band") == F.col("b2")) & (F.col("d") != F.col("p"))).select("band", "d", "q", "p", "qp")
 
 
 def line_components(lines: DataFrame, sigs: DataFrame, width: int, groups: int, percent: int, pivots: int) -> DataFrame:
     """(node, root) of the lines that have a similar one."""
     halves = [c.cut(buckets(sigs, k * groups, groups), "line-buckets") for k in range(2)]  # one after the other, for their shuffles' disk
-    members = halves[0].union(halves[1])
-    ids = lambda df: df.select(F.col("d").alias("d2")).distinct().hint("shuffle_hash")
-    texts = c.cut(lines.select("d", "norm").join(ids(members), F.col("d") == F.col("d2"), "left_semi"), "line_texts", by="d")
+    held = halves[0].union(halves[1])
     roots = None
 
+    def ids(*cols: DataFrame) -> DataFrame:
+        return reduce(DataFrame.union, cols).toDF("d2").distinct().hint("shuffle_hash")
+
+    def texts(own: DataFrame) -> DataFrame:
+        return c.cut(lines.select("d", "norm").join(own, F.col("d") == F.col("d2"), "left_semi"), "line_texts", by="d")
+
     def known(df: DataFrame, col: str = "d", name: str = "root") -> DataFrame:
         own = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         return df.join(own, F.col(col) == F.col("n2"), "left").withColumn(name, F.coalesce("r2", F.col(col))).drop("n2", "r2")
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        links = c.cut(verified(pairs.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct(), texts, width, percent), "line-links")
+    def joined(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        links = c.cut(verified(pairs, own, width, percent), "line-links")
         out = c.cut(c.components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "line-roots")
-        c.release(links, *([] if roots is None else [roots]))
+        c.release(pairs, links, *([] if roots is None else [roots]))
         return out
 
+    def once(pairs: DataFrame) -> DataFrame:
+        return c.cut(pairs.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct(), "line-pairs")
+
     # The least line of a bucket meets all others; then it leaves, as all its pairs there are settled.
-    chosen = members.groupBy(F.col("band").alias("b2")).agg(F.min("d").alias("p"), F.min_by("q", "d").alias("qp"))
-    held = members.join(chosen, F.col("band") == F.col("b2")).where("d <> p").drop("b2")
-    roots = joined(held.where(near("q", "qp")).select("d", "p"))
+    first = once(held.where(near("q", "qp")))
+    own = texts(ids(first.select("a"), first.select("b")))
+    roots = joined(first, own)
     rest = c.cut(known(held.select("band", "d", "q")), "line-rest")
-    c.release(*halves)
+    c.release(*halves, own)
     more = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("b2"))
     open_ = c.cut(rest.join(more.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi"), "line-open")
     # What is left are mostly strangers that share a band by chance: only lines with a partner across components and near by sketch go on.
@@ -154,23 +200,20 @@ def line_components(lines: DataFrame, sigs: DataFrame, width: int, groups: int,
     live = c.cut(x.join(y, across, "left_semi"), "line-live")
     c.release(rest, open_)
     if live.isEmpty():
-        c.release(live, texts)
+        c.release(live)
         return roots
-    sketches = long_sketches(texts.join(ids(live), F.col("d") == F.col("d2"), "left_semi"), width)
-    own = sketches.join(sigs.select(F.col("d").alias("d2"), "bands"), F.col("d") == F.col("d2")).drop("d2").withColumnRenamed("d", "d3")
-    last = c.cut(live.join(own, F.col("d") == F.col("d3")).drop("d3"), "line-last")
+    own = texts(ids(live.select("d")))
+    last = c.cut(live.join(long_sketches(own, width).withColumnRenamed("d", "d3"), F.col("d") == F.col("d3")).drop("d3"), "line-last")
     c.release(live)
-    # Some pivots a bucket join what is dense; then come all pairs across components, each in its first common band
-    # only: the first pivot has left that band, but then its pairs there are settled.
+    # Some pivots a bucket join what is dense; then come all pairs across components: the first pivot has left its band, but then its pairs there are settled.
     part = F.expr(f"pmod(xxhash64(1, d), {pivots})")
     chosen = last.groupBy(F.col("band").alias("b2"), part.alias("k")).agg(F.min("d").alias("p"))
     x, y = last.alias("x"), last.join(chosen.drop("k"), (F.col("band") == F.col("b2")) & (F.col("d") == F.col("p")), "left_semi").alias("y")
-    roots = joined(x.join(y, across & alike("x", "y", percent)).select(F.col("x.d").alias("d"), F.col("y.d").alias("p")))
+    roots = joined(once(x.join(y, across & alike("x", "y", percent)).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))), own)
     ends = c.cut(known(last.drop("root")), "line-ends")
     x, y = ends.alias("x"), ends.alias("y")
-    once = F.expr("x.d < y.d and get(array_intersect(x.bands, y.bands), 0) = x.band")
-    roots = joined(x.join(y, across & alike("x", "y", percent) & once).select(F.col("x.d").alias("d"), F.col("y.d").alias("p")))
-    c.release(texts, last, ends)
+    roots = joined(once(x.join(y, across & alike("x", "y", percent) & (F.col("x.d") < F.col("y.d"))).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))), own)
+    c.release(own, last, ends)
     return roots
 
 
