@@ -22,6 +22,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import common as c
@@ -161,6 +162,18 @@ def buckets(sigs: DataFrame, first: int, n: int) -> DataFrame:
     return table.join(several.hint("shuffle_hash"), (F.col("band") == F.col("b2")) & (F.col("d") != F.col("p"))).select("band", "d", "q", "p", "qp")
 
 
+def across() -> Column:
+    """Whether rows x and y are of one band and different components, and near by their short sketches."""
+    return (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near("x.q", "y.q")
+
+
+def all_across(ends: DataFrame, percent: int) -> DataFrame:
+    """(d, p): each pair across components that shares a band and that both sketches let through, made once, in the least of the bands that hold both (own: the bands of a line's rows)."""
+    x, y = ends.alias("x"), ends.alias("y")
+    once = F.expr("x.d < y.d and array_min(array_intersect(x.own, y.own)) = x.band")
+    return x.join(y, across() & alike("x", "y", percent) & once).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))
+
+
 def line_components(lines: DataFrame, sigs: DataFrame, width: int, groups: int, percent: int, pivots: int) -> DataFrame:
     """(node, root) of the lines that have a similar one."""
     halves = [c.cut(buckets(sigs, k * groups, groups), "line-buckets") for k in range(2)]  # one after the other, for their shuffles' disk
@@ -196,23 +209,22 @@ def line_components(lines: DataFrame, sigs: DataFrame, width: int, groups: int,
     open_ = c.cut(rest.join(more.hint("shuffle_hash"), F.col("band") == F.col("b2"), "left_semi"), "line-open")
     # What is left are mostly strangers that share a band by chance: only lines with a partner across components and near by sketch go on.
     x, y = open_.alias("x"), open_.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near("x.q", "y.q")
-    live = c.cut(x.join(y, across, "left_semi"), "line-live")
+    live = c.cut(x.join(y, across(), "left_semi"), "line-live")
     c.release(rest, open_)
     if live.isEmpty():
         c.release(live)
         return roots
     own = texts(ids(live.select("d")))
+    rows, live = live, live.withColumn("own", F.collect_set("band").over(W.partitionBy("d")))
     last = c.cut(live.join(long_sketches(own, width).withColumnRenamed("d", "d3"), F.col("d") == F.col("d3")).drop("d3"), "line-last")
-    c.release(live)
+    c.release(rows)
     # Some pivots a bucket join what is dense; then come all pairs across components: the first pivot has left its band, but then its pairs there are settled.
     part = F.expr(f"pmod(xxhash64(1, d), {pivots})")
     chosen = last.groupBy(F.col("band").alias("b2"), part.alias("k")).agg(F.min("d").alias("p"))
     x, y = last.alias("x"), last.join(chosen.drop("k"), (F.col("band") == F.col("b2")) & (F.col("d") == F.col("p")), "left_semi").alias("y")
-    roots = joined(once(x.join(y, across & alike("x", "y", percent)).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))), own)
+    roots = joined(once(x.join(y, across() & alike("x", "y", percent)).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))), own)
     ends = c.cut(known(last.drop("root")), "line-ends")
-    x, y = ends.alias("x"), ends.alias("y")
-    roots = joined(once(x.join(y, across & alike("x", "y", percent) & (F.col("x.d") < F.col("y.d"))).select(F.col("x.d").alias("d"), F.col("y.d").alias("p"))), own)
+    roots = joined(once(all_across(ends, percent)), own)
     c.release(own, last, ends)
     return roots
 
