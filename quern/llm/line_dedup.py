@@ -30,7 +30,9 @@ from quern.llm import common as c
 #: Fields of a short sketch, of three bits each, and how many of them two lines may differ in.
 FIELDS, APART = 21, 9
 #: Words of a long sketch: 64 hash buckets each.
-WORDS = 64
+WORDS = 16
+#: What is trimmed from lines.
+BLANKS = "\t\n\x0b\x0c\r "
 #: Shingles that one row holds, as columns for signatures and as an array for sets.
 COLUMNS, ARRAY = 4, 24
 #: Bytes of a line up to which its set is one array; sets of longer lines are rows.
@@ -59,8 +61,11 @@ def row_key(text: str, id_col: str) -> list[Column]:
 def occurrences(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(k1, k2, pos, o, norm, d): every line that isn't blank, with hashes of its place and its text."""
     key = docs.select(*row_key(text, id_col), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    norm = F.lower(F.btrim("line", F.lit("\t\n\x0b\x0c\r ")))
-    return key.select("k1", "k2", "pos", F.xxhash64("k1", "k2", "pos").alias("o"), norm.alias("norm")).where("norm <> ''").withColumn("d", F.xxhash64("norm"))
+    # btrim walks the whole line, so it is left to lines with a blank at an end: those below "!" may begin with one.
+    trimmed, below = F.btrim("line", F.lit(BLANKS)), F.col("line") < "!"
+    ends = reduce(Column.__or__, [F.endswith("line", F.lit(x)) for x in BLANKS], below)
+    norm = F.lower(F.when(ends, trimmed).otherwise(F.col("line")))
+    return key.where(~below | (trimmed != "")).select("k1", "k2", "pos", F.xxhash64("k1", "k2", "pos").alias("o"), norm.alias("norm")).withColumn("d", F.xxhash64("norm"))
 
 
 def _units(norm: str) -> Column:
@@ -112,10 +117,9 @@ def near(a: str, b: str) -> Column:
 
 
 def long_sketches(lines: DataFrame, width: int) -> DataFrame:
-    """(d, w0.., c): which of 64 * WORDS hash buckets hold a shingle of the line, and how many."""
-    own = lambda w: F.expr(f"if((h >> 6 & 15) = {w}, shiftleft(1L, int(h & 63)), 0L)")
-    each = shingles(lines, width, "d").groupBy("d", F.expr(f"int(h >> 10 & {WORDS // 16 - 1})").alias("g")).agg(*[F.bit_or(own(w)).alias(f"v{w}") for w in range(16)])
-    whole = each.groupBy("d").agg(*[F.coalesce(F.max(F.when(F.col("g") == w // 16, F.col(f"v{w % 16}"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
+    """(d, w0.., c): which of 64 * WORDS hash buckets hold a shingle of the line, and how many. A shingle meets the one word it belongs to."""
+    each = shingles(lines, width, "d").groupBy("d", F.expr(f"int(h >> 6 & {WORDS - 1})").alias("g")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("v"))
+    whole = each.groupBy("d").agg(*[F.coalesce(F.max(F.when(F.col("g") == w, F.col("v"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)])
     return whole.select("d", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))).cast("long").alias("c"), *[f"w{w}" for w in range(WORDS)])
 
 
@@ -165,7 +169,7 @@ def _by_rows(both: DataFrame, width: int, percent: int) -> DataFrame:
 
 def buckets(sigs: DataFrame, first: int, n: int) -> DataFrame:
     """(band, d, q, p, qp): for each of n bands that several lines share, its lines but the least, which is p. The table is shuffled once, for the aggregate and the join."""
-    table = sigs.select("d", "q", F.explode(F.slice("bands", first + 1, n)).alias("band")).repartition("band")
+    table = sigs.select("d", "q", F.explode(F.slice("bands", first + 1, n)).alias("band")).where("band is not null and d is not null").repartition("band")  # the filter that the join would set on one side only
     several = table.groupBy(F.col("band").alias("b2")).agg(F.min("d").alias("p"), F.min_by("q", "d").alias("qp"), F.max("d").alias("last")).where("p <> last")
     return table.join(several.hint("shuffle_hash"), (F.col("band") == F.col("b2")) & (F.col("d") != F.col("p"))).select("band", "d", "q", "p", "qp")
 
